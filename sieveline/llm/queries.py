@@ -5,17 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveline.llm import neardup
+from sieveline.llm import bpe, fingerprint, media, mixing, neardup, toxicity
 from sieveline.session import table
 
 
+def vocabulary_path() -> str:
+    """Where the public byte-level vocabulary is on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=0.85)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path()
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "token_ids"), path)
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.described(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.train(docs, labels.where(~toxicity.held_out(5, 0)))
+    out = toxicity.scored(docs, machine)
+    return out.select("doc_id", toxicity.held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup,)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_bpe, op4_media, op6_mixing, op7_toxicity, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
