@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, fingerprint, media, mixing, neardup, toxicity
+from sieveline.llm import bpe, fingerprint, langid, media, mixing, neardup, pii, repeats, toxicity, urlfilter
 from sieveline.session import table
 
 
@@ -22,6 +22,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=0.85)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~toxicity.held_out(3, 1)))
+    return langid.languages(docs, model).select("doc_id", toxicity.held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "token_ids"), path)
@@ -31,6 +37,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -42,13 +53,25 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(pmod(page_id, 366) as int))").alias("fetched"))
+    judged = urlfilter.judge(captures, urlfilter.sample_list(spark))
+    return judged.select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), "pattern", "action", "blocked")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_bpe, op4_media, op6_mixing, op7_toxicity, op9_fingerprints)}
+    every = (op1_near_dedup, op2_language_id, op3_bpe, op4_media, op5_substring_dedup, op6_mixing, op7_toxicity, op8_url_filters, op9_fingerprints, op10_pii)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filters": urlfilter.ORACLE_SQL}

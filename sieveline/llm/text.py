@@ -31,6 +31,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def lower(raw: np.ndarray) -> np.ndarray:
+    """A-Z and the capital letters of Latin-1 in lower case."""
+    out = LOWER[raw]
+    after = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    out[after[(raw[after] >= 0x80) & (raw[after] <= 0x9E) & (raw[after] != 0x97)]] += 0x20
+    return out
+
+
 def _powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, BLOCK * 2)
@@ -150,3 +158,40 @@ def viterbi(scores: np.ndarray, at: np.ndarray, change: np.ndarray, start: np.nd
         if t:
             label[:live] = back[here, label[:live]]
     return out
+
+
+def viterbi_spans(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
+    """As ``viterbi`` where staying is free and any change costs ``switch``: only the best label need be left."""
+    rows, labels = scores.shape
+    out = np.zeros(rows, np.int8)
+    size = np.diff(at)
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 0]
+    if not len(order):
+        return out
+    first, size = at[:-1][order], size[order]
+    back = np.empty((rows, labels), np.int8)
+    own = np.arange(labels, dtype=np.int8)
+    best = scores[first]
+    final = np.zeros(len(order), np.int64)
+    longest = int(size[0])
+    live_at = np.searchsorted(-size, -np.arange(1, longest + 1), "right")
+    for t in range(1, longest):
+        live = live_at[t]
+        if live < len(best):
+            final[live : len(best)] = best[live:].argmax(1)
+            best = best[:live]
+        top = best.argmax(1)
+        left = (best[np.arange(live), top] - switch)[:, None]
+        here = first[:live] + t
+        back[here] = np.where(best >= left, own, top[:, None])
+        best = np.maximum(best, left) + scores[here]
+    final[: len(best)] = best.argmax(1)
+    label = final
+    for t in range(longest - 1, -1, -1):
+        live = live_at[t]
+        here = first[:live] + t
+        out[here] = label[:live]
+        if t:
+            label[:live] = back[here, label[:live]]
+    return out

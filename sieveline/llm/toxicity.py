@@ -31,17 +31,9 @@ FACTORS, ROUNDS, RATE, DECAY = 4, 150, 0.05, 1e-3
 PREFIXES = (4, 6, 8)
 
 
-def _lower(raw: np.ndarray) -> np.ndarray:
-    """A-Z and the capital letters of Latin-1 in lower case."""
-    out = tx.LOWER[raw]
-    after = np.flatnonzero(raw[:-1] == 0xC3) + 1
-    out[after[(raw[after] >= 0x80) & (raw[after] <= 0x9E) & (raw[after] != 0x97)]] += 0x20
-    return out
-
-
 def term_buckets(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, bucket) of every term, one kind of term at a time."""
-    raw = _lower(raw)
+    raw = tx.lower(raw)
     starts, ends, first = tx.words(raw, at)
     # Punctuation that closes a word isn't part of its term.
     mark = (ends - starts > 1) & np.isin(raw[np.maximum(ends - 1, 0)], np.frombuffer(b".,;:!?", np.uint8)) if len(ends) else np.zeros(0, bool)
