@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -25,11 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    What only the finished plan still held, its shuffle files above all, is let go at once rather than whenever the
+    driver next collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stash_path = path
+    return back
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete stashes that nothing will read again."""
+    for df in stashed:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stash_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
