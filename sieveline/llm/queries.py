@@ -68,8 +68,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_near_dedup, op2_language_id, op3_bpe, op4_media, op5_substring_dedup, op6_mixing, op7_toxicity, op8_url_filters, op9_fingerprints, op10_pii)
+    every = (op1_near_dedup, op2_language_id, op3_bpe, op4_media, op5_substring_dedup, op6_mixing, op7_toxicity, op8_url_filters, op9_fingerprints, op10_pii, pipeline)
     return {f.__name__: f for f in every}
 
 
