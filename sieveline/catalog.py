@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sieveline.session import table
+from sieveline.plans import aggregates, filters, joins, quality, ranking, retrieval, shaping, streams, texts  # noqa: F401
+from sieveline.plans.registry import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document statistics by domain, the roll-up that the other reports build on."""
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("entries"))
+    """Entry statistics by domain, the roll-up that the other reports build on."""
+    return QUERIES["a01_entry_statistics"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
