@@ -20,6 +20,7 @@ result.  Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ from sieveline.session import ship, stash
 
 BINS = 512
 BANDS = 32
-SKETCH = BINS // 64
-_SHIFT = np.uint64(64 - 9)
-_EDGES = np.arange(BINS, dtype=np.uint64) << _SHIFT
+#: Bins of the one-bit sketches, and the longs that hold a bit for each.
+FINE = 2048
+SKETCH = FINE // 64
 _SIGNS = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
 
@@ -74,11 +75,17 @@ class Signer:
         self.tags = rng.integers(1 << 63, size=bands, dtype=np.uint64)
 
     def __call__(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.append(np.searchsorted(values, _EDGES), len(values))
-        full = at[1:] > at[:-1]
-        least = values[np.minimum(at[:-1], len(values) - 1)]
-        bits = (tx.mix(least) & np.uint64(1)).astype(bool) & full
-        sketch = np.concatenate([np.packbits(full), np.packbits(bits)]).view(np.int64)
+        bins = (values >> np.uint64(64 - 11)).astype(np.int64)
+        lead = np.flatnonzero(np.diff(bins, prepend=-1))
+        seen, bits = np.zeros(FINE, bool), np.zeros(FINE, bool)
+        seen[bins[lead]] = True
+        bits[bins[lead]] = (tx.mix(values[lead]) & np.uint64(1)).astype(bool)
+        sketch = np.concatenate([np.packbits(seen), np.packbits(bits)]).view(np.int64)
+        bins //= FINE // BINS
+        lead = np.flatnonzero(np.diff(bins, prepend=-1))
+        full, least = np.zeros(BINS, bool), np.zeros(BINS, np.uint64)
+        full[bins[lead]] = True
+        least[bins[lead]] = values[lead]
         used = least[: self.used].copy()
         if len(empty := np.flatnonzero(~full[: self.used])):
             some = np.flatnonzero(full)
@@ -159,8 +166,8 @@ def _unlike(percent: int) -> F.Column:
     xb, yb = (lambda s: lambda i: F.col(f"{s}.sketch")[i + SKETCH])("x"), (lambda s: lambda i: F.col(f"{s}.sketch")[i + SKETCH])("y")
     seen = bit(lambda i: xm(i).bitwiseOR(ym(i)))
     apart = bit(lambda i: xm(i).bitwiseXOR(ym(i))) + 2 * bit(lambda i: xb(i).bitwiseXOR(yb(i)).bitwiseAND(xm(i)).bitwiseAND(ym(i)))
-    spread = seen * F.lit(far * (1 - far)) * F.greatest(F.lit(0.1), 1 - seen * (2 - far) / total) + seen * F.lit(far) * F.least(F.lit(1.0), total / F.lit(2.0 * BINS))
-    return apart > seen * F.lit(far) + 5 * F.sqrt(spread) + 2
+    spread = seen * F.lit(far * (1 - far)) * F.greatest(F.lit(0.05), 1 - seen * (2 - far) / total) + seen * F.lit(far) * F.least(F.lit(1.0), total / F.lit(2.0 * FINE))
+    return apart > seen * F.lit(far) + 5 * F.sqrt(spread)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -171,7 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     whole = ["n_shingles", "set_a", "set_b"]
     groups = stash(signs.where("n_shingles > 0 and doc_id is not null").groupBy(*whole).agg(F.min("doc_id").alias("rep")), "groups")
     own = signs.join(groups.select(F.col("rep").alias("doc_id"), *whole), ["doc_id", *whole], "left_semi").dropDuplicates(["doc_id"])
-    member = own.select("doc_id", F.explode("bands").alias("key"))
+    member = own.select("doc_id", F.posexplode("bands").alias("band", "key"))
     sized = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = stash(member.join(sized, "key"), "buckets")
 
@@ -184,13 +191,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     links = stash(confirmed(star, texts, width, percent), "links")
 
     label = components(links)
-    placed = shared.join(label, shared.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = shared.join(label, shared.doc_id == label.node, "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     counted = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"))
-    open_ = stash(placed.join(counted.where("parts > 1"), "key").select("key", "doc_id", "component", F.col("most.component").alias("most")), "open")
-    known = own.select("doc_id", "n_shingles", "sketch")
+    open_ = stash(placed.join(counted.where("parts > 1"), "key").select("key", "band", "doc_id", "component", F.col("most.component").alias("most")), "open")
+    known = own.select("doc_id", "n_shingles", "bands", "sketch")
     rest = stash(open_.join(known, "doc_id"), "rest")
     small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
     odd = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x.doc_id") < F.col("y.doc_id")))
+    #: A pair that shares several buckets is taken from the first.
+    shares = reduce(lambda f, i: F.when(F.col("x.bands")[i] == F.col("y.bands")[i], i).otherwise(f), range(BANDS - 1, -1, -1), F.lit(BANDS))
+    odd &= shares == F.col("x.band")
     more = rest.where("component <> most").alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & odd & (100 * small >= percent * large) & ~_unlike(percent))
     more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     links = links.union(stash(confirmed(more, texts, width, percent), "links"))
