@@ -32,7 +32,7 @@ from sieveline.session import ship
 #: Pieces whose ids are remembered by a task before it starts afresh.
 CACHE = 300_000
 #: Fixed value: Unicode's White_Space.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how byte-level BPE cuts text into pieces.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 

@@ -93,7 +93,7 @@ class Wavelet:
 
 
 class FMIndex:
-    """Backward search over a text of symbols from 1; 0 separates its parts."""
+    """Backward search over a text of symbols from 1; a 0 ends each of its parts."""
 
     def __init__(self, text: np.ndarray, kinds: int, depth: int) -> None:
         n = len(text)
