@@ -13,7 +13,7 @@ TRACKING_PREFIXES = ("utm_",)
 #: Words that don't count for token overlap.
 STOPWORDS = ("der", "die", "das", "ein", "eine", "und", "oder", "mit", "von", "im", "in", "an", "auf", "zu", "ist", "es", "ich", "sie", "wir")
 #: Damaged UTF-8 and what it stood for, a soft hyphen, and private characters of PDF fonts.
-MOJIBAKE = (("Ã¤", "ä"), ("Ã¶", "ö"), ("Ã¼", "ü"), ("ÃŸ", "ß"), ("Ã„", "Ä"), ("Ã–", "Ö"), ("Ãœ", "Ü"), ("­", ""), ("", "-"), ("", " "))
+MOJIBAKE = (("Ã¤", "ä"), ("Ã¶", "ö"), ("Ã¼", "ü"), ("ÃŸ", "ß"), ("Ã„", "Ä"), ("Ã–", "Ö"), ("Ãœ", "Ü"), ("â€œ", "“"), ("â€\u009d", "”"), ("â€˜", "‘"), ("â€™", "’"), ("â€“", "–"), ("â€”", "—"),("­", ""), ("", "-"), ("", " "))
 
 
 def first_text(*columns: str) -> Column:
@@ -37,8 +37,8 @@ def dehyphenate(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Runs of spaces as one, of three and more line breaks as two, none at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"))
+    """Runs of spaces as one, of three and more line breaks as two, no white space at the ends."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"), F.lit(" \t\n\x0b\f\r"))
 
 
 def tokens(c: Column, least: int = 3) -> Column:

@@ -30,7 +30,7 @@ def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(fx.dehyphenate(F.col("text"))).alias("joined_md5"))
 
 
-@query("t06_whitespace", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS collapsed_md5 FROM documents")
+@query("t06_whitespace", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS collapsed_md5 FROM documents")
 def t06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(fx.collapse(F.col("text"))).alias("collapsed_md5"))
 
