@@ -171,8 +171,10 @@ def covered(docs: DataFrame, window: int = 35) -> DataFrame:
 
     every = stash(texts.mapInArrow(scan, "key long, start int, size int, anchor long, content long"), "runs")
     often = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
-    alive = stash(every.join(often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "alive")
-    discard(every)
+    # Written first, so that both sides of the join have a shuffle of their own and a very common anchor's runs can be split.
+    often = stash(often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "often")
+    alive = stash(every.join(often, "anchor"), "alive")
+    discard(every, often)
     unlike = stash(alive.where("mixed").groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "size")).alias("rep")), "unlike")
     kinds = unlike.groupBy("anchor").agg(F.count("*").alias("kinds"))
     told = unlike.join(kinds, "anchor").select("anchor", "content", "n", (F.col("kinds") > HOT).alias("hot"), "rep.*")
