@@ -15,6 +15,12 @@ def multilingual(texts: dict[str, Column]) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
+def percent(c: Column) -> Column:
+    """A number with one decimal and a percent sign; halves of its shortest decimal form (ten places) go away from zero."""
+    exact = F.round(c.try_cast("decimal(28,10)"), 1).cast("string")
+    return F.when(c.isNotNull(), F.coalesce(F.concat(exact, F.lit("%")), F.format_string("%.1f%%", c)))
+
+
 def batches(df: DataFrame, keys: list[str], order: list[str], size: str, budget: int) -> DataFrame:
     """``batch``: which stretch of ``budget`` a row starts in, in the order within its group."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

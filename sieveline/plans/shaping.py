@@ -59,6 +59,11 @@ def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(~last.isin(4, 5)).select("event_id", F.format_string("%.1f%%", "value").alias("similarity"))
 
 
+@query("p17_result_format_all", "SELECT event_id, CAST(CAST(round(CAST(value AS DECIMAL(28,10)), 1) AS DECIMAL(28,1)) AS VARCHAR) || '%' AS similarity FROM events")
+def p17_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", op.percent(F.col("value")).alias("similarity"))
+
+
 @query("p18_citations", "SELECT conv_id, '[' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || '] ' || role AS citation FROM conversations")
 def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
