@@ -29,6 +29,12 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column | str], n: int =
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def last_of(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """``columns`` of the last row of each group; later columns of ``order`` settle ties, nulls come first."""
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
 def best_or_keyless(df: DataFrame, key: str, score: str, tie: str) -> DataFrame:
     """The best-scored row of each key; rows without a key all stay."""
     keyed = F.coalesce(F.col(key), F.lit("")) != ""

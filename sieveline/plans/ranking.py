@@ -63,6 +63,13 @@ def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("_one").select("user_id", "last_type", text.alias("last_ts"))
 
 
+@query("w10_keep_last_all", "SELECT user_id, event_type AS last_type, CAST(ts AS VARCHAR) AS last_ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST) AS n FROM events) WHERE n = 1")
+def w10_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = op.last_of(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "ts"])
+    text = F.regexp_replace(F.regexp_replace(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "0+$", ""), r"\.$", "")
+    return last.select("user_id", F.col("event_type").alias("last_type"), text.alias("last_ts"))
+
+
 @query("w11_best_score", E + "SELECT id, host FROM (SELECT id, host, row_number() OVER (PARTITION BY host ORDER BY coalesce(iqs, 0) DESC, id) AS n FROM entries) WHERE n = 1")
 def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entries(spark, sf_dir).withColumn("score", F.coalesce("iqs", F.lit(0.0)))
