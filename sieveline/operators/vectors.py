@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sieveline.session import stash
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -52,6 +56,25 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str
     return local.withColumn("place", F.row_number().over(whole)).where(F.col("place") <= k).select("query_id", key, "score", "place")
 
 
+def search_blocks(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", key: str = "vec_id", most: int = 4096) -> DataFrame:
+    """``search_many`` for any number of queries: they are cut by hash of the key into blocks of ``most`` at most, and
+    each block is searched in all rows and stashed before the next, so one block at a time is broadcast.
+    """
+    total = queries.count()
+    if total <= most:
+        return search_many(vectors, queries, k, vector, key, most)
+    blocks = -(-total // most)
+    while True:
+        cut = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+        if (largest := cut.groupBy("_block").count().agg(F.max("count")).first()[0]) <= most:
+            break
+        if blocks > total:
+            raise ValueError(f"{largest} queries of one block share their {key}; keys must be unique")
+        blocks = blocks * 5 // 4 + 1
+    parts = [stash(search_many(vectors, cut.where(F.col("_block") == i), k, vector, key, most), "similar") for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, key: str, keyword_weight: float = 0.4, vector_weight: float = 0.6, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (key, rank from 0) and (key, rank, raw); raw scores add a quarter of themselves."""
     a = keyword.select(F.col(key), (keyword_weight / (k + F.col("rank") + 1)).alias("_k"))

@@ -146,7 +146,7 @@ def v04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w20_find_similar", "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), a) AS score FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) WHERE place <= 5")
 def w20(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return vec.search_many(v, v.where("vec_id % 100 = 0"), 5).select("query_id", "vec_id", _round(F.col("score"), "score"), "place")
+    return vec.search_blocks(v, v.where("vec_id % 100 = 0"), 5).select("query_id", "vec_id", _round(F.col("score"), "score"), "place")
 
 
 @query("v05_validated_vectors", "SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF isfinite(x)]) = 64")
