@@ -59,3 +59,15 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str], take: list
 def insert_new(df: DataFrame, more: DataFrame, key: str) -> DataFrame:
     """``df`` and the rows of ``more`` whose key it lacks."""
     return df.unionByName(more.join(df.select(key), key, "left_anti"))
+
+
+def word_overlap(asked: DataFrame, found: DataFrame, item: str, doc: str, words: Column) -> DataFrame:
+    """(item, doc, ratio) for each row of ``asked`` and each of ``found`` that share a word: the share of the item's
+    distinct words that the document has.  The words of the items are broadcast if they are few; pairs without a
+    common word are never made.
+    """
+    a = asked.select(F.col(item), F.monotonically_increasing_id().alias("_a"), words.alias("_w"))
+    a = a.select(item, "_a", F.size("_w").alias("_size"), F.explode("_w").alias("_word"))
+    d = found.select(F.col(doc), F.monotonically_increasing_id().alias("_d"), words.alias("_w")).select(doc, "_d", F.explode("_w").alias("_word"))
+    hits = d.join(rules(a), "_word").groupBy(item, "_a", "_size", doc, "_d").agg(F.count("*").alias("_hits"))
+    return hits.select(item, doc, (F.col("_hits") / F.col("_size")).alias("ratio"))

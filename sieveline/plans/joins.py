@@ -170,6 +170,12 @@ def u05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(d, b.item_id == d.doc_id).select("item_id", "doc_id", (F.size(F.array_intersect("asked", "found")) / F.size("asked")).alias("ratio"))
 
 
+@query("u05_token_overlap_all", "WITH b AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS w FROM documents) SELECT item_id, doc_id, len(list_intersect(b.w, d.w)) / len(b.w) AS ratio FROM b JOIN d ON list_has_any(b.w, d.w)")
+def u05_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array_distinct(F.split(F.lower("text"), " "))
+    return op.word_overlap(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", words)
+
+
 @query("u06_record_diff", "WITH o AS (SELECT p_partkey AS k, p_name, p_brand, p_size FROM part WHERE p_partkey % 5 <> 0), n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_name || '!' ELSE p_name END AS p_name, p_brand, CASE WHEN p_partkey % 4 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 7 <> 0) SELECT coalesce(o.k, n.k) AS id, CASE WHEN o.k IS NULL THEN 'create' WHEN n.k IS NULL THEN 'delete' WHEN o.p_name <> n.p_name OR o.p_size <> n.p_size THEN 'update' ELSE 'unchanged' END AS kind, CASE WHEN o.k IS NULL OR n.k IS NULL THEN 0 ELSE (o.p_name <> n.p_name)::INT + (o.p_size <> n.p_size)::INT END AS n_modified FROM o FULL JOIN n ON o.k = n.k")
 def u06(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sieveline.operators.quality import diff
