@@ -57,10 +57,25 @@ def pack(df: DataFrame, keys: list[str], order: list[str], size: Column, budget:
     return out.where("included is not null").drop("_size", "_end", "_left")
 
 
-def diversify(df: DataFrame, query: str, group: str, order: list[Column | str], groups: int, limit: int) -> DataFrame:
-    """For each query its best hit, then the best of each of up to ``groups`` groups, then the rest by order."""
+def shortlist(df: DataFrame, query: str, group: str, order: list[Column | str], groups: int, limit: int, key: str, salts: int = 64) -> DataFrame:
+    """All rows that ``diversify`` can return: the best ``limit`` of each query and the best of its foremost groups.
+
+    No task takes a whole query or group: rows are first dealt by hash of ``key`` and only the best of each part go on.
+    """
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    part = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    part = part.withColumn("_n", nth(query, group, "_salt")).where(F.col("_n") <= limit)
+    part = part.withColumn("_lead", nth(query, group) == 1)
+    part = part.withColumn("_n", nth(query, "_salt", "_lead")).where((F.col("_n") <= limit) | (F.col("_lead") & (F.col("_n") <= groups + 1)))
+    return part.drop("_salt", "_n", "_lead")
+
+
+def diversify(df: DataFrame, query: str, group: str, order: list[Column | str], groups: int, limit: int, key: str = "id") -> DataFrame:
+    """For each query its best hit, then the best of each of up to ``groups`` groups, then the rest by order; ``key``
+    spreads the rows of a query over tasks.
+    """
     q = Window.partitionBy(query)
-    ranked = df.withColumn("_place", F.row_number().over(q.orderBy(*order)))
+    ranked = shortlist(df, query, group, order, groups, limit, key).withColumn("_place", F.row_number().over(q.orderBy(*order)))
     ranked = ranked.withColumn("_of", F.row_number().over(Window.partitionBy(query, group).orderBy("_place")))
     leads = F.row_number().over(q.orderBy(F.col("_of") != 1, "_place"))
     kind = F.when(F.col("_place") == 1, 0).when((F.col("_of") == 1) & (F.col("_lead") <= groups), 1).otherwise(2)
