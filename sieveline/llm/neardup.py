@@ -3,24 +3,26 @@
 How a run goes:
 
 1. One pass over the texts makes a row of a few hundred bytes for each document: size and hash of its
-   shingle set, band keys, and a one-bit sketch.  Documents with equal sets collapse to their smallest id.
-2. Band buckets with two or more members get a hub, the member that shares the most buckets.  Each document is
+   shingle set, band keys, and a one-bit sketch.  Documents with equal sets collapse to one node.
+2. Band buckets with two or more nodes get a hub, the node that shares the most buckets.  Each node is
    compared with one hub only (a star, never all pairs); links are confirmed on the full shingle sets.
-3. Buckets whose members are all in one component are settled.  In the others each member outside the bucket's
-   largest component is compared with the members of other components, unless the sketches rule the pair out
-   (five standard deviations below the threshold).  So no link between different texts is lost to the stars.
+3. Buckets whose nodes are all in one component are settled.  In the others, nodes outside the bucket's largest
+   component are held against those of other components, sketch by sketch: the bucket is cut by set size, then
+   dealt to blocks of at most ``BLOCK`` nodes a side, so no task holds a whole bucket.  Only pairs that the sketches
+   can't rule out (five standard deviations below the threshold) leave the block and are confirmed in full; no link
+   between different texts is lost to the stars.
 4. Components come from large-star/small-star rounds over DataFrames; nothing goes through the driver.
 
 Edge cases: null and empty texts, and texts of spaces alone, have an empty set, are linked with nothing and are
-their own component.  Texts of fewer than ``width`` words are one shingle.  Rows that repeat a doc_id are kept,
-each gets the component of its set.  A null doc_id never represents a group.  An empty table gives an empty
-result.  Other columns are ignored, whatever their names.
+their own component.  Texts of fewer than ``width`` words are one shingle.  Rows that repeat a doc_id are kept, each
+with the component of its own set, even if the sets of one id are unlike.  A null doc_id never represents a group.
+An empty table gives an empty result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm import text as tx
-from sieveline.session import ship, stash
+from sieveline.session import scratch, ship, spare, stash
 
 BINS = 512
 BANDS = 32
 #: Bins of the one-bit sketches, and the longs that hold a bit for each.
 FINE = 2048
 SKETCH = FINE // 64
-_SIGNS = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+#: Nodes on each side of a block in which sketches are compared, and members that are compared with one copy of a hub.
+BLOCK = 4096
+_SETS = ["n_shingles", "set_a", "set_b"]
+_SIGNS = "doc_id long, mark long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
 
 def band_rows(threshold: float, bands: int = BANDS, miss: float = 1e-6) -> int:
@@ -94,15 +99,20 @@ class Signer:
         return keys.view(np.int64), sketch
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a mark that tells the texts of a repeated id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+
+
 def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, set hash, band keys and sketch of each document."""
+    """doc_id, mark, n_shingles, set hash, band keys and sketch of each document."""
     rows = band_rows(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(rows)
         for batch in batches:
             sizes, sums, folds, keys, sketches = [], [], [], [], []
-            for values in shingle_sets(batch.column(1), width):
+            for values in shingle_sets(batch.column(2), width):
                 sizes.append(len(values))
                 sums.append(values.sum(dtype=np.uint64))
                 folds.append(np.bitwise_xor.reduce(tx.mix(values + np.uint64(1))) if len(values) else np.uint64(0))
@@ -113,106 +123,191 @@ def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
             n = np.array(sizes, np.int64)
             flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(folds, np.uint64).view(np.int64)), tx.lists(flat(keys), (n > 0) * BANDS, pa.int64()), tx.lists(flat(sketches), (n > 0) * 2 * SKETCH, pa.int64())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(n), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(folds, np.uint64).view(np.int64)), tx.lists(flat(keys), (n > 0) * BANDS, pa.int64()), tx.lists(flat(sketches), (n > 0) * 2 * SKETCH, pa.int64())],
+                names=[x.split()[0] for x in _SIGNS.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, _SIGNS)
+    return _marked(docs).mapInArrow(sign, _SIGNS)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those distinct (a, b) with 100 * intersection >= percent * union of their full shingle sets.
+
+    The texts that are compared with one a meet it at a copy of its text, one copy for about ``BLOCK`` of them; so each
+    text moves twice, and no a with very many pairs lands in one task.
+    """
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("copies"))
+    dealt = pairs.join(copies, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).alias("copy"), F.col("b").alias("node"), F.lit(1).alias("side"))
+    heads = copies.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("a").alias("node"), F.lit(0).alias("side"))
+    asked = dealt.union(heads).join(nodes.select("node", "rep.doc_id", "rep.mark"), "node")
+    rows = _marked(docs).join(asked, ["doc_id", "mark"]).select("a", "copy", "side", "node", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A head's set stays until the next head; repeated rows of one document are compared once."""
+        head, own, before = None, np.zeros(0, np.uint64), None
         for batch in batches:
-            keep = []
-            for x, y in zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width), strict=True):
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+            left, right = [], []
+            ids = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            for (a, copy, side, node), values in zip(ids, shingle_sets(batch.column(4), width), strict=True):
+                if side == 0:
+                    head, own = a, values
+                elif (a, copy, node) != before:
+                    assert head == a
+                    at = np.searchsorted(own, values)
+                    at[at == len(own)] = 0
+                    both = int((own[at] == values).sum())
+                    if 100 * both >= percent * (len(own) + len(values) - both):
+                        left.append(a)
+                        right.append(node)
+                before = (a, copy, node)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return rows.repartition("a", "copy").sortWithinPartitions("a", "copy", "side", "node").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of ``edges`` (a, b): large-star and small-star rounds until nothing changes.
+    """(node, component) for the nodes of ``edges`` (a, b): large-star and small-star rounds until only stars are left.
 
     Each round only takes minima and joins them back, so a node with many neighbours is never gathered in one place.
     """
-    stars = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    stars = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", sweep=False)
     while True:
+        roles = stars.select(F.col("u").alias("x"), F.lit(1).alias("below")).union(stars.select(F.col("v").alias("x"), F.lit(0).alias("below")))
+        if roles.groupBy("x").agg(F.sum("below").alias("below"), F.count("*").alias("n")).where("below > 1 or below = 1 and n > 1").isEmpty():
+            return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        stars = stash(small, "edges")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        stars = stash(small, "edges", sweep=False)
 
 
-def _unlike(percent: int) -> F.Column:
-    """Whether two sketches rule a link out: their distance exceeds its mean at the threshold by five deviations."""
+def unlike(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches (pairs x longs) rule links out: their distance exceeds its mean at the threshold by five deviations."""
     far = 1 - percent / 100
-    total = F.col("x.n_shingles") + F.col("y.n_shingles")
-    bit = lambda f: sum((F.bit_count(f(i)) for i in range(SKETCH)), F.lit(0))
-    xm, ym = (lambda s: lambda i: F.col(f"{s}.sketch")[i])("x"), (lambda s: lambda i: F.col(f"{s}.sketch")[i])("y")
-    xb, yb = (lambda s: lambda i: F.col(f"{s}.sketch")[i + SKETCH])("x"), (lambda s: lambda i: F.col(f"{s}.sketch")[i + SKETCH])("y")
-    seen = bit(lambda i: xm(i).bitwiseOR(ym(i)))
-    apart = bit(lambda i: xm(i).bitwiseXOR(ym(i))) + 2 * bit(lambda i: xb(i).bitwiseXOR(yb(i)).bitwiseAND(xm(i)).bitwiseAND(ym(i)))
-    spread = seen * F.lit(far * (1 - far)) * F.greatest(F.lit(0.05), 1 - seen * (2 - far) / total) + seen * F.lit(far) * F.least(F.lit(1.0), total / F.lit(2.0 * FINE))
-    return apart > seen * F.lit(far) + 5 * F.sqrt(spread)
+    count = lambda v: np.bitwise_count(v).sum(1, dtype=np.int64)
+    xm, ym = x[:, :SKETCH], y[:, :SKETCH]
+    seen = count(xm | ym)
+    apart = count(xm ^ ym) + 2 * count((x[:, SKETCH:] ^ y[:, SKETCH:]) & xm & ym)
+    spread = seen * far * (1 - far) * np.maximum(0.05, 1 - seen * (2 - far) / sizes) + seen * far * np.minimum(1.0, sizes / (2.0 * FINE))
+    return apart > seen * far + 5 * np.sqrt(spread)
+
+
+def _open_pairs(shared: DataFrame, label: DataFrame, groups: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of different components that share a bucket and may be alike by size and sketch."""
+    placed = shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    counted = counted.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    # Buckets of the same nodes are looked at once.
+    unsettled = counted.where("parts > 1").groupBy("n", "x", "y", F.col("most.component").alias("most")).agg(F.min("key").alias("key"))
+    open_ = stash(placed.join(unsettled.select("key", "most"), "key").select("key", "node", "component", (F.col("component") != F.col("most")).alias("odd")), "open", sweep=False)
+
+    # Sets of linked documents differ in size by less than the threshold's inverse, so in class by one at most.
+    base = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9
+    sizes = open_.join(groups.select("node", *_SETS), "node").withColumn("level", F.floor(F.log(F.col("n_shingles").cast("double")) / base))
+    cells = sizes.withColumn("cell", F.explode(F.array("level", F.col("level") - 1))).withColumn("own", F.col("cell") == F.col("level"))
+    full = cells.groupBy("key", "cell").agg(F.ceil(F.sum(F.col("odd").cast("long")) / BLOCK).alias("rows"), F.ceil(F.count("*") / BLOCK).alias("columns"), F.count("*").alias("n"), F.max("own").alias("any")).where("rows > 0 and any and n > 1")
+    dealt = cells.join(full.drop("n", "any"), ["key", "cell"]).withColumns({"i": F.pmod(F.xxhash64("node"), F.col("rows")), "j": F.pmod(F.xxhash64("node"), F.col("columns"))})
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    spot = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+    right = F.transform(upto("rows"), lambda i: spot(i, F.col("j")))
+    spots = F.when(F.col("odd"), F.array_union(F.transform(upto("columns"), lambda j: spot(F.col("i"), j)), right)).otherwise(right)
+    dealt = dealt.withColumn("spot", F.explode(spots)).select("key", "cell", "spot", (F.col("odd") & (F.col("spot.i") == F.col("i"))).alias("left"), (F.col("spot.j") == F.col("j")).alias("right"), "own", "node", "component", *_SETS)
+    sketches = signs.join(sizes.select(*_SETS).distinct(), _SETS, "left_semi").select(*_SETS, "sketch").dropDuplicates(_SETS)
+    dealt = dealt.join(sketches, _SETS).select("key", "cell", F.col("spot.i").alias("i"), F.col("spot.j").alias("j"), "left", "right", "own", "node", "component", "n_shingles", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks follow each other in order; one is held at a time."""
+
+        def block(table: pa.Table) -> list[np.ndarray]:
+            left, right, own, node, component, n = (table.column(c).to_numpy() for c in ("left", "right", "own", "node", "component", "n_shingles"))
+            lists = table.column("sketch").combine_chunks()
+            sketch = lists.flatten().to_numpy().view(np.uint64).reshape(len(node), 2 * SKETCH)
+            x, y = np.flatnonzero(left), np.flatnonzero(right)
+            found = []
+            step = max(1, (1 << 21) // max(1, len(y)))
+            for lo in range(0, len(x), step):
+                part = x[lo : lo + step]
+                small, big = np.minimum(n[part][:, None], n[y]), np.maximum(n[part][:, None], n[y])
+                ask = (component[part][:, None] != component[y]) & (own[part][:, None] | own[y]) & (100 * small >= percent * big)
+                i, j = np.nonzero(ask)
+                i, j = part[i], y[j]
+                for at in range(0, len(i), 1 << 14):
+                    p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                    near = ~unlike(sketch[p], sketch[q], (n[p] + n[q]).astype(float), percent)
+                    a, b = node[p[near]], node[q[near]]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            return found
+
+        def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            spots = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+            edges = [0, *(np.flatnonzero((np.diff(spots, axis=0) != 0).any(1)) + 1).tolist(), len(spots)]
+            found: list[np.ndarray] = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b == a:
+                    continue
+                if held and tuple(spots[a]) != last:
+                    found += block(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(spots[a])
+            yield pairs(found)
+        if held:
+            yield pairs(block(pa.Table.from_batches(held)))
+
+    spots = ["key", "cell", "i", "j"]
+    return dealt.repartition(*spots).sortWithinPartitions(*spots).mapInArrow(compare, "a long, b long").distinct()
+
+
+def _classed(docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id, kept for each row of ``docs``; all other stashes are gone."""
+    spark = docs.sparkSession
+    ship(spark)
+    percent = round(100 * threshold)
+    with scratch(spark) as keep:
+        signs = stash(signatures(docs, width, threshold), "signs", sweep=False)
+        sets = signs.where("n_shingles > 0 and doc_id is not null").groupBy(*_SETS).agg(F.min(F.struct("doc_id", "mark", "bands")).alias("rep"))
+        # The number of a node is settled by being written.
+        groups = stash(sets.withColumn("node", F.monotonically_increasing_id()), "groups")
+        member = groups.select("node", F.explode("rep.bands").alias("key"))
+        shared = stash(member.join(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "buckets")
+
+        pulled = shared.join(shared.groupBy("node").agg(F.sum("size").alias("pull")), "node")
+        hubs = pulled.groupBy("key").agg(F.max(F.struct("pull", "node")).alias("hub"))
+        star = pulled.join(hubs, "key").groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).where("a <> b")
+        links = stash(confirmed(stash(star, "star", sweep=False), groups, docs, width, percent), "links")
+
+        label = stash(components(links), "label", sweep=False)
+        more = stash(_open_pairs(shared, label, groups, signs, percent), "more")
+        links = stash(confirmed(more, groups, docs, width, percent), "links")
+        # The links between components, then the components of those.
+        of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+        links = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+        wider = components(links).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+
+        placed = groups.join(label, "node", "left").select(*_SETS, "rep.doc_id", F.coalesce("component", "node").alias("component"))
+        placed = stash(placed.join(wider, "component", "left").select(*_SETS, "doc_id", F.coalesce("wider", "component").alias("component")), "placed", sweep=False)
+        found = placed.join(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select(*_SETS, "component_id")
+        out = signs.select("doc_id", "mark", *_SETS).join(found, _SETS, "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        return keep(stash(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near", sweep=False))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
-    ship(docs.sparkSession)
-    percent = round(100 * threshold)
-    signs = stash(signatures(docs, width, threshold), "signs")
-    whole = ["n_shingles", "set_a", "set_b"]
-    groups = stash(signs.where("n_shingles > 0 and doc_id is not null").groupBy(*whole).agg(F.min("doc_id").alias("rep")), "groups")
-    own = signs.join(groups.select(F.col("rep").alias("doc_id"), *whole), ["doc_id", *whole], "left_semi").dropDuplicates(["doc_id"])
-    member = own.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    sized = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = stash(member.join(sized, "key"), "buckets")
-
-    pull = shared.groupBy("doc_id").agg(F.sum("size").alias("pull"))
-    pulled = shared.join(pull, "doc_id")
-    hubs = pulled.groupBy("key").agg(F.max(F.struct("pull", (-F.col("doc_id")).alias("id"))).alias("hub"))
-    best = pulled.join(hubs, "key").groupBy("doc_id").agg(F.max("hub").alias("hub"))
-    star = best.select((-F.col("hub.id")).alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    texts = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(pull.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = stash(confirmed(star, texts, width, percent), "links")
-
-    label = components(links)
-    placed = shared.join(label, shared.doc_id == label.node, "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"))
-    open_ = stash(placed.join(counted.where("parts > 1"), "key").select("key", "band", "doc_id", "component", F.col("most.component").alias("most")), "open")
-    known = own.select("doc_id", "n_shingles", "bands", "sketch")
-    rest = stash(open_.join(known, "doc_id"), "rest")
-    small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
-    odd = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x.doc_id") < F.col("y.doc_id")))
-    #: A pair that shares several buckets is taken from the first.
-    shares = reduce(lambda f, i: F.when(F.col("x.bands")[i] == F.col("y.bands")[i], i).otherwise(f), range(BANDS - 1, -1, -1), F.lit(BANDS))
-    odd &= shares == F.col("x.band")
-    more = rest.where("component <> most").alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & odd & (100 * small >= percent * large) & ~_unlike(percent))
-    more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    links = links.union(stash(confirmed(more, texts, width, percent), "links"))
-
-    label = components(links)
-    found = groups.join(label, groups.rep == label.node, "left").select(*whole, F.coalesce("component", "rep").alias("component_id"))
-    return signs.join(found, whole, "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _classed(docs, width, threshold).drop("mark")
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the near copies: of each component the document with the smallest id stays; null ids stay."""
-    gone = near_duplicates(docs, width, threshold).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    out = _classed(docs, width, threshold)
+    key, mark = spare(docs.columns, "key"), spare(docs.columns, "mark")
+    gone = out.where("not kept").select(F.col("doc_id").alias(key), F.col("mark").alias(mark)).distinct()
+    rows = docs.withColumns({key: F.col("doc_id").cast("long"), mark: F.xxhash64("text")})
+    return rows.join(gone, [key, mark], "left_anti").select(*docs.columns)
