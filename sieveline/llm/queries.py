@@ -43,7 +43,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("spans")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "spans")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
