@@ -3,14 +3,16 @@
 A window's least 8-word hash is its anchor, and equal windows have equal anchors at equal places.  The windows of a
 document fall into runs that share an anchor; a run is one row of 40 bytes, and each window is in just one run.
 
-1. Runs are counted by anchor.  An anchor that occurs once repeats nothing; one whose runs are all equal is settled.
+1. Runs are counted by anchor.  An anchor that occurs once repeats nothing.
 2. The others' distinct runs of words are dealt to shards by anchor.  Each shard builds an FM-index: suffix array,
    Burrows-Wheeler transform in a wavelet tree of packed bits.  Runs are streamed against it: backward search finds
-   how far each place matches a second one, and reports the intervals of at least ``window`` words.
-3. An anchor with more than ``HOT`` distinct runs isn't gathered in a shard: its windows are counted by hash.
-4. Intervals return to their documents by id, and the words they cover go.
+   how far each place matches a second one, and reports the stretches that repeated windows cover.  A run that
+   stands in several places is in the text twice, so it finds itself.
+3. An anchor with more than ``HOT`` distinct runs (an eight-word phrase in very many places) isn't gathered in a shard:
+   its windows are counted by hash.  Both ways report the same stretches.
+4. Stretches return to all places of their run, and the words they cover go.
 
-Runs and hot windows are compared by 64-bit hashes together with their anchors; shards compare words.
+Runs and hot windows are told apart by 64-bit hashes together with their anchors; shards compare words.
 
 Edge cases: null and empty texts have no words and keep none.  Texts shorter than a window keep all.  Repeated rows
 are windows elsewhere like any others, so a repeated long text goes whole; ids may repeat or be null.  An empty table
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm import text as tx
-from sieveline.session import discard, ship, stash
+from sieveline.session import discard, scratch, ship, spare, stash
 
 GRAM = 8
 HOT = 20_000
 #: Words of one shard's index; a shard has one anchor's runs at least, HOT of them at most.
 SHARD = 1_000_000
+#: Places of a run from which on its stretches are broadcast to them, if at most FEW runs have so many.
+OFTEN, FEW = 10_000, 100_000
 
 
 def _spans_hash(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -119,49 +123,84 @@ class FMIndex:
         return self.first[symbol] + self.tree.rank(symbol, low), self.first[symbol] + self.tree.rank(symbol, high)
 
 
-def repeated(words: np.ndarray, cut: np.ndarray, asked: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """(part, start, end): stretches of ``window`` words of the asked parts that the text has elsewhere too.
+def repeated(words: np.ndarray, cut: np.ndarray, twice: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """(part, start, end): stretches whose words are all in windows that the text has elsewhere too.
 
-    words: hashes; part i is words[cut[i]:cut[i + 1]].  All asked parts are searched in step.  A search from the end
-    of a window that ends early at p rules out every window up to p.
+    words: hashes; part i is words[cut[i]:cut[i + 1]]; the parts marked ``twice`` stand in the text twice.  All parts are
+    searched in step, each window from its end.  A search that ends early at p rules out every window up to p.  After a
+    window that is found the next one asked follows it without overlap; if that isn't found, those between, last first.
     """
     kinds, symbol = np.unique(words, return_inverse=True)
     size = np.diff(cut)
-    text = np.zeros(len(words) + len(size), np.int64)
-    shift = np.repeat(np.arange(len(size)), size)
-    text[np.arange(len(words)) + shift] = symbol + 1
+    again = np.flatnonzero(twice)
+    order = np.concatenate([np.arange(len(size)), again])
+    length = size[order]
+    at = np.cumsum(length + 1) - length - 1
+    text = np.zeros(int(length.sum()) + len(length), np.int64)
+    text[np.arange(length.sum()) + np.repeat(np.arange(len(length)), length)] = symbol[np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(cut[:-1][order], length)] + 1
     index = FMIndex(text, len(kinds) + 1, 2 * window)
-    part = np.flatnonzero(asked & (size >= window))
-    base, end = cut[part] + part, size[part]
+    part = np.flatnonzero(size >= window)
+    base, end = at[part], size[part]
     start = np.zeros(len(part), np.int64)
     place = start + window - 1
     low, high = np.zeros(len(part), np.int64), np.full(len(part), index.n)
+    #: mode 0 seeks a first window, 1 the one right after what is covered (up to ``done``), 2 those between, down to ``floor``.
+    mode, done, resume = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
     found: list[tuple[int, int, int]] = []
     while len(part):
         low, high = index.extend(text[base + place], low, high)
-        again = high - low >= 2
-        whole = again & (place == start)
+        more = high - low >= 2
+        whole = more & (place == start)
         if whole.any():
             found += zip(part[whole].tolist(), start[whole].tolist(), (start[whole] + window).tolist(), strict=True)
-        fresh = whole | ~again
-        start = np.where(fresh, np.where(whole, start, place) + 1, start)
-        place = np.where(fresh, start + window - 1, place - 1)
-        low, high = np.where(fresh, 0, low), np.where(fresh, index.n, high)
-        going = start + window <= end
+        missed = ~more
+        over = whole | missed
+        # Found: go on right after it.  Missed right after it: try the windows between.  Missed between: the one before, down to the last that was found.
+        seek, leap, creep = missed & (mode == 0), missed & (mode == 1), missed & (mode == 2)
+        done = np.where(whole, start + window, done)
+        resume = np.where(leap, place + 1, resume)
+        start = np.select([whole, seek, leap, creep], [start + window, place + 1, np.minimum(start, end - window + 1) - 1, start - 1], start)
+        mode = np.select([whole, leap], [1, 2], mode)
+        back = (mode == 2) & (start <= done - window)
+        start, mode = np.where(back, resume, start), np.where(back, 0, mode)
+        # The last window of a part may overlap what is covered.
+        short = (mode == 1) & (start + window > end)
+        resume = np.where(short, end, resume)
+        start, mode = np.where(short, end - window, start), np.where(short, 2, mode)
+        spent = short & (start <= done - window)
+        place = np.where(over | short, start + window - 1, place - 1)
+        low, high = np.where(over | short, 0, low), np.where(over | short, index.n, high)
+        going = (start + window <= end) & ~spent
         if not going.all():
-            part, base, end, start, place, low, high = (x[going] for x in (part, base, end, start, place, low, high))
+            part, base, end, start, place, low, high, mode, done, resume = (x[going] for x in (part, base, end, start, place, low, high, mode, done, resume))
     return found
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-
-
-def covered(docs: DataFrame, window: int = 35) -> DataFrame:
-    """_key and the spans (start, end of words) that repeated windows cover, of the rows that have some."""
-    ship(docs.sparkSession)
-    texts = _keyed(docs).select("_key", "text")
+def _joined(places: DataFrame, hits: DataFrame) -> DataFrame:
+    """(key, start, end) in words of whole texts: the stretches of each run at all its places.
 
+    Runs with very many places would be one task's key, so the stretches of those go to the places instead.
+    """
+    many = hits.where(F.col("n") >= OFTEN).drop("n")
+    keys = ["anchor", "content"]
+    if 0 < many.count() <= FEW:
+        flagged = places.join(F.broadcast(many), keys, "left")
+        rest = flagged.where("spans is null").drop("spans").join(hits.where(F.col("n") < OFTEN).drop("n"), keys)
+        both = flagged.where("spans is not null").union(rest.select(*flagged.columns))
+    else:
+        both = places.join(hits.drop("n"), keys)
+    wide = both.select("key", F.col("start").cast("long").alias("at"), F.explode("spans").alias("span"))
+    return wide.select("key", (F.col("at") + F.col("span.low")).alias("start"), (F.col("at") + F.col("span.high")).alias("end"))
+
+
+def covered(texts: DataFrame, window: int = 35) -> DataFrame:
+    """key and the spans (start, end of words) that repeated windows cover, of the rows of ``texts`` (key, text) that have some."""
+    ship(texts.sparkSession)
+    with scratch(texts.sparkSession) as keep:
+        return keep(stash(_spans(texts, window), "spans"))
+
+
+def _spans(texts: DataFrame, window: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -170,19 +209,18 @@ def covered(docs: DataFrame, window: int = 35) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo + doc]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], names=["key", "start", "size", "anchor", "content"])
 
     every = stash(texts.mapInArrow(scan, "key long, start int, size int, anchor long, content long"), "runs")
-    often = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
     # Written first, so that both sides of the join have a shuffle of their own and a very common anchor's runs can be split.
-    often = stash(often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "often")
+    often = stash(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     alive = stash(every.join(often, "anchor"), "alive")
     discard(every, often)
-    unlike = stash(alive.where("mixed").groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "size")).alias("rep")), "unlike")
-    kinds = unlike.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    told = unlike.join(kinds, "anchor").select("anchor", "content", "n", (F.col("kinds") > HOT).alias("hot"), "rep.*")
-    words = unlike.agg(F.coalesce(F.sum("rep.size"), F.lit(0))).first()[0]
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // SHARD + 1)
-    # A text that stands in several rows is taken as often; its runs occur more than once and so are never asked for.
-    listed = told.groupBy("key").agg(F.collect_list(F.struct("start", "size", "anchor", "n", "hot")).alias("runs"))
-    listed = listed.join(texts, listed.key == texts._key).select("key", "runs", "text")
+    distinct = stash(alive.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "size")).alias("rep")), "distinct")
+    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("n").alias("most"))
+    told = distinct.join(kinds.where("kinds > 1 or most > 1"), "anchor").select("anchor", "content", "n", (F.col("kinds") > HOT).alias("hot"), "rep.*")
+    words = distinct.agg(F.coalesce(F.sum("rep.size"), F.lit(0))).first()[0]
+    shards = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // SHARD + 1)
+    # A text that stands in several rows with one id is taken as often; the words are the same.
+    listed = told.groupBy("key").agg(F.collect_list(F.struct("start", "size", "anchor", "n", "hot", "content")).alias("runs"))
+    listed = listed.join(texts.withColumnRenamed("key", "text_key"), F.col("key") == F.col("text_key")).select("key", "runs", "text")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words of each listed run, as the hash of each."""
@@ -190,7 +228,7 @@ def covered(docs: DataFrame, window: int = 35) -> DataFrame:
             keys = batch.column(0).to_numpy()
             asked = batch.column(1)
             flat, cut = asked.values, asked.offsets.to_numpy()
-            start, size, anchor, n, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+            start, size, anchor, n, hot, content = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
             for lo, hi, raw, at in tx.blocks(batch.column(2)):
                 first_byte, end_byte, first = tx.words(raw, at)
                 hashes = tx.word_hashes(raw, first_byte, end_byte)
@@ -198,9 +236,9 @@ def covered(docs: DataFrame, window: int = 35) -> DataFrame:
                 doc = np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1]))
                 begin, length = first[doc] + start[one], size[one].astype(np.int64)
                 place = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo + doc]), pa.array(start[one]), pa.array(anchor[one]), pa.array(n[one]), pa.array(hot[one]), tx.lists(hashes[place].view(np.int64), length, pa.int64())], names=["key", "start", "anchor", "n", "hot", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[one]), pa.array(content[one]), pa.array(n[one]), pa.array(hot[one]), tx.lists(hashes[place].view(np.int64), length, pa.int64())], names=["anchor", "content", "n", "hot", "words"])
 
-    taken = stash(listed.mapInArrow(take, "key long, start int, anchor long, n long, hot boolean, words array<long>"), "taken")
+    taken = stash(listed.mapInArrow(take, "anchor long, content long, n long, hot boolean, words array<long>"), "taken")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Streams a partition, in order of anchors, through one index after another."""
@@ -210,17 +248,28 @@ def covered(docs: DataFrame, window: int = 35) -> DataFrame:
             column = table.column("words").chunk(0)
             at = column.offsets.to_numpy()
             body = column.values.to_numpy()[at[0] : at[-1]].view(np.uint64)
-            rows = repeated(body, (at - at[0]).astype(np.int64), table.column("n").to_numpy() == 1, window)
-            part = np.array([r[0] for r in rows], np.int64)
-            start = table.column("start").to_numpy()[part] if len(rows) else np.zeros(0, np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(table.column("key").to_numpy()[part], pa.int64()), pa.array(start + np.array([r[1] for r in rows], np.int64), pa.int64()), pa.array(start + np.array([r[2] for r in rows], np.int64), pa.int64())], names=["key", "start", "end"])
+            anchor, content, n = (table.column(c).to_numpy() for c in ("anchor", "content", "n"))
+            rows = np.array(repeated(body, (at - at[0]).astype(np.int64), n > 1, window), np.int64).reshape(-1, 3)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            # Stretches that overlap or meet become one.
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] > rows[:-1, 2])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(rows)) - 1 if len(rows) else first
+            part = rows[first, 0]
+            return pa.RecordBatch.from_arrays([pa.array(anchor[part]), pa.array(content[part]), pa.array(n[part]), pa.array(rows[first, 1]), pa.array(rows[last, 2])], names=["anchor", "content", "n", "low", "high"])
 
         held: list[pa.RecordBatch] = []
-        words = 0
+        words, before = 0, None
         for batch in batches:
-            anchors = batch.column(2).to_numpy()
+            # Repeated rows of one text bring a run more than once; it is one run.
+            names = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+            fresh = np.append(before is None or (names[:1] != before).any(), (np.diff(names, axis=0) != 0).any(1))[: len(names)]
+            before = names[-1:] if len(names) else before
+            batch = batch.filter(pa.array(fresh))
+            anchors = batch.column(0).to_numpy()
             edge = np.append(np.flatnonzero(np.diff(anchors)) + 1, len(anchors))
-            size = np.append(0, np.cumsum(np.diff(batch.column(5).offsets.to_numpy())))
+            size = np.append(0, np.cumsum(np.diff(batch.column(4).offsets.to_numpy())))
             lo = 0
             for hi in edge:
                 if words + size[hi] - size[lo] > SHARD and hi < len(anchors):
@@ -233,24 +282,25 @@ def covered(docs: DataFrame, window: int = 35) -> DataFrame:
         if held:
             yield shard(held)
 
-    cold = taken.where("not hot").repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(search, "key long, start long, end long")
+    cold = taken.where("not hot").repartition(shards, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(search, "anchor long, content long, n long, low long, high long")
 
-    hot = taken.where("hot").select("key", "start", "n", "anchor", F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("step"), "words")
-    hot = hot.select("key", (F.col("start") + F.col("step")).cast("long").alias("start"), "anchor", "n", F.xxhash64(F.slice("words", F.col("step") + 1, window)).alias("body"))
-    counted = hot.groupBy("anchor", "body").agg(F.sum("n").alias("total"))
-    warm = hot.join(counted.where("total > 1"), ["anchor", "body"]).select("key", "start", (F.col("start") + window).alias("end"))
+    hot = taken.where("hot").dropDuplicates(["anchor", "content"]).select("anchor", "content", "n", F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("low"), "words")
+    hot = hot.select("anchor", "content", "n", F.col("low").cast("long").alias("low"), F.xxhash64(F.slice("words", F.col("low") + 1, window)).alias("body"))
+    total = hot.groupBy("anchor", "body").agg(F.sum("n").alias("total"))
+    warm = hot.join(total.where("total > 1"), ["anchor", "body"]).select("anchor", "content", "n", "low", (F.col("low") + window).alias("high"))
 
-    full = alive.where("not mixed").select("key", "start", "size").union(alive.where("mixed").join(unlike.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select("key", "start", "size"))
-    full = full.select("key", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end"))
-    return stash(full.union(cold).union(warm).groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    hits = stash(cold.union(warm).groupBy("anchor", "content", "n").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "hits")
+    return _joined(alive.select("anchor", "content", "key", "start"), hits).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """``docs`` with what is left of each text (words joined by one space if any went), n_words and n_removed."""
-    spans = covered(docs, window)
-    joined = _keyed(docs).join(spans, "_key", "left").drop("_key")
-    at, of = joined.columns.index("text"), joined.columns.index("spans")
-    names = [c for c in joined.columns if c != "spans"]
+    key, spans = spare(docs.columns, "key"), spare(docs.columns, "spans")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = covered(keyed.select(F.col(key).alias("key"), "text"), window)
+    joined = keyed.join(found.select(F.col("key").alias(key), F.col("spans").alias(spans)), key, "left").select(*docs.columns, spans)
+    at, of = joined.columns.index("text"), len(docs.columns)
+    names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,4 +329,4 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     kinds = [f"c{i} {joined.schema[c].dataType.simpleString()}" for i, c in enumerate(names)]
     out = joined.mapInArrow(cut, ", ".join([*kinds, f"c{len(names)} long", f"c{len(names) + 1} long"]))
-    return out.toDF(*names, "n_words", "n_removed")
+    return out.toDF(*names, spare(names, "n_words"), spare(names, "n_removed"))
