@@ -1,11 +1,12 @@
 """Media columns: texts' bytes as 8-bit audio, read back, resampled, and described by log-mel frames.
 
-Storage is a WAV file of 8-bit samples, lossless for any bytes.  Features: polyphase resampling by 3/4, overlapped
-Hann frames, log-mel filterbank, and segments by hysteresis of frame energy (on above one level, off below a lower
-one).  Windows of frames are fixed-shape tensors with their time spans.
+Storage is a column of WAV files of 8-bit samples, lossless for any bytes.  Features come from that column: polyphase
+resampling by 3/4, overlapped Hann frames, log-mel filterbank, and segments by hysteresis of frame energy (on above one
+level, off below a lower one).  Windows of frames are Arrow fixed-shape tensors with their time spans; a document's
+are one Arrow stream in a binary column, which keeps the tensor type that Spark's own columns lack.
 
-Edge cases: null counts as empty text, whose payload is 64 zero bytes.  Very long payloads are worked on in blocks
-of frames.  Each row is by itself, so equal texts have equal values and repeated rows, repeated or null ids and other
+Edge cases: null counts as empty text, whose payload is 64 zero bytes.  Very long payloads are resampled and framed in
+blocks.  Each row is by itself, so equal texts have equal values and repeated rows, repeated or null ids and other
 columns change nothing; an empty table gives an empty result.
 """
 
@@ -28,7 +29,8 @@ RATE, UP, DOWN, TAPS = 8000, 3, 4, 16
 FRAME, HOP, MELS, WINDOW = 256, 128, 24, 64
 #: Decibels above the median frame energy at which a segment starts, and below which it ends.
 ON, OFF = 1.0, 0.25
-_FRAMES = 4096
+#: Frames, and resampled samples, that are worked on at once.
+_FRAMES, _BLOCK = 4096, 3 << 18
 
 
 def payload_of(data: bytes) -> bytes:
@@ -73,22 +75,30 @@ _PHASES, _MEL, _HANN = _phases(), _mel(), np.hanning(FRAME)
 
 
 def resample(samples: np.ndarray) -> np.ndarray:
-    """UP/DOWN times as many samples: each output takes its phase's taps of the inputs before it."""
+    """UP/DOWN times as many samples (numbers, or bytes with silence at 128): each output takes its phase's taps of the inputs before it.
+
+    Blocks of inputs overlap by the filter's length, so only one of them is held as wide numbers.
+    """
     n = -(-len(samples) * UP // DOWN)
-    wide = np.concatenate([np.zeros(TAPS - 1), samples, np.zeros(DOWN)])
-    out = np.empty(n)
-    for r in range(min(UP, n)):
-        count = -(-(n - r) // UP)
-        first = (r * DOWN) // UP
-        seen = np.lib.stride_tricks.sliding_window_view(wide[first:], TAPS)[::DOWN][:count]
-        out[r::UP] = seen @ _PHASES[(r * DOWN) % UP][::-1]
+    out = np.empty(n, np.float32)
+    step = _BLOCK // UP * UP
+    for lo in range(0, n, step):
+        hi = min(n, lo + step)
+        begin, end = lo // UP * DOWN - TAPS + 1, (hi - 1) * DOWN // UP + 1
+        wide = np.zeros(end - begin + DOWN)
+        part = samples[max(0, begin) : end]
+        wide[max(0, -begin) : max(0, -begin) + len(part)] = (part.astype(np.float64) - 128) / 128 if part.dtype == np.uint8 else part
+        for r in range(min(UP, hi - lo)):
+            count = -(-(hi - lo - r) // UP)
+            seen = np.lib.stride_tricks.sliding_window_view(wide[(r * DOWN) // UP :], TAPS)[::DOWN][:count]
+            out[lo + r : hi : UP] = seen @ _PHASES[(r * DOWN) % UP][::-1]
     return out
 
 
 def log_mel(signal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frames x filters of log energies, and each frame's energy in decibels."""
     count = max(1, -(-(len(signal) - FRAME) // HOP) + 1)
-    wide = np.zeros((count - 1) * HOP + FRAME)
+    wide = np.zeros((count - 1) * HOP + FRAME, np.float32)
     wide[: len(signal)] = signal[: len(wide)]
     frames = np.lib.stride_tricks.sliding_window_view(wide, FRAME)[::HOP]
     mels, energy = np.empty((count, MELS), np.float32), np.empty(count)
@@ -111,8 +121,7 @@ def segments(energy: np.ndarray) -> np.ndarray:
 
 def features(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel frames and the segments' (start, end) in seconds."""
-    samples = (np.frombuffer(payload, np.uint8).astype(np.float64) - 128) / 128
-    mels, energy = log_mel(resample(samples))
+    mels, energy = log_mel(resample(np.frombuffer(payload, np.uint8)))
     return mels, segments(energy) * (HOP * DOWN / (RATE * UP))
 
 
@@ -131,61 +140,101 @@ def tensor_type() -> pa.DataType:
     return pa.fixed_shape_tensor(pa.float32(), [WINDOW, MELS])
 
 
-def digest(mels: np.ndarray, spans: np.ndarray) -> str:
-    """Frames x filters, number of segments, and a hash of both with two decimals."""
-    body = np.round(mels.astype(np.float64), 2).astype("<f4").tobytes() + np.round(spans, 3).astype("<f4").tobytes()
-    return f"{len(mels)}x{MELS}:{len(spans)}:{hashlib.sha256(body).hexdigest()[:32]}"
+_SPAN = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
+_STORED = pa.schema([("log_mel", tensor_type()), ("t_start", pa.float64()), ("t_end", pa.float64()), ("segments", _SPAN)])
 
 
-_TABLE = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def pack(mels: np.ndarray, spans: np.ndarray) -> bytes:
+    """An Arrow stream of one row for each window: tensor, time span, and the segments that overlap it."""
+    tensors, times = windows(mels)
+    near = [[{"start": a, "end": b} for a, b in spans[(spans[:, 0] < t) & (spans[:, 1] > s)].tolist()] for s, t in times.tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.FixedShapeTensorArray.from_numpy_ndarray(tensors), pa.array(times[:, 0]), pa.array(times[:, 1]), pa.array(near, _SPAN)], schema=_STORED)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _STORED) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """Size, hashes and feature digest of each text as stored media, read back from the stored form."""
+def unpack(packed: bytes) -> pa.Table:
+    """The rows of a packed document, log_mel as a column of fixed-shape tensors."""
+    return pa.ipc.open_stream(packed).read_all()
+
+
+def digest(packed: pa.Table) -> str:
+    """Windows x frames x filters, distinct segments, and a hash of tensors, time spans and segments, rounded."""
+    tensors = packed.column("log_mel").combine_chunks().to_numpy_ndarray()
+    times = np.stack([packed.column(c).to_numpy() for c in ("t_start", "t_end")], 1)
+    inside = packed.column("segments").combine_chunks().flatten()
+    spans = np.unique(np.stack([inside.field(0).to_numpy(), inside.field(1).to_numpy()], 1), axis=0)
+    body = b"".join(np.round(x.astype(np.float64), d).astype("<f4").tobytes() for x, d in ((tensors, 2), (times, 3), (spans, 3)))
+    return f"{'x'.join(map(str, tensors.shape))}:{len(spans)}:{times.max():.3f}:{hashlib.sha256(body).hexdigest()[:32]}"
+
+
+#: Rows of one batch that a task hands on; a window takes 6 KB.
+_ROWS = 256
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, and the texts' bytes as WAV files in the column media."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(1):
-                data = (x.as_py() or "").encode()
-                media = store(payload_of(data))
-                payload = load(media)
-                out.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), digest(*features(payload))))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[p.split()[0] for p in _TABLE.split(", ")])
+            for lo in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(lo, _ROWS)
+                data = [(x or "").encode() for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array([store(payload_of(x)) for x in data], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _TABLE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def audio_features(media: DataFrame, column: str = "media") -> DataFrame:
-    """One row for each window of ``media`` (doc_id, WAV bytes): log_mel of WINDOW x MELS values, its time span, and
-    the segments that overlap it.  The log_mel column carries the shape of the Arrow tensor in its metadata.
-    """
+def with_tensors(media: DataFrame) -> DataFrame:
+    """``media`` (doc_id, n_bytes, media) with the column tensors: each file's windows, packed."""
     ship(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
         for batch in batches:
-            for doc_id, stored in zip(batch.column(0), batch.column(1), strict=True):
-                mels, spans = features(load(stored.as_py()) if stored.is_valid else payload_of(b""))
-                tensors, times = windows(mels)
-                near = [[{"start": a, "end": b} for a, b in spans[(spans[:, 0] < t) & (spans[:, 1] > s)]] for s, t in times]
-                n = len(tensors)
-                flat = pa.FixedShapeTensorArray.from_numpy_ndarray(tensors).storage.cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(times[:, 0]), pa.array(times[:, 1]), flat, pa.array(near, kind)], names=["doc_id", "window", "t_start", "t_end", "log_mel", "segments"])
+            for lo in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(lo, _ROWS)
+                packed = [pack(*features(load(x) if x is not None else payload_of(b""))) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(packed, pa.binary())], names=["doc_id", "n_bytes", "media", "tensors"])
 
-    out = media.select(F.col("doc_id").cast("long").alias("doc_id"), column).mapInArrow(run, "doc_id long, window int, t_start double, t_end double, log_mel array<float>, segments array<struct<start: double, end: double>>")
-    return out.withMetadata("log_mel", {"ARROW:extension:name": "arrow.fixed_shape_tensor", "shape": [WINDOW, MELS]})
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, tensors binary")
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """doc_id and the texts' bytes as WAV files."""
+_TABLE = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """Size, hashes and feature digest of each text as stored media; payload and tensors are read back from their columns."""
     ship(docs.sparkSession)
 
-    @F.pandas_udf("binary")
-    def keep(column):  # noqa: ANN001, ANN202
-        return column.map(lambda x: store(payload_of((x or "").encode())))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for media, packed in zip(batch.column(2), batch.column(3), strict=True):
+                media, payload = media.as_py(), load(media.as_py())
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), digest(unpack(packed.as_py()))))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in _TABLE.split(", ")])
+
+    return with_tensors(stored(docs)).mapInArrow(run, _TABLE)
+
+
+def audio_features(media: DataFrame) -> DataFrame:
+    """One row for each window of ``media`` (doc_id, n_bytes, media): its place, time span, values and segments.
+
+    Spark's columns have no tensors, so the values are WINDOW x MELS floats in rows; ``with_tensors`` keeps the type.
+    """
+    ship(media.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = unpack(packed.as_py())
+                n = len(rows)
+                flat = rows.column("log_mel").combine_chunks().storage.cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(range(n), pa.int32()), *(rows.column(c).combine_chunks() for c in ("t_start", "t_end")), flat, rows.column("segments").combine_chunks()], names=["doc_id", "window", "t_start", "t_end", "log_mel", "segments"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), keep(F.col("text")).alias("media"))
+    return with_tensors(media).select("doc_id", "tensors").mapInArrow(run, "doc_id long, window int, t_start double, t_end double, log_mel array<float>, segments array<struct<start: double, end: double>>")
