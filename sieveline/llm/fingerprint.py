@@ -14,6 +14,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,33 +48,60 @@ def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PrefixHash:
-    """Prefix hashes of code points; answers span equality and longest common extensions."""
+    """Prefix hashes of code points, in blocks; answers span equality and longest common extensions.
+
+    The sums start afresh in each block, so the tables of powers have a block's length whatever the text's.
+    """
 
     def __init__(self, codes: np.ndarray, moduli: int = 2) -> None:
         self.n = len(codes)
-        self.sums = []
+        self.sums: list[list[np.ndarray]] = []
         for k in range(moduli):
             prime = np.uint64(PRIMES[k][0])
-            terms = (codes.astype(np.uint64) + np.uint64(1)) * _powers(k, self.n + 1)[0][: self.n] % prime
-            total = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(terms, out=total[1:])
-            self.sums.append(total % prime)
+            blocks = []
+            for lo in range(0, max(self.n, 1), _BLOCK):
+                part = codes[lo : lo + _BLOCK].astype(np.uint64) + np.uint64(1)
+                total = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(part * _powers(k, len(part) + 1)[0][: len(part)] % prime, out=total[1:])
+                blocks.append((total % prime).astype(np.uint32))
+            self.sums.append(blocks)
 
     def span(self, start: np.ndarray, length: np.ndarray | int, k: int = 0) -> np.ndarray:
-        """Hash of the spans at ``start``, the same wherever a span stands."""
+        """Hash of the spans at ``start`` in the first block, the same wherever a span stands."""
         prime = np.uint64(PRIMES[k][0])
-        inverse = _powers(k, self.n + 1)[1]
-        return (self.sums[k][start + length] + prime - self.sums[k][start]) % prime * inverse[start] % prime
+        total = self.sums[k][0].astype(np.uint64)
+        return (total[start + length] + prime - total[start]) % prime * _powers(k, len(total))[1][start] % prime
 
-    def same(self, i: int, other: PrefixHash, j: int, length: int) -> bool:
-        return all(self.span(np.array([i]), length, k)[0] == other.span(np.array([j]), length, k)[0] for k in range(len(self.sums)))
+    def _one(self, at: int, length: int, k: int) -> int:
+        """Hash of one span that lies in one block."""
+        block, at = divmod(at, _BLOCK)
+        total, prime = self.sums[k][block], PRIMES[k][0]
+        return (int(total[at + length]) - int(total[at])) * int(_powers(k, len(total))[1][at]) % prime
 
-    def extension(self, i: int, other: PrefixHash, j: int) -> int:
-        """Length of the longest common extension of place i here and place j there."""
-        low, high = 0, min(self.n - i, other.n - j)
+    def same(self, i: int, other: PrefixHash, j: int, length: int) -> bool:
+        """Whether the spans at i here and at j there are equal (up to both hashes)."""
+        done = 0
+        while done < length:
+            step = min(length - done, _BLOCK - (i + done) % _BLOCK, _BLOCK - (j + done) % _BLOCK)
+            if any(self._one(i + done, step, k) != other._one(j + done, step, k) for k in range(len(self.sums))):
+                return False
+            done += step
+        return True
+
+    def extension(self, i: int, other: PrefixHash, j: int, most: int | None = None) -> int:
+        """Length of the longest common extension of place i here and place j there, ``most`` at most.
+
+        Doubling finds a span that differs, binary search where in it.
+        """
+        limit = min(self.n - i, other.n - j) if most is None else min(self.n - i, other.n - j, most)
+        low, step = 0, 1
+        while low < limit and self.same(i + low, other, j + low, min(step, limit - low)):
+            low += min(step, limit - low)
+            step *= 2
+        high = min(limit, low + step) - (low < limit)
         while low < high:
             half = (low + high + 1) // 2
-            low, high = (half, high) if self.same(i, other, j, half) else (low, half - 1)
+            low, high = (half, high) if self.same(i + low, other, j + low, half - low) else (low, half - 1)
         return low
 
 
@@ -86,18 +114,23 @@ def _scramble(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def span_hashes(codes: np.ndarray) -> np.ndarray:
+def span_hashes(codes: np.ndarray, hashed: PrefixHash | None = None) -> np.ndarray:
     """A 32-bit hash of the span at each place, in blocks; one of the whole text if it is shorter than a span."""
     if len(codes) < SPAN:
         whole = PrefixHash(codes, 1).span(np.zeros(1, np.int64), len(codes))
         return _scramble(whole + np.uint64((len(codes) + 1) << 32))
+    hashed = hashed or PrefixHash(codes, 1)
+    prime, inverse = np.uint64(PRIMES[0][0]), _powers(0, min(len(codes), _BLOCK) + 1)[1]
+    within = lambda total: _scramble((total[SPAN:] + prime - total[:-SPAN]) % prime * inverse[: len(total) - SPAN] % prime)
     parts = []
-    for lo in range(0, len(codes) - SPAN + 1, _BLOCK):
-        part = codes[lo : lo + _BLOCK + SPAN - 1]
-        hashed = PrefixHash(part, 1)
-        prime, inverse = np.uint64(PRIMES[0][0]), _powers(0, len(part) + 1)[1]
-        total = hashed.sums[0]
-        parts.append(_scramble((total[SPAN:] + prime - total[:-SPAN]) % prime * inverse[: len(part) - SPAN + 1] % prime))
+    for i, block in enumerate(hashed.sums[0]):
+        if i:
+            # The spans that begin in the block before and end in this one.
+            across = PrefixHash(codes[i * _BLOCK - SPAN + 1 : i * _BLOCK + SPAN - 1], 1).sums[0][0].astype(np.uint64)
+            if len(across) > SPAN:
+                parts.append(within(across))
+        if len(block) > SPAN:
+            parts.append(within(block.astype(np.uint64)))
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
@@ -139,7 +172,8 @@ class _Text:
     def __init__(self, text: str) -> None:
         self.text = text
         self.codes = codes_of(text)
-        self.hashes = span_hashes(self.codes)
+        self.prefix = PrefixHash(self.codes)
+        self.hashes = span_hashes(self.codes, self.prefix)
         self.mark = written(minima(self.hashes))
 
 
@@ -161,6 +195,16 @@ def _edited(one: _Text, two: _Text) -> tuple[str, str]:
     return text, written(np.minimum.reduce(parts))
 
 
+def _extensions(one: _Text, two: _Text) -> tuple[int, int]:
+    """Code points that a text shares from its start with its edited text, and with the next document.
+
+    The edited text differs first where the replaced half and the next document's start do.
+    """
+    n = len(one.codes)
+    kept = n - n // 2
+    return kept + one.prefix.extension(kept, two.prefix, 0, n // 2), one.prefix.extension(0, two.prefix, 0)
+
+
 def _chained(docs: DataFrame) -> DataFrame:
     """Rows of (bucket, ghost, doc_id, text), in order within each partition, each followed by its next document.
 
@@ -173,7 +217,12 @@ def _chained(docs: DataFrame) -> DataFrame:
     keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"))
     cuts = keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0]
     cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
+    # Two short scans, over every wide-th border and over the borders from there on, instead of one over them all.
+    wide = max(1, math.isqrt(len(cuts)))
+    borders, far = (F.array(*[F.lit(c) for c in x]) for x in (cuts or [low], cuts[wide - 1 :: wide] or [low]))
+    passed = lambda found: F.size(F.filter(found, lambda c: c <= F.col("key")))
+    coarse = passed(far) * wide if len(cuts) >= wide and cuts else F.lit(0)
+    bucket = coarse + passed(F.slice(borders, coarse + 1, wide)) if cuts else F.lit(0)
     heads = sorted((r.bucket, r.key) for r in keys.withColumn("bucket", bucket).groupBy("bucket").agg(F.min("key").alias("key")).collect())
     rows = base.withColumn("bucket", bucket).withColumn("ghost", F.lit(0))
     if heads:
@@ -185,13 +234,15 @@ def _chained(docs: DataFrame) -> DataFrame:
     return rows.repartitionById(n + 1, F.col("bucket")).sortWithinPartitions("bucket", "ghost", "key", "text").select("bucket", "ghost", "doc_id", "text")
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long"
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how like they and the next document's are.
 
-    The edited text has the last floor(n/2) code points replaced by as many first ones of the next document.
+    The edited text has the last floor(n/2) code points replaced by as many first ones of the next document.  same_edited
+    and same_next: code points up to the first difference from the edited text and from the next document, which are the
+    longest common extensions of their starts.
     """
     ship(docs.sparkSession)
 
@@ -204,10 +255,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if last and last[0] == bucket:
                     one = last[3]
                     edited, mark = _edited(one, here)
-                    out.append((last[2], len(one.codes), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), one.mark, mark, likeness(one.mark, mark), likeness(one.mark, here.mark)))
+                    out.append((last[2], len(one.codes), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), one.mark, mark, likeness(one.mark, mark), likeness(one.mark, here.mark), *_extensions(one, here)))
                 last = (bucket, ghost, doc_id, here)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _OUT.split(", ")])
 
     return _chained(docs).mapInArrow(run, _OUT)
