@@ -29,8 +29,10 @@ from pyspark.sql import types as T
 from sieveline.llm.text import lists
 from sieveline.session import ship
 
-#: Pieces whose ids are remembered by a task before it starts afresh.
-CACHE = 300_000
+#: Letters of all pieces whose ids a task remembers before it starts afresh (Python takes about 25 bytes for each), and pairs whose test it remembers.
+CACHE, PAIRS = 4 << 20, 1_000_000
+#: Longer pieces aren't remembered.
+LONG = 256
 #: Fixed value: Unicode's White_Space.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how byte-level BPE cuts text into pieces.
@@ -70,6 +72,7 @@ class Encoder:
         self.suffixes.make_automaton()
         self.stays: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.find = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
@@ -99,23 +102,23 @@ class Encoder:
         """The ids of one piece."""
         n = len(data)
         last, size = [-1] * (n + 1), [0] * (n + 1)
-        beside, end = self.beside, 0
-        ending: list[tuple[int, int]] = []
-
-        def settle() -> None:
-            for length, token in ending:
-                before = end - length
-                if not before or last[before] >= 0 and beside(last[before], token):
-                    last[end], size[end] = token, length
-                    return
-
-        for at, match in self.suffixes.iter(data.decode("latin-1")):
-            if at + 1 != end:
-                settle()
-                ending.clear()
-                end = at + 1
-            ending.append(match)
-        settle()
+        stays = self.stays
+        if len(stays) > PAIRS:
+            stays.clear()
+        for at, (length, token) in self.suffixes.iter(data.decode("latin-1")):
+            end = at + 1
+            if size[end]:  # the one last token of this prefix is known
+                continue
+            if length < end:
+                before = last[end - length]
+                if before < 0:
+                    continue
+                fits = stays.get((before, token))
+                if fits is None:
+                    fits = self.beside(before, token)
+                if not fits:
+                    continue
+            last[end], size[end] = token, length
         ids = []
         while n:
             if not size[n]:
@@ -136,12 +139,18 @@ class Encoder:
             try:
                 out.append(b"".join(map(known.__getitem__, pieces)))
             except KeyError:
-                if len(known) > CACHE:
-                    known.clear()
+                here = {}
                 for p in set(pieces):
-                    if p not in known:
-                        known[p] = np.array(self.piece(p.encode()), "<u4").tobytes()
-                out.append(b"".join(map(known.__getitem__, pieces)))
+                    if (made := known.get(p)) is None:
+                        made = np.array(self.piece(p.encode()), "<u4").tobytes()
+                        if len(p) <= LONG:
+                            self.held += len(p)
+                            known[p] = made
+                    here[p] = made
+                out.append(b"".join(map(here.__getitem__, pieces)))
+                if self.held > CACHE:
+                    known.clear()
+                    self.held = 0
         return b"".join(out)
 
 

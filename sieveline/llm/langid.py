@@ -1,7 +1,8 @@
 """Language ID: scripts narrow the candidates, then Viterbi over per-word scores labels spans of one language.
 
 A word's score for a language sums the log-likelihoods of its byte n-grams (1 to 3, with the word's borders), hashed
-to 2**16 buckets.  Languages that the sample hasn't shown in the word's script are out.  A step from one language to
+to 2**16 buckets.  Languages that the sample hasn't shown in the word's
+script are out, however well the rest of the word fits; scripts that no language shows rule none out.  A step from one language to
 another costs ``SWITCH``, so a text falls into spans; its language is the one with the most letters.  The counts come
 from a bounded sample (``SAMPLE`` documents, least hashes of their ids); only the table of buckets by language reaches
 the driver.
@@ -26,7 +27,7 @@ from sieveline.session import ship
 
 SAMPLE = 20_000
 BITS, ORDERS = 16, 3
-SWITCH, DAMP, OUT = 8.0, 0.5, -40.0
+SWITCH, DAMP, OUT = 8.0, 0.5, -np.inf
 _BLOCK = 8 << 20
 #: First code points of the ranges of scripts; 0 is anything else.
 SCRIPTS = ((0x0041, 1), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0780, 0), (0x0900, 7), (0x0980, 8), (0x0A00, 9), (0x0A80, 10), (0x0B00, 0), (0x0B80, 11), (0x0C00, 12), (0x0C80, 13), (0x0D00, 14), (0x0D80, 15), (0x0E00, 16), (0x0E80, 17), (0x0F00, 0), (0x10A0, 18), (0x1100, 19), (0x1200, 20), (0x13A0, 0), (0x1780, 21), (0x1800, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 22), (0x3100, 0), (0x3400, 23), (0xA000, 0), (0xAC00, 19), (0xD7B0, 0), (0xF900, 23), (0xFB00, 1), (0xFB07, 0), (0x20000, 23))
