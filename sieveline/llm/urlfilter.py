@@ -2,9 +2,13 @@
 
 A list is rows (pattern, action, listed): from that day on the pattern is under the action, until its next row.  The
 rows become validity intervals; a pattern is a host or domain (`example.com`) or the start of a path below one
-(`example.com/ads/`).  Every capture asks for the patterns that may cover it, its host, the domains above it, and each of
-these with each leading part of the path, by equality, and takes the entries active when it was fetched; of those the
-longest pattern wins, the host's own before a longer path of a shorter domain.
+(`example.com/ads/`).  A capture may be covered by its host, the domains above it, and each of these with each leading
+part of the path; of the entries active when it was fetched the longest pattern wins, the host's own before a longer
+path of a shorter domain.
+
+How it goes: distinct hosts ask which of their domains the list has at all, so a domain above very many captures is
+asked for once for each host.  Only captures of the hosts that are on the list ask for patterns, as distinct pairs of
+URL and date without their other columns.  The answers join the captures by that pair.
 
 Edge cases: captures without a URL, host or fetch date, and those no active entry covers, have a null pattern and
 action and aren't blocked.  Hosts are compared in lower case, without port and user.  Of several list rows of a pattern
@@ -14,10 +18,12 @@ Repeated captures are judged each; other columns are kept, and an empty list blo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sieveline.session import spare
+
 #: The dated list that the query applies.
 LISTED = (
     ("cheap-pills.example.com", "block", "2024-01-15"),
@@ -44,29 +50,47 @@ def sample_list(spark: SparkSession) -> DataFrame:
 
 def intervals(listed: DataFrame) -> DataFrame:
     """pattern, action, since, until (exclusive; null while it lasts) of each list row."""
-    rows = listed.select(F.lower("pattern").alias("pattern"), "action", F.col("listed").alias("since")).where("pattern is not null and action is not null and since is not null")
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.substr("pattern", F.length(host) + 1))  # paths keep their case
+    rows = listed.select(pattern.alias("pattern"), "action", F.col("listed").alias("since")).where("pattern is not null and action is not null and since is not null")
     rows = rows.groupBy("pattern", "since").agg(F.max("action").alias("action"))
     return rows.withColumn("until", F.lead("since").over(Window.partitionBy("pattern").orderBy("since")))
 
 
-def asked(url: str = "url") -> F.Column:
+_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+_REST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]+)(?:[/]([^?#]*))?"
+
+
+def _domains(host: Column) -> Column:
+    """A host and the domains above it."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def asked(url: str = "url") -> Column:
     """The patterns that may cover a URL, the one that wins first."""
-    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]+)(?:[/]([^?#]*))?", 2)
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    labels, parts = F.split(host, r"\."), F.split(rest, "/")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    host, parts = F.lower(F.regexp_extract(url, _HOST, 1)), F.split(F.regexp_extract(url, _REST, 2), "/")
     paths = F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda i: F.when(i > 0, F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))).otherwise(""))
-    return F.when(host != "", F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.concat(d, p)))))
+    return F.when(host != "", F.flatten(F.transform(_domains(host), lambda d: F.transform(paths, lambda p: F.concat(d, p)))))
 
 
 def judge(captures: DataFrame, listed: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
-    """``captures`` with the pattern and action of the entry that decides, and whether it blocks."""
-    ids = captures.withColumns({"_row": F.struct(*[F.col(c) for c in captures.columns]), "_id": F.monotonically_increasing_id()})
-    wide = ids.select("_row", "_id", F.col(fetched).alias("_at"), F.posexplode_outer(asked(url)).alias("_rank", "_key"))
-    found = wide.join(intervals(listed), (F.col("_key") == F.col("pattern")) & (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))), "left")
-    best = F.min(F.when(F.col("pattern").isNotNull(), F.struct("_rank", "pattern", "action"))).alias("best")
-    out = found.groupBy("_id").agg(F.first("_row").alias("_row"), best)
-    return out.select("_row.*", "best.pattern", "best.action", F.coalesce(F.col("best.action") == "block", F.lit(False)).alias("blocked"))
+    """``captures`` with the pattern and action of the entry that decides, and whether it blocks.
+
+    Columns of those names that captures have already stay, and the new ones get underscores before theirs.
+    """
+    entries = intervals(listed)
+    pairs = captures.select(F.col(url).alias("url"), F.col(fetched).alias("at")).where("url is not null and at is not null")
+    hosts = pairs.select(F.lower(F.regexp_extract("url", _HOST, 1)).alias("host")).where("host <> ''").distinct()
+    above = hosts.select("host", F.explode(_domains(F.col("host"))).alias("domain"))
+    on_list = above.join(entries.select(F.substring_index("pattern", "/", 1).alias("domain")).distinct(), "domain", "left_semi").select("host").distinct()
+    some = pairs.withColumn("host", F.lower(F.regexp_extract("url", _HOST, 1))).join(on_list, "host", "left_semi").select("url", "at").distinct()
+    found = some.select("url", "at", F.posexplode(asked("url")).alias("rank", "key")).join(entries, (F.col("key") == F.col("pattern")) & (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    best = found.groupBy("url", "at").agg(F.min(F.struct("rank", "pattern", "action")).alias("best"))
+    c, b = captures.alias("c"), best.alias("b")
+    names = [spare(captures.columns, n) for n in ("pattern", "action", "blocked")]
+    new = [F.col("b.best.pattern"), F.col("b.best.action"), F.coalesce(F.col("b.best.action") == "block", F.lit(False))]
+    return c.join(b, (F.col(f"c.{url}") == F.col("b.url")) & (F.col(f"c.{fetched}") == F.col("b.at")), "left").select("c.*", *[x.alias(n) for x, n in zip(new, names, strict=True)])
 
 
 ORACLE_SQL = f"""
