@@ -7,10 +7,11 @@ How a run goes:
 2. Band buckets with two or more nodes get a hub, the node that shares the most buckets.  Each node is
    compared with one hub only (a star, never all pairs); links are confirmed on the full shingle sets.
 3. Buckets whose nodes are all in one component are settled.  In the others, nodes outside the bucket's largest
-   component are held against those of other components, sketch by sketch: the bucket is cut by set size, then
-   dealt to blocks of at most ``BLOCK`` nodes a side, so no task holds a whole bucket.  Only pairs that the sketches
-   can't rule out (five standard deviations below the threshold) leave the block and are confirmed in full; no link
-   between different texts is lost to the stars.
+   component are held against those of other components: the bucket is cut by set size, then dealt to blocks of
+   bounded size, so no task holds a whole bucket.  A first look compares sketches and leaves the nodes that have a
+   partner which sketches can't rule out (five standard deviations below the threshold).  A second look compares the
+   full sets of those, nearest sketches first, and gives one link for each two components that it joins.  What leaves
+   a block is at most a row for each of its nodes, never a row for each pair, and no link is lost to the stars.
 4. Components come from large-star/small-star rounds over DataFrames; nothing goes through the driver.
 
 Edge cases: null and empty texts, and texts of spaces alone, have an empty set, are linked with nothing and are
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm import text as tx
@@ -39,6 +40,8 @@ FINE = 2048
 SKETCH = FINE // 64
 #: Nodes on each side of a block in which sketches are compared, and members that are compared with one copy of a hub.
 BLOCK = 4096
+#: Shingles on each side of a block in which sets are compared.
+HELD = 2_000_000
 _SETS = ["n_shingles", "set_a", "set_b"]
 _SIGNS = "doc_id long, mark long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
@@ -68,6 +71,15 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def shared_values(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets have in common."""
+    if len(x) < len(y):
+        x, y = y, x
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return int((x[at] == y).sum()) if len(x) else 0
+
+
 class Signer:
     """One-permutation signature of a sorted set of hashes: the least value in each of 512 equal ranges."""
 
@@ -153,9 +165,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
                     head, own = a, values
                 elif (a, copy, node) != before:
                     assert head == a
-                    at = np.searchsorted(own, values)
-                    at[at == len(own)] = 0
-                    both = int((own[at] == values).sum())
+                    both = shared_values(own, values)
                     if 100 * both >= percent * (len(own) + len(values) - both):
                         left.append(a)
                         right.append(node)
@@ -183,87 +193,166 @@ def components(edges: DataFrame) -> DataFrame:
         stars = stash(small, "edges", sweep=False)
 
 
-def unlike(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sketches (pairs x longs) rule links out: their distance exceeds its mean at the threshold by five deviations."""
+def unlike(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sketches (pairs x longs) rule links out: their distance exceeds its mean at the threshold by five deviations.
+
+    Also that distance, as a share of the bins that either sketch fills.
+    """
     far = 1 - percent / 100
     count = lambda v: np.bitwise_count(v).sum(1, dtype=np.int64)
     xm, ym = x[:, :SKETCH], y[:, :SKETCH]
     seen = count(xm | ym)
     apart = count(xm ^ ym) + 2 * count((x[:, SKETCH:] ^ y[:, SKETCH:]) & xm & ym)
     spread = seen * far * (1 - far) * np.maximum(0.05, 1 - seen * (2 - far) / sizes) + seen * far * np.minimum(1.0, sizes / (2.0 * FINE))
-    return apart > seen * far + 5 * np.sqrt(spread)
+    return apart > seen * far + 5 * np.sqrt(spread), apart / np.maximum(seen, 1)
+
 
+def _unsettled(shared: DataFrame, label: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Rows of (key, cell, node, component, odd, own) and the node's set, of the buckets with several components.
 
-def _open_pairs(shared: DataFrame, label: DataFrame, groups: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of different components that share a bucket and may be alike by size and sketch."""
+    Sets of linked documents differ in size by less than the threshold's inverse, so in level by one at most: a cell of a
+    bucket holds the nodes of one level (own) and those of the next.  odd: outside the bucket's largest component.
+    """
     placed = shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     counted = counted.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
     # Buckets of the same nodes are looked at once.
-    unsettled = counted.where("parts > 1").groupBy("n", "x", "y", F.col("most.component").alias("most")).agg(F.min("key").alias("key"))
-    open_ = stash(placed.join(unsettled.select("key", "most"), "key").select("key", "node", "component", (F.col("component") != F.col("most")).alias("odd")), "open", sweep=False)
-
-    # Sets of linked documents differ in size by less than the threshold's inverse, so in class by one at most.
+    several = counted.where("parts > 1").groupBy("n", "x", "y", F.col("most.component").alias("most")).agg(F.min("key").alias("key"))
+    rows = placed.join(several.select("key", "most"), "key").select("key", "node", "component", (F.col("component") != F.col("most")).alias("odd"))
     base = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9
-    sizes = open_.join(groups.select("node", *_SETS), "node").withColumn("level", F.floor(F.log(F.col("n_shingles").cast("double")) / base))
-    cells = sizes.withColumn("cell", F.explode(F.array("level", F.col("level") - 1))).withColumn("own", F.col("cell") == F.col("level"))
-    full = cells.groupBy("key", "cell").agg(F.ceil(F.sum(F.col("odd").cast("long")) / BLOCK).alias("rows"), F.ceil(F.count("*") / BLOCK).alias("columns"), F.count("*").alias("n"), F.max("own").alias("any")).where("rows > 0 and any and n > 1")
-    dealt = cells.join(full.drop("n", "any"), ["key", "cell"]).withColumns({"i": F.pmod(F.xxhash64("node"), F.col("rows")), "j": F.pmod(F.xxhash64("node"), F.col("columns"))})
+    rows = rows.join(groups.select("node", *_SETS), "node").withColumn("level", F.floor(F.log(F.col("n_shingles").cast("double")) / base))
+    return rows.withColumn("cell", F.explode(F.array("level", F.col("level") - 1))).withColumn("own", F.col("cell") == F.col("level")).drop("level")
+
+
+def _dealt(cells: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """``cells`` dealt to blocks (i, j) of about ``limit`` a side: odd nodes of part i at the left, all of part j at the right."""
+    sized = cells.groupBy("key", "cell").agg(F.ceil(F.sum(F.when(F.col("odd"), weight).otherwise(0)) / limit).alias("rows"), F.ceil(F.sum(weight) / limit).alias("columns"), F.count("*").alias("n"), F.max("own").alias("any"))
+    spread = cells.join(sized.where("rows > 0 and any and n > 1").drop("n", "any"), ["key", "cell"]).withColumns({"i": F.pmod(F.xxhash64("node"), F.col("rows")), "j": F.pmod(F.xxhash64("node"), F.col("columns"))})
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     spot = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
     right = F.transform(upto("rows"), lambda i: spot(i, F.col("j")))
     spots = F.when(F.col("odd"), F.array_union(F.transform(upto("columns"), lambda j: spot(F.col("i"), j)), right)).otherwise(right)
-    dealt = dealt.withColumn("spot", F.explode(spots)).select("key", "cell", "spot", (F.col("odd") & (F.col("spot.i") == F.col("i"))).alias("left"), (F.col("spot.j") == F.col("j")).alias("right"), "own", "node", "component", *_SETS)
-    sketches = signs.join(sizes.select(*_SETS).distinct(), _SETS, "left_semi").select(*_SETS, "sketch").dropDuplicates(_SETS)
-    dealt = dealt.join(sketches, _SETS).select("key", "cell", F.col("spot.i").alias("i"), F.col("spot.j").alias("j"), "left", "right", "own", "node", "component", "n_shingles", "sketch")
+    flags = {"left": F.col("odd") & (F.col("spot.i") == F.col("i")), "right": F.col("spot.j") == F.col("j")}
+    return spread.withColumn("spot", F.explode(spots)).withColumns(flags).withColumns({"i": F.col("spot.i"), "j": F.col("spot.j")}).drop("spot", "rows", "columns", "odd")
+
+
+_SPOT = ["key", "cell", "i", "j"]
+
+
+class _Block:
+    """The rows of one block, and those pairs of them that sketches can't rule out, nearest first."""
+
+    def __init__(self, table: pa.Table, percent: int) -> None:
+        table = table.filter(pa.array(np.diff(table.column("node").to_numpy(), prepend=-1) != 0))  # repeated rows of one document
+        self.percent = percent
+        self.key, self.cell, self.node, self.component, self.size, self.own = (table.column(c).to_numpy() for c in ("key", "cell", "node", "component", "n_shingles", "own"))
+        self.x, self.y = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
+        self.sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 2 * SKETCH)
+        self.sets = table.column("shingles").combine_chunks() if "shingles" in table.column_names else None
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, (1 << 20) // max(1, len(self.y)))
+        for lo in range(0, len(self.x), step):
+            part = self.x[lo : lo + step]
+            small, big = np.minimum(self.size[part][:, None], self.size[self.y]), np.maximum(self.size[part][:, None], self.size[self.y])
+            i, j = np.nonzero((self.component[part][:, None] != self.component[self.y]) & (self.own[part][:, None] | self.own[self.y]) & (100 * small >= self.percent * big))
+            i, j = part[i], self.y[j]
+            for at in range(0, len(i), 1 << 14):
+                p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                far, apart = unlike(self.sketch[p], self.sketch[q], (self.size[p] + self.size[q]).astype(float), self.percent)
+                near = np.flatnonzero(~far)
+                near = near[np.argsort(apart[near], kind="stable")]
+                yield p[near], q[near]
+
+    def partnered(self) -> list[np.ndarray]:
+        """(key, cell, node) of the rows that are in such a pair."""
+        hit = np.zeros(len(self.node), bool)
+        for p, q in self.pairs():
+            hit[p] = hit[q] = True
+        return [self.key[hit], self.cell[hit], self.node[hit]]
+
+    def links(self) -> list[np.ndarray]:
+        """(a, b): confirmed links, one where they join two components that were apart until then."""
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        flat, at = self.sets.values.to_numpy().view(np.uint64), self.sets.offsets.to_numpy()
+        found = []
+        for p, q in self.pairs():
+            for a, b in zip(p.tolist(), q.tolist(), strict=True):
+                one, two = find(int(self.component[a])), find(int(self.component[b]))
+                if one == two:
+                    continue
+                x, y = flat[at[a] : at[a + 1]], flat[at[b] : at[b + 1]]
+                both = shared_values(x, y)
+                if 100 * both >= self.percent * (len(x) + len(y) - both):
+                    root[one] = two
+                    found.append((self.node[a], self.node[b]))
+        return list(np.array(found, np.int64).reshape(-1, 2).T)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _looked(dealt: DataFrame, percent: int, names: list[str]) -> DataFrame:
+    """Each block's answer: ``names`` are key, cell, node of ``partnered`` or a, b of ``links``."""
+    columns = dealt.columns
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks follow each other in order; one is held at a time."""
 
-        def block(table: pa.Table) -> list[np.ndarray]:
-            left, right, own, node, component, n = (table.column(c).to_numpy() for c in ("left", "right", "own", "node", "component", "n_shingles"))
-            lists = table.column("sketch").combine_chunks()
-            sketch = lists.flatten().to_numpy().view(np.uint64).reshape(len(node), 2 * SKETCH)
-            x, y = np.flatnonzero(left), np.flatnonzero(right)
-            found = []
-            step = max(1, (1 << 21) // max(1, len(y)))
-            for lo in range(0, len(x), step):
-                part = x[lo : lo + step]
-                small, big = np.minimum(n[part][:, None], n[y]), np.maximum(n[part][:, None], n[y])
-                ask = (component[part][:, None] != component[y]) & (own[part][:, None] | own[y]) & (100 * small >= percent * big)
-                i, j = np.nonzero(ask)
-                i, j = part[i], y[j]
-                for at in range(0, len(i), 1 << 14):
-                    p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                    near = ~unlike(sketch[p], sketch[q], (n[p] + n[q]).astype(float), percent)
-                    a, b = node[p[near]], node[q[near]]
-                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-            return found
-
-        def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-            both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            block = _Block(pa.Table.from_batches(held).rename_columns(columns), percent)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (block.links() if len(names) == 2 else block.partnered())], names=names)
 
         held: list[pa.RecordBatch] = []
         last = None
+        where = [columns.index(c) for c in _SPOT]
         for batch in batches:
-            spots = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+            spots = np.stack([batch.column(i).to_numpy() for i in where], 1)
             edges = [0, *(np.flatnonzero((np.diff(spots, axis=0) != 0).any(1)) + 1).tolist(), len(spots)]
-            found: list[np.ndarray] = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if b == a:
                     continue
                 if held and tuple(spots[a]) != last:
-                    found += block(pa.Table.from_batches(held))
+                    yield answer(held)
                     held = []
                 held.append(batch.slice(a, b - a))
                 last = tuple(spots[a])
-            yield pairs(found)
         if held:
-            yield pairs(block(pa.Table.from_batches(held)))
+            yield answer(held)
+
+    return dealt.repartition(*_SPOT).sortWithinPartitions(*_SPOT, "node").mapInArrow(look, ", ".join(f"{x} long" for x in names))
+
+
+def _open_links(shared: DataFrame, label: DataFrame, groups: DataFrame, signs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links that join the components of ``label`` that share a bucket and have a link."""
+    cells = stash(_unsettled(shared, label, groups, percent), "cells", sweep=False)
+    sketches = signs.join(cells.select(*_SETS).distinct(), _SETS, "left_semi").select(*_SETS, "sketch").dropDuplicates(_SETS)
+    first = _dealt(cells, F.lit(1), BLOCK).join(sketches, _SETS).drop("set_a", "set_b")
+    partnered = stash(_looked(first, percent, ["key", "cell", "node"]).distinct(), "partnered")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [*shingle_sets(batch.column(1), width)]
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), tx.lists(flat.view(np.int64), np.array([len(x) for x in sets], np.int64), pa.int64())], names=["node", "shingles"])
+
+    asked = partnered.select("node").distinct().join(groups.select("node", "rep.doc_id", "rep.mark"), "node")
+    sets = _marked(docs).join(asked, ["doc_id", "mark"]).select("node", "text").mapInArrow(take, "node long, shingles array<long>")
+    second = _dealt(cells.join(partnered, ["key", "cell", "node"]), F.col("n_shingles"), HELD).join(sketches, _SETS).drop("set_a", "set_b").join(sets, "node")
+    return stash(_looked(second, percent, ["a", "b"]), "links")
+
 
-    spots = ["key", "cell", "i", "j"]
-    return dealt.repartition(*spots).sortWithinPartitions(*spots).mapInArrow(compare, "a long, b long").distinct()
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, component) after more links (a, b) between its components or nodes that it lacks."""
+    of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+    wider = stash(components(between), "wider", sweep=False)
+    old = label.join(wider.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+    return stash(old.union(wider.join(label.select("node"), "node", "left_anti")), "label", sweep=False)
 
 
 def _classed(docs: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -285,15 +374,8 @@ def _classed(docs: DataFrame, width: int, threshold: float) -> DataFrame:
         links = stash(confirmed(stash(star, "star", sweep=False), groups, docs, width, percent), "links")
 
         label = stash(components(links), "label", sweep=False)
-        more = stash(_open_pairs(shared, label, groups, signs, percent), "more")
-        links = stash(confirmed(more, groups, docs, width, percent), "links")
-        # The links between components, then the components of those.
-        of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
-        links = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
-        wider = components(links).select(F.col("node").alias("component"), F.col("component").alias("wider"))
-
-        placed = groups.join(label, "node", "left").select(*_SETS, "rep.doc_id", F.coalesce("component", "node").alias("component"))
-        placed = stash(placed.join(wider, "component", "left").select(*_SETS, "doc_id", F.coalesce("wider", "component").alias("component")), "placed", sweep=False)
+        label = _joined(label, _open_links(shared, label, groups, signs, docs, width, percent))
+        placed = stash(groups.join(label, "node", "left").select(*_SETS, "rep.doc_id", F.coalesce("component", "node").alias("component")), "placed", sweep=False)
         found = placed.join(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select(*_SETS, "component_id")
         out = signs.select("doc_id", "mark", *_SETS).join(found, _SETS, "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         return keep(stash(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near", sweep=False))
