@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Parameters that only track, and prefixes of such.
-TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref")
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source", "mc_cid", "mc_eid")
 TRACKING_PREFIXES = ("utm_",)
 #: Words that don't count for token overlap.
 STOPWORDS = ("der", "die", "das", "ein", "eine", "und", "oder", "mit", "von", "im", "in", "an", "auf", "zu", "ist", "es", "ich", "sie", "wir")

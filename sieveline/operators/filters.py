@@ -10,9 +10,25 @@ from pyspark.sql.window import Window
 
 from sieveline.functions.text import under
 
-#: Words in a URL or title of pages without substance.
-LOW_SIGNAL_URL = ("impressum", "datenschutz", "cookie", "newsletter", "login", "sitemap", "kontaktformular")
-LOW_SIGNAL_TITLE = ("impressum", "datenschutz", "cookie", "newsletter", "anmelden", "seite nicht gefunden")
+#: Parts of a URL and words of a title that mark pages without substance.
+LOW_SIGNAL_URL = ("/presse", "/mediathek", "/sitzungen", "/bundeskabinett", "/overview", "/uebersicht", "/lageplan", "/anreise", "/besucherdienst", "/veranstaltungen", "/events", "/impressum", "/datenschutz", "/leichte-sprache", "/meta/leichte-sprache", "/meta/languages", "/breg-de")
+LOW_SIGNAL_TITLE = ("was wir tun", "pressebereich", "lageplan", "anreiseinformationen", "kommende veranstaltungen", "veranstaltungen auf einen blick", "übersicht der internetseite", "uebersicht der internetseite", "bundeskabinett", "leichte sprache", "einfach-sprache aktiv", "digitale angebote", "herzlich willkommen", "informationen fuer gefluechtete aus der ukraine")
+#: What stops a candidate's promotion, in its title, URL and content, everywhere and by domain.
+GATE_TITLE = ("datenschutz", "cookie", "impressum", "hauptnavigation", "navigation", "startseite", "home")
+GATE_URL = ("/datenschutz", "/impressum", "/privacy", "/cookie", "/dynamic/action/", "!zip-search", "/search", "/tag/", "/author/")
+GATE_CONTENT = ("mit der einwilligung von nutzenden", "webverhalten- analysetool", "webverhalten-analysetool", "webverhalten analysetool", "matomo", "einwilligen ablehnen")
+GATE_DOMAIN_TITLE = {
+    "aid": ("aktuell", "alle meldungen", "presse", "pressemitteilungen", "reden und interviews", "rss-service", "erklärung zur barrierefreiheit", "rechtliche hinweise", "deutsche gebärdensprache", "leichte sprache", "inhalt"),
+    "tools": ("newsletter", "kontakt", "service", "warenkorb", "porträts", "portraets", "downloads", "aktuelles", "presse"),
+    "organizations": ("lebenslauf", "gesetz", "vol.", "@"),
+    "contacts": ("aktuelles", "pressemitteilungen", "innovation"),
+}
+GATE_DOMAIN_URL = {
+    "aid": ("/aktuelles", "/mediathek", "/meta/", "/erklaerung-zur-barrierefreiheit", "/informationen-zur-verarbeitung-personenbezogener-daten", "/gebaerdensprache", "/leichte-sprache", "/rechtliche-hinweise", "/downloads"),
+    "tools": ("/newsletter", "/warenkorb", "/service/kontakt", "/service/portraets", "/service/publikationen"),
+    "organizations": ("social.bund.de", "tiktok.com", "/issue/", "/ministerium/gesetze", "/ministerium/ministerin-hausleitung", "/bmbfsfj-als-arbeitgeber"),
+    "contacts": ("/news", "/presse", "/downloads", "/mediathek", "/fuer-behoerden", "/social.", "/social.bund.de"),
+}
 
 
 def every(*conditions: Column | None) -> Column:
@@ -65,7 +81,7 @@ def low_quality(df: DataFrame, bound: float = 50, unscored: bool = False) -> Dat
 def low_signal(url: Column, title: Column) -> Column:
     """Pages without substance by words in URL or title, or with neither."""
     u, t = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
-    return some([F.contains(u, F.lit(w)) for w in LOW_SIGNAL_URL]) | some([F.contains(t, F.lit(w)) for w in LOW_SIGNAL_TITLE]) | ((F.trim(u) == "") & (F.trim(t) == ""))
+    return some([F.contains(u, F.lit(w)) for w in LOW_SIGNAL_URL]) | some([F.contains(t, F.lit(w)) for w in LOW_SIGNAL_TITLE]) | ((u == "") & (t == ""))
 
 
 def first_reason(rules: list[tuple[str, Column]], accepted: str = "accepted") -> Column:
@@ -76,21 +92,26 @@ def first_reason(rules: list[tuple[str, Column]], accepted: str = "accepted") ->
     return out.otherwise(accepted)
 
 
-def candidate_gate(df: DataFrame) -> Column:
-    """Why an entry isn't promoted, or ``accepted``."""
-    title = F.trim(F.coalesce("title_de", F.lit("")))
+def candidate_gate(df: DataFrame, iqs: float = 75.0, ais: float = 70.0, least: int = 140, most: int = 500_000, title_most: int = 500) -> Column:
+    """Why an entry isn't promoted, or ``accepted``: the first of twelve reasons that holds."""
+    lowered = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    title, url, summary, content = lowered("title_de"), lowered("url"), lowered("summary_de"), lowered("content_de")
+    holds = lambda text, words: some([F.contains(text, F.lit(w)) for w in words])
+    of_domain = lambda text, table: some([(F.col("domain") == d) & holds(text, words) for d, words in table.items()])
     return first_reason(
         [
-            ("missing_url", F.coalesce(F.trim("url"), F.lit("")) == ""),
-            ("missing_title", title == ""),
-            ("short_title", F.length(title) < 8),
-            ("inactive", F.col("status") != "active"),
-            ("source_unavailable", F.col("source_unavailable")),
-            ("low_signal", low_signal(F.col("url"), F.col("title_de"))),
-            ("unscored", F.col("iqs").isNull() & F.col("ais").isNull()),
-            ("low_iqs", F.coalesce("iqs", F.lit(0.0)) < 40),
-            ("low_ais", F.coalesce("ais", F.lit(0.0)) < 40),
-            ("missing_summary", F.coalesce(F.trim("summary_de"), F.lit("")) == ""),
+            ("oversized_title", F.length(title) > title_most),
+            ("oversized_content", F.length(F.trim(content)) > most),
+            ("low_signal_title", (title == "") | holds(title, GATE_TITLE)),
+            ("domain_low_signal_title", of_domain(title, GATE_DOMAIN_TITLE)),
+            ("low_signal_url", holds(url, GATE_URL)),
+            ("domain_low_signal_url", of_domain(url, GATE_DOMAIN_URL)),
+            ("low_signal_content", holds(summary, GATE_CONTENT) | holds(content, GATE_CONTENT)),
+            ("unknown_source_tier", F.coalesce("tier", F.lit("")).isin("", "tier_unknown")),
+            ("thin_content", F.length(F.trim(content)) < least),
+            ("summary_equals_title", (summary != "") & (summary == title)),
+            ("iqs_below_threshold", F.coalesce("iqs", F.lit(0.0)) < iqs),
+            ("ais_below_threshold", F.coalesce("ais", F.lit(0.0)) < ais),
         ]
     )
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sieveline.session import numbered
+
 
 def source_priority() -> list[Column]:
     """Order of trust: tier, then scores, then how recently it was seen; ids settle ties."""
@@ -17,6 +19,15 @@ def source_priority() -> list[Column]:
     return [rank, F.coalesce("ais", F.lit(0.0)).desc(), F.coalesce("iqs", F.lit(0.0)).desc(), F.col("last_seen").desc_nulls_last(), F.col("first_seen").desc_nulls_last(), F.col("id")]
 
 
+def placed(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``df`` with each row's place (from 1) in its group; groups may be few and huge, so places come from ranges of
+    group and order, less the first place of the group.  A null group is a group.
+    """
+    rows = numbered(df, [F.col(group).asc_nulls_last(), *order], "_place")
+    first = rows.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"))
+    return rows.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn("place", (F.col("_place") - F.col("_first") + 1).cast("long")).drop("_place", "_group", "_first")
+
+
 def page(df: DataFrame, order: list[Column | str], number: int = 1, size: int = 20, most: int = 100) -> DataFrame:
     """One page of an order; pages have at most ``most`` rows."""
     size = min(size, most)

@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import canonical_url, collapse, dehyphenate, repair
@@ -43,6 +43,10 @@ def _unwrap(text: str) -> str:
     return "\n".join(out)
 
 
+#: Lines that only number pages.
+_PAGE_LINES = (r"(?m)^[-–]\s*\d+\s*[-–]\s*$", r"(?mi)^Seite\s+\d+\s+(von\s+\d+)?\s*$")
+
+
 def normalized(df: DataFrame, key: str, text: str) -> DataFrame:
     """Damaged characters, page numbers, repeated lines, hyphenation, wraps and spaces, in this order."""
     ship(df.sparkSession)
@@ -51,52 +55,64 @@ def normalized(df: DataFrame, key: str, text: str) -> DataFrame:
     def unwrap(column: pd.Series) -> pd.Series:
         return column.map(lambda x: None if x is None else _unwrap(x))
 
-    numbers = F.regexp_replace(F.regexp_replace(repair(F.col(text)), r"(?m)^[-–]\s*\d+\s*[-–]\s*$", ""), r"(?mi)^Seite\s+\d+\s+(von\s+\d+)?\s*$", "")
+    numbers = F.regexp_replace(F.regexp_replace(repair(F.col(text)), _PAGE_LINES[0], ""), _PAGE_LINES[1], "")
     out = without_repeated_lines(df.withColumn(text, numbers), key, text)
     return out.withColumn(text, collapse(unwrap(dehyphenate(F.col(text)))))
 
 
-def _sections(text: str) -> Iterator[tuple[str, str]]:
-    """(heading, body) at lines that start with one to four #; empty bodies are left out."""
-    heading, body = "", []
-    for line in [*text.split("\n"), None]:
-        found = re.match(r"#{1,4}\s+(.*)", line) if line is not None else None
-        if line is None or found:
-            if "".join(body).strip():
-                yield heading, "\n".join(body).strip()
-            heading, body = (found[1].strip(), []) if found else ("", [])
+#: Fixed value: a heading line of one to four #.
+_HEADING = re.compile(r"^(#{1,4})\s+(.+)$", re.MULTILINE)
+
+
+def _sections(text: str) -> Iterator[tuple[str, int, str]]:
+    """(heading, its place in the text, body) for each heading and for what is before the first; empty bodies are left out."""
+    marks = [(0, 0, ""), *((m.start(), m.end(), m[2].strip()) for m in _HEADING.finditer(text))]
+    ends = [*(start for start, _, _ in marks[1:]), len(text)]
+    for (start, begin, heading), end in zip(marks, ends, strict=True):
+        if body := text[begin:end].strip():
+            yield heading, start, body
+
+
+def _paragraphs(body: str) -> Iterator[tuple[int, str]]:
+    """(place, text) of what blank lines set apart; a paragraph's place is that of the line break before it."""
+    at = 0
+    while at < len(body):
+        end = body.find("\n\n", at + 1)
+        end = len(body) if end < 0 else end
+        if paragraph := body[at:end].strip():
+            yield at, paragraph
+        at = end
+
+
+def _pieces(body: str) -> Iterator[tuple[int, str]]:
+    """(place, text): paragraphs gathered up to CHUNK characters; a piece that begins after a full one is led by its last
+    OVERLAP, and a longer paragraph that begins a piece is cut every CHUNK - OVERLAP.
+    """
+    held, start = "", 0
+    for at, paragraph in _paragraphs(body):
+        if len(held) + 2 * bool(held) + len(paragraph) <= CHUNK:
+            held, start = (f"{held}\n\n{paragraph}", start) if held else (paragraph, at)
+        elif held:
+            yield start, held
+            held, start = f"{held[-OVERLAP:]}\n\n{paragraph}".strip(), max(0, at - OVERLAP)
         else:
-            body.append(line)
-
-
-def _pieces(body: str) -> Iterator[str]:
-    """Paragraphs gathered up to CHUNK characters, each piece after the first led by the last OVERLAP of the one before."""
-    held = ""
-    for paragraph in (p.strip() for p in re.split(r"\n+", body)):
-        if not paragraph:
-            continue
-        if held and len(held) + len(paragraph) + 1 > CHUNK:
-            yield held
-            held = held[-OVERLAP:]
-        while not held and len(paragraph) > CHUNK:
-            yield paragraph[:CHUNK]
-            paragraph = paragraph[CHUNK - OVERLAP :]
-        held = f"{held}\n{paragraph}" if held else paragraph
+            for k in range(0, len(paragraph), CHUNK - OVERLAP):
+                yield at + k, paragraph[k : k + CHUNK]
     if held:
-        yield held
+        yield start, held
 
 
 def chunks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each chunk: its id, place, number of chunks, heading and text."""
+    """One row for each chunk: its id, place, number of chunks, heading, text, and the characters of the document it covers."""
     ship(df.sparkSession)
 
-    @F.pandas_udf("array<struct<heading: string, body: string>>")
+    @F.pandas_udf("array<struct<heading: string, body: string, start: int, end: int>>")
     def cut(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: [{"heading": h, "body": f"{h}\n{p}" if h else p} for h, b in _sections(x or "") for p in _pieces(b)])
+        return column.map(lambda x: [{"heading": h, "body": p if not h or p.startswith(h) else f"{h}\n{p}", "start": s + a, "end": s + a + len(p)} for h, s, b in _sections(x or "") for a, p in _pieces(b) if p.strip()])
 
     parts = df.select(key, cut(F.col(text)).alias("_parts"))
     out = parts.select(key, F.size("_parts").alias("total_chunks"), F.posexplode("_parts").alias("chunk_index", "_part"))
-    return out.select(F.format_string("%s-c%04d", F.col(key).cast("string"), "chunk_index").alias("chunk_id"), key, "chunk_index", "total_chunks", F.col("_part.heading").alias("section"), F.col("_part.body").alias("text"))
+    return out.select(F.format_string("%s-c%04d", F.col(key).cast("string"), "chunk_index").alias("chunk_id"), key, "chunk_index", "total_chunks", F.col("_part.heading").alias("section"), F.col("_part.body").alias("text"), F.col("_part.start").alias("char_start"), F.col("_part.end").alias("char_end"))
 
 
 class _Page(HTMLParser):
@@ -144,6 +160,7 @@ def _html_text(source: str) -> str:
 
 def html_text(html: Column) -> Column:
     """The readable text of a page."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("string")
     def read(column: pd.Series) -> pd.Series:

@@ -81,7 +81,7 @@ def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("missing_en or missing_easy_de")
 
 
-_LOW = " OR ".join([*(f"contains(u, '{w}')" for w in op.LOW_SIGNAL_URL), *(f"contains(t, '{w}')" for w in op.LOW_SIGNAL_TITLE), "(trim(u) = '' AND trim(t) = '')"])
+_LOW = " OR ".join([*(f"contains(u, '{w}')" for w in op.LOW_SIGNAL_URL), *(f"contains(t, '{w}')" for w in op.LOW_SIGNAL_TITLE), "(u = '' AND t = '')"])
 
 
 @query("f11_low_signal", E + f"SELECT id, {_LOW} AS low FROM (SELECT id, lower(coalesce(url, '')) AS u, lower(coalesce(title_de, '')) AS t FROM entries)")
@@ -117,11 +117,16 @@ def f16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.or_first(entries(spark, sf_dir), F.col("iqs") > 95, "host", "id").select("id", "domain")
 
 
-_GATE = f"""CASE WHEN coalesce(trim(url), '') = '' THEN 'missing_url' WHEN trim(coalesce(title_de, '')) = '' THEN 'missing_title'
-WHEN length(trim(title_de)) < 8 THEN 'short_title' WHEN status <> 'active' THEN 'inactive' WHEN source_unavailable THEN 'source_unavailable'
-WHEN (SELECT {_LOW} FROM (SELECT lower(coalesce(e.url, '')) AS u, lower(coalesce(e.title_de, '')) AS t)) THEN 'low_signal'
-WHEN iqs IS NULL AND ais IS NULL THEN 'unscored' WHEN coalesce(iqs, 0) < 40 THEN 'low_iqs' WHEN coalesce(ais, 0) < 40 THEN 'low_ais'
-WHEN coalesce(trim(summary_de), '') = '' THEN 'missing_summary' ELSE 'accepted' END"""
+_ANY = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+_BY_DOMAIN = lambda text, table: "(" + " OR ".join(f"(domain = '{d}' AND {_ANY(text, words)})" for d, words in table.items()) + ")"
+_T, _U, _S, _C = (f"lower(coalesce({c}, ''))" for c in ("title_de", "url", "summary_de", "content_de"))
+_GATE = f"""CASE WHEN length({_T}) > 500 THEN 'oversized_title' WHEN length(trim({_C})) > 500000 THEN 'oversized_content'
+WHEN {_T} = '' OR {_ANY(_T, op.GATE_TITLE)} THEN 'low_signal_title' WHEN {_BY_DOMAIN(_T, op.GATE_DOMAIN_TITLE)} THEN 'domain_low_signal_title'
+WHEN {_ANY(_U, op.GATE_URL)} THEN 'low_signal_url' WHEN {_BY_DOMAIN(_U, op.GATE_DOMAIN_URL)} THEN 'domain_low_signal_url'
+WHEN {_ANY(_S, op.GATE_CONTENT)} OR {_ANY(_C, op.GATE_CONTENT)} THEN 'low_signal_content'
+WHEN coalesce(tier, '') IN ('', 'tier_unknown') THEN 'unknown_source_tier' WHEN length(trim({_C})) < 140 THEN 'thin_content'
+WHEN {_S} <> '' AND {_S} = {_T} THEN 'summary_equals_title' WHEN coalesce(iqs, 0) < 75 THEN 'iqs_below_threshold'
+WHEN coalesce(ais, 0) < 70 THEN 'ais_below_threshold' ELSE 'accepted' END"""
 
 
 @query("f17_candidate_gate", E + f"SELECT id, {_GATE} AS reason FROM entries e")

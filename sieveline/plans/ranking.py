@@ -17,9 +17,7 @@ _PRIORITY = "CASE coalesce(tier, 'tier_unknown') WHEN 'tier_1_official' THEN 0 W
 
 @query("w01_source_priority", E + f"SELECT id, row_number() OVER (PARTITION BY domain ORDER BY {_PRIORITY}) AS place FROM entries")
 def w01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    return entries(spark, sf_dir).select("id", F.row_number().over(Window.partitionBy("domain").orderBy(*op.source_priority())).alias("place"))
+    return op.placed(entries(spark, sf_dir).select("id", "domain", "tier", "ais", "iqs", "last_seen", "first_seen"), "domain", op.source_priority()).select("id", "place")
 
 
 @query("w02_match_field_order", E + "SELECT id FROM entries WHERE content_de ILIKE '%tion%' ORDER BY CASE WHEN title_de ILIKE '%tion%' THEN 0 WHEN summary_de ILIKE '%tion%' THEN 1 ELSE 2 END, first_seen DESC, id LIMIT 50")

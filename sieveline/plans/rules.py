@@ -10,7 +10,7 @@ from sieveline.functions import text as fx
 from sieveline.operators import ranking as rk
 from sieveline.operators import rules as op
 from sieveline.plans.registry import query
-from sieveline.session import table
+from sieveline.session import numbered, table
 from sieveline.sources.entries import ENTRIES_SQL, entries
 
 E = f"WITH {ENTRIES_SQL} "
@@ -257,4 +257,5 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w30_catalog_sorts", E + "SELECT host, n, row_number() OVER (ORDER BY n DESC, host) AS by_entries, row_number() OVER (ORDER BY host) AS by_name FROM (SELECT host, count(*) AS n FROM entries GROUP BY host)")
 def w30(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = entries(spark, sf_dir).groupBy("host").agg(F.count("*").alias("n"))
-    return h.select("host", "n", F.row_number().over(Window.orderBy(F.col("n").desc(), "host")).alias("by_entries"), F.row_number().over(Window.orderBy("host")).alias("by_name"))
+    ranked = numbered(numbered(h, [F.col("n").desc(), F.col("host")], "a"), [F.col("host").asc()], "b")
+    return ranked.select("host", "n", (F.col("a") + 1).alias("by_entries"), (F.col("b") + 1).alias("by_name"))

@@ -106,7 +106,7 @@ def x01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", fx.host(u).alias("host"), fx.plain_url(u).alias("plain"), fx.bare_url(u).alias("bare"), fx.one_slash(u).alias("one_slash"))
 
 
-@query("x02_canonical_url", "SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || '/' || array_to_string([x FOR x IN string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/') IF x <> ''], '/') || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical FROM (SELECT *, array_to_string(list_sort([p FOR p IN string_split(regexp_extract(url, '\\?([^#]*)', 1), '&') IF p <> '' AND NOT starts_with(p, 'utm_') AND NOT starts_with(p, 'ref=')]), '&') AS q FROM pages)")
+@query("x02_canonical_url", "SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || '/' || array_to_string([x FOR x IN string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/') IF x <> ''], '/') || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical FROM (SELECT *, array_to_string(list_sort([p FOR p IN string_split(regexp_extract(url, '\\?([^#]*)', 1), '&') IF p <> '' AND NOT starts_with(p, 'utm_') AND string_split(p, '=')[1] NOT IN ('fbclid', 'gclid', 'ref', 'source', 'mc_cid', 'mc_eid')]), '&') AS q FROM pages)")
 def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", fx.canonical_url(F.col("url")).alias("canonical"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sieveline.session import ship
+
 
 def counted(events: DataFrame, key: str, size: str = "1 hour", late: str = "2 hours", time: str = "ts") -> DataFrame:
     """Requests of each key in fixed windows; rows later than the watermark don't count."""
@@ -46,4 +48,5 @@ def _registry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 def failure_registry(events: DataFrame) -> DataFrame:
     """Stream of (user_id, ts, event_id, ok): each key's failures in a row, after every micro-batch."""
+    ship(events.sparkSession)
     return events.groupBy("user_id").applyInPandasWithState(_registry, "user_id long, failures long, skip boolean", "failures long", "update", GroupStateTimeout.NoTimeout)
