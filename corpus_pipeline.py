@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import bpe, mixing, neardup, pii, toxicity
 from sieveline.llm.queries import vocabulary_path
-from sieveline.session import stash, table
+from sieveline.session import scratch, stash, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name)
-    return docs
+    """All stages, one after another, over ``documents``; what they wrote goes, but for the last one's rows."""
+    with scratch(spark) as keep:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES:
+            docs = stash(stage(spark, docs, sf_dir), name)
+        return keep(docs)
