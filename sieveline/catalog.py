@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.plans import aggregates, evidence, filters, joins, quality, ranking, retrieval, rules, shaping, streams, texts  # noqa: F401
+from sieveline.plans import aggregates, discovery, evidence, filters, joins, quality, ranking, retrieval, rules, shaping, streams, texts  # noqa: F401
 from sieveline.plans.registry import QUERIES, SQL, Query
 
 
