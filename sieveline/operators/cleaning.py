@@ -43,6 +43,11 @@ SHORTENED = "\n\n[Inhalt fuer D1/Pages gekuerzt]"
 _EXTRA = [(bytes([b]).decode("cp1252"), chr(b)) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is stated, and computed, once however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _damage(c: Column) -> Column:
     """How many marks of damage a text has."""
     return reduce(lambda a, b: a + b, (((F.length(c) - F.length(F.replace(c, F.lit(m), F.lit("")))) / len(m)).cast("int") for m in DAMAGE))
@@ -85,10 +90,13 @@ def title(c: Column) -> Column:
     """
     edge = r"\s+|(?<=[a-zäöüß])(?=[A-ZÄÖÜ])|(?<=[:;,.!?])"
     pieces = F.filter(F.split(F.replace(F.regexp_replace(c, r"(?U)\s", " "), F.lit("\u00ad")), edge), lambda x: x != "")
-    whole = F.array_join(F.transform(pieces, _parted), " ")
-    parted = lambda mark: F.split(whole, mark.replace("|", r"\|"), 2)
     branded = lambda two: (F.length(F.trim(two[0])) >= BRAND_LEAST) & (F.trim(F.get(two, F.lit(1))) != "")
-    return F.coalesce(*[F.when(branded(parted(m)), F.trim(parted(m)[0])) for m in BRAND_MARKS], whole)
+
+    def bare(whole: Column) -> Column:
+        halves = F.filter(F.array(*[F.split(whole, m.replace("|", r"\|"), 2) for m in BRAND_MARKS]), branded)
+        return F.coalesce(F.trim(F.get(F.get(halves, F.lit(0)), F.lit(0))), whole)
+
+    return let(F.array_join(F.transform(pieces, _parted), " "), bare)
 
 
 #: Spellings of a citation, in plain text: a URL that stands twice is the same URL.  A stated one may be in any brackets.
