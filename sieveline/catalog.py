@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.plans import aggregates, crawl, discovery, evidence, filters, joins, pages, probes, quality, ranking, retrieval, rules, seeds, shaping, streams, texts  # noqa: F401
+from sieveline.plans import aggregates, crawl, discovery, evidence, filters, joins, pages, probes, quality, ranking, retrieval, rules, seeds, shaping, stores, streams, texts  # noqa: F401
 from sieveline.plans.registry import QUERIES, SQL, Query
 
 
