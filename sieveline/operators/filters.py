@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sieveline.functions.text import under
+from sieveline.functions.text import contains_any, under
+from sieveline.operators.ranking import first_of
 
 #: Parts of a URL and words of a title that mark pages without substance.
 LOW_SIGNAL_URL = ("/presse", "/mediathek", "/sitzungen", "/bundeskabinett", "/overview", "/uebersicht", "/lageplan", "/anreise", "/besucherdienst", "/veranstaltungen", "/events", "/impressum", "/datenschutz", "/leichte-sprache", "/meta/leichte-sprache", "/meta/languages", "/breg-de")
@@ -66,10 +66,11 @@ def or_all(df: DataFrame, condition: Column) -> DataFrame:
 
 def or_first(df: DataFrame, condition: Column, group: str, order: str, n: int = 2) -> DataFrame:
     """In each group the rows that meet the condition, or its first ``n`` if none does."""
-    w = Window.partitionBy(group)
-    met = df.withColumn("_met", F.coalesce(condition, F.lit(False)).cast("int"))
-    met = met.withColumns({"_any": F.max("_met").over(w), "_pos": F.row_number().over(w.orderBy(order))})
-    return met.where(f"_met = 1 or (_any = 0 and _pos <= {n})").drop("_met", "_any", "_pos")
+    met = F.coalesce(condition, F.lit(False))
+    none = df.groupBy(F.col(group).alias("_group")).agg(F.max(met).alias("_any")).where("not _any").select("_group")
+    # Which groups have none is a row for each; of those the first few are cut before their rows move.
+    rest = df.join(none, F.col(group).eqNullSafe(F.col("_group")), "left_semi")
+    return df.where(met).unionByName(first_of(rest, [group], [order], n))
 
 
 def low_quality(df: DataFrame, bound: float = 50, unscored: bool = False) -> DataFrame:
@@ -116,13 +117,31 @@ def candidate_gate(df: DataFrame, iqs: float = 75.0, ais: float = 70.0, least: i
     )
 
 
-def guarded(df: DataFrame, host: str, url: str, hosts: list[str], suffixes: list[str], words: list[str]) -> Column:
-    """Which guardrail stops a URL: exact host, domain above it, word in the URL; null if none."""
-    rules = [("host", F.col(host).isin(hosts)), ("suffix", some([under(F.col(host), F.lit(s)) for s in suffixes])), ("token", some([F.contains(F.lower(url), F.lit(w)) for w in words]))]
-    return F.nullif(first_reason(rules, ""), F.lit(""))
+#: Marks of files, and how many characters that don't belong in a text make it one.
+FILE_MARKS, STRAY = ("%PDF-", " endstream ", " startxref ", "/FlateDecode"), 8
+#: By domain, URLs that don't belong there, and why; the first that fits counts.
+PRUNED = {
+    "organizations": (("bmas_topic_page", r"(?i)^https://www\.bmas\.de/DE/(Arbeit|Soziales|Europa-und-die-Welt)/"), ("bmbfsfj_theme_media_meta", r"(?i)^https://www\.bmbfsfj\.bund\.de/bmbfsfj/(themen|mediathek|meta)/")),
+    "aid": (("bmbfsfj_root_page", r"(?i)^https://www\.bmbfsfj\.bund\.de/bmbfsfj/?$"), ("bmbfsfj_theme_root", r"(?i)^https://www\.bmbfsfj\.bund\.de/bmbfsfj/themen/[^/]+/?$")),
+}
+#: What entries about cookies have in summary or content, and in their URL.
+COOKIE_WORDS = ("mit der einwilligung von nutzenden", "webverhalten- analysetool", "webverhalten-analysetool", "webverhalten analysetool", "matomo", "einwilligen ablehnen")
+COOKIE_URLS = ("/dynamic/action/", "!zip-search")
 
 
 def binary_text(c: Column) -> Column:
-    """Whether a text is a file's bytes: PDF marks, or eight replacement or control characters."""
+    """Whether a text is a file's bytes, by its first 4000 characters: a mark of a file, or eight replacement or eight control characters."""
     head = F.substring(c, 1, 4000)
-    return c.startswith("%PDF-") | F.contains(head, F.lit("endstream")) | (F.regexp_count(head, F.lit("[\\x00-\\x08\\x0E-\\x1F�]")) >= 8)
+    many = lambda kind: F.regexp_count(head, F.lit(kind)) >= STRAY
+    return contains_any(head, FILE_MARKS) | many("\ufffd") | many(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+
+
+def prune_reason(domain: Column, url: Column) -> Column:
+    """Why an entry is pruned from its domain, or ``kept``."""
+    return first_reason([(name, (domain == d) & F.coalesce(url, F.lit("")).rlike(pattern)) for d, rules in PRUNED.items() for name, pattern in rules], "kept")
+
+
+def cookie_entry(url: Column, summary: Column, content: Column) -> Column:
+    """Whether an entry is about cookies."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return contains_any(low(summary), COOKIE_WORDS) | contains_any(low(content), COOKIE_WORDS) | contains_any(low(url), COOKIE_URLS)

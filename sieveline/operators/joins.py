@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sieveline.session import scratch, stash
+
 #: Most rows that a rule table may have to be broadcast.
 RULES = 100_000
 
@@ -71,3 +73,26 @@ def word_overlap(asked: DataFrame, found: DataFrame, item: str, doc: str, words:
     d = found.select(F.col(doc), F.monotonically_increasing_id().alias("_d"), words.alias("_w")).select(doc, "_d", F.explode("_w").alias("_word"))
     hits = d.join(rules(a), "_word").groupBy(item, "_a", "_size", doc, "_d").agg(F.count("*").alias("_hits"))
     return hits.select(item, doc, (F.col("_hits") / F.col("_size")).alias("ratio"))
+
+
+def word_containment(asked: DataFrame, found: DataFrame, item: str, doc: str, words: Column, least: float) -> DataFrame:
+    """(item, doc, ratio) of the pairs in which the document has at least ``least`` (above 0) of the item's distinct words.
+
+    Of n words a document may lack n - ceil(least * n), so it has one of the n - ceil(least * n) + 1 that fewest documents
+    have.  Documents look for those only, and the pairs that this finds are compared in full; so common words make no pairs.
+    Rows that repeat are compared each.  Null and empty texts are in no pair.
+    """
+    a = asked.select(F.col(item).alias("_item"), F.monotonically_increasing_id().alias("_a"), words.alias("_asked")).where(F.size("_asked") > 0)
+    d = found.select(F.col(doc).alias("_doc"), words.alias("_found")).where("_found is not null")
+    with scratch(asked.sparkSession) as keep:
+        a = stash(a, "asked", sweep=False)  # the rows' numbers are settled by being written
+        each = a.select("_a", F.explode("_asked").alias("_word"), (F.size("_asked") - F.ceil(F.size("_asked") * least) + 1).alias("_some"))
+        often = d.select(F.explode("_found").alias("_word")).join(rules(each.select("_word").distinct()), "_word").groupBy("_word").agg(F.count("*").alias("_n"))
+        rare = Window.partitionBy("_a").orderBy(F.coalesce("_n", F.lit(0)), "_word")
+        prefix = stash(each.join(often, "_word", "left").withColumn("_place", F.row_number().over(rare)).where("_place <= _some").groupBy("_word").agg(F.collect_set("_a").alias("_items")), "prefix", sweep=False)
+        marked = d.withColumn("_d", F.monotonically_increasing_id()).withColumn("_word", F.explode("_found"))
+        # A document meets each item once, however many rare words they share.
+        met = marked.join(rules(prefix), "_word").select("_d", "_doc", "_found", F.explode("_items").alias("_a")).dropDuplicates(["_d", "_a"])
+        share = F.size(F.array_intersect("_asked", "_found")) / F.size("_asked")
+        pairs = met.join(rules(a), "_a").select(F.col("_item").alias(item), F.col("_doc").alias(doc), share.alias("ratio"))
+        return keep(stash(pairs.where(F.col("ratio") >= least), "containment", sweep=False))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sieveline.session import numbered
+from sieveline.session import numbered, scratch, stash
 
 
 def source_priority() -> list[Column]:
@@ -23,9 +23,11 @@ def placed(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """``df`` with each row's place (from 1) in its group; groups may be few and huge, so places come from ranges of
     group and order, less the first place of the group.  A null group is a group.
     """
-    rows = numbered(df, [F.col(group).asc_nulls_last(), *order], "_place")
-    first = rows.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"))
-    return rows.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn("place", (F.col("_place") - F.col("_first") + 1).cast("long")).drop("_place", "_group", "_first")
+    with scratch(df.sparkSession) as keep:  # the ranges go once their rows have their places
+        rows = numbered(df, [F.col(group).asc_nulls_last(), *order], "_place")
+        first = rows.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"))
+        out = rows.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn("place", (F.col("_place") - F.col("_first") + 1).cast("long")).drop("_place", "_group", "_first")
+        return keep(stash(out, "placed", sweep=False))
 
 
 def page(df: DataFrame, order: list[Column | str], number: int = 1, size: int = 20, most: int = 100) -> DataFrame:

@@ -31,7 +31,9 @@ def rerank(raw: Column, stored: Column, trust: Column, layer: Column, query: str
     """Raw score by source weight and length, plus what the query shares with title and text."""
     asked = tokens(F.lit(query))
     weight = F.when(stored > 0, stored).otherwise(lookup(TRUST, trust, 1.0) * lookup(LAYER, layer, 0.7) / 2)
-    return raw * weight * length_factor(text) + 0.35 * overlap(asked, tokens(title)) + 0.15 * overlap(asked, tokens(text))
+    # What is asked are tokens already, so any word of title and text that is among them is one.
+    words = lambda c: F.split(F.lower(c), r"\s+")
+    return raw * weight * length_factor(text) + 0.35 * overlap(asked, words(title)) + 0.15 * overlap(asked, words(text))
 
 
 def freshness(last_seen: Column, now: Column) -> Column:

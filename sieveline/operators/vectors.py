@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sieveline.session import stash
+from sieveline.session import scratch, ship, stash
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,18 +45,52 @@ def search(vectors: DataFrame, query: list[float], k: int = 10, least: float = 0
     return vectors.withColumn("score", cosine(F.col(vector), asked)).where(F.col("score") >= least).orderBy(F.col("score").desc(), key).limit(k)
 
 
+def _best(query: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """The rows of each query's best ``k``, by score and then key."""
+    order = np.lexsort((key, -score, query))
+    place = np.arange(len(order)) - np.searchsorted(query[order], query[order], "left")
+    return order[place < k]
+
+
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", key: str = "vec_id", most: int = 4096) -> DataFrame:
-    """For each of a stated set of queries (``most`` at most, counted first) its k nearest rows; each partition keeps
-    the best k of its part before the shuffle.
+    """For each of a stated set of queries (``most`` at most, counted first) its k nearest rows by cosine.
+
+    Queries are brought to unit length once and multiplied with a batch of rows at a time; a task keeps the best k of each
+    query over all its batches, so at most that many rows of each task move.  Rows without a vector aren't compared, zero
+    vectors are like nothing (0), and vectors of another dimension are an error.  Keys are whole numbers.
     """
-    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
-    if asked.limit(most + 1).count() > most:
+    spark = vectors.sparkSession
+    ship(spark)
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).limit(most + 1).collect()
+    if len(asked) > most:
         raise ValueError(f"more than {most} queries; ask in blocks")
-    hits = vectors.join(F.broadcast(asked)).withColumn("score", cosine(F.col(vector), F.col("_q"))).where(f"{key} <> query_id")
-    part = Window.partitionBy("query_id", "_p").orderBy(F.col("score").desc(), key)
-    local = hits.select("query_id", key, "score", F.pmod(F.xxhash64(key), F.lit(64)).alias("_p")).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k)
-    whole = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
-    return local.withColumn("place", F.row_number().over(whole)).where(F.col("place") <= k).select("query_id", key, "score", "place")
+    unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    names = np.array([r[0] for r in asked], np.int64)
+    shared = spark.sparkContext.broadcast((names, unit(np.array([r[1] for r in asked], float).reshape(len(asked), -1))))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            for lo in range(0, batch.num_rows if len(names) else 0, 1024):
+                keys, column = batch.column(0).slice(lo, 1024).to_numpy(), batch.column(1).slice(lo, 1024)
+                if len(set(np.diff(column.offsets.to_numpy())) - {matrix.shape[1]}):
+                    raise ValueError("dimensions differ")
+                score = np.clip(matrix @ unit(column.flatten().to_numpy().reshape(len(keys), -1)).T, -1.0, 1.0)
+                score[names[:, None] == keys] = -np.inf
+                least = np.partition(score, -k, axis=1)[:, -k, None] if k < len(keys) else np.full((len(names), 1), -np.inf)
+                q, r = np.nonzero((score >= least) & (score > -np.inf))
+                held = tuple(np.concatenate(x) for x in zip(held, (q, keys[r], score[q, r]), strict=True))
+                best = _best(*held, k)
+                held = tuple(x[best] for x in held)
+        yield pa.RecordBatch.from_arrays([pa.array(names[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "key", "score"])
+
+    some = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    local = some.mapInArrow(look, "query_id long, key long, score double")
+    whole = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
+    kind = vectors.schema[key].dataType
+    best = local.withColumn("place", F.row_number().over(whole)).where(F.col("place") <= k)
+    return best.select(F.col("query_id").cast(kind).alias("query_id"), F.col("key").cast(kind).alias(key), "score", "place")
 
 
 def search_blocks(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", key: str = "vec_id", most: int = 4096) -> DataFrame:
@@ -71,8 +108,9 @@ def search_blocks(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: s
         if blocks > total:
             raise ValueError(f"{largest} queries of one block share their {key}; keys must be unique")
         blocks = blocks * 5 // 4 + 1
-    parts = [stash(search_many(vectors, cut.where(F.col("_block") == i), k, vector, key, most), "similar") for i in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
+    with scratch(vectors.sparkSession) as keep:  # a block at a time; the parts go when they are one table
+        parts = [stash(search_many(vectors, cut.where(F.col("_block") == i), k, vector, key, most), "similar") for i in range(blocks)]
+        return keep(stash(reduce(DataFrame.unionByName, parts), "similar"))
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, key: str, keyword_weight: float = 0.4, vector_weight: float = 0.6, k: int = 60) -> DataFrame:

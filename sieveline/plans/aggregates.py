@@ -96,18 +96,23 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(fx.host(F.col("url")).alias("host")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "host").limit(30)
 
 
-@query("a14_duplicate_url_groups", E + ", k AS (SELECT host || '/' || lang AS key, domain, id FROM entries) SELECT key, count(*) AS n, count(DISTINCT domain) AS domains FROM k GROUP BY key HAVING count(*) > 1 AND count(DISTINCT domain) > 1")
+@query("a14_duplicate_url_groups", E + ", k AS (SELECT CASE WHEN id % 4 = 0 THEN 'https://example.org/page/' || (id % 12) ELSE url END AS url, domain FROM entries) SELECT url, count(*) AS n, count(DISTINCT domain) AS domains FROM k WHERE url IS NOT NULL GROUP BY url HAVING count(*) > 1 AND count(DISTINCT domain) > 1")
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = entries(spark, sf_dir).groupBy(F.concat("host", F.lit("/"), "lang").alias("key")).agg(F.count("*").alias("n"), F.countDistinct("domain").alias("domains"))
+    """URLs that entries of several domains share; every fourth entry stands under one of three, in two spellings."""
+    k = F.col("id")
+    spelt = F.when(k % 8 == 0, F.concat(F.lit("HTTPS://Example.org:443/page/"), (k % 12).cast("string"), F.lit("/?utm_source=x"))).otherwise(F.concat(F.lit("https://example.org/./page/"), (k % 12).cast("string")))
+    url = fx.canonical_url(F.when(k % 4 == 0, spelt).otherwise(F.col("url")))
+    g = entries(spark, sf_dir).select(url.alias("url"), "domain").where("url is not null").groupBy("url").agg(F.count("*").alias("n"), F.countDistinct("domain").alias("domains"))
     return g.where("n > 1 and domains > 1")
 
 
 @query("a15_unknown_sources", E + ", u AS (SELECT * FROM entries WHERE tier IS NULL OR tier = 'tier_unknown'), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY id) AS n FROM u) SELECT host, count(*) AS n, array_to_string(list_sort(list_distinct(list(domain))), ',') AS domains, string_agg(CASE WHEN r.n <= 5 THEN CAST(id AS VARCHAR) END, ',' ORDER BY id) AS samples FROM r GROUP BY host")
 def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = entries(spark, sf_dir).where("tier is null or tier = 'tier_unknown'")
-    r = u.withColumn("_n", F.row_number().over(Window.partitionBy("host").orderBy("id")))
-    samples = F.array_sort(F.collect_list(F.when(F.col("_n") <= 5, F.col("id"))))
-    return r.groupBy("host").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("domains"), F.array_join(samples.cast("array<string>"), ",").alias("samples"))
+    groups = u.groupBy("host").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("domains"))
+    # The first five of each host are cut before the shuffle, so no host's rows gather.
+    first = rk.first_of(u.select("host", "id"), ["host"], ["id"], 5).groupBy(F.col("host").alias("_host")).agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("samples"))
+    return groups.join(first, F.col("host").eqNullSafe(F.col("_host"))).select("host", "n", "domains", "samples")
 
 
 @query("a16_crawl_metrics", E + "SELECT lang, count(*) AS n, round(avg(iqs), 2) AS avg_iqs, round(avg(ais), 2) AS avg_ais, count(*) FILTER (iqs < 60) AS low FROM entries GROUP BY lang")

@@ -182,13 +182,13 @@ def v09(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LONG = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\W+'), lambda w: length(w) > 4))"
 
 
-@query("t27_context_overlap", f"""WITH w AS (SELECT a.conv_id, a.turn, {_LONG.format("a.text")} AS answer, {_LONG.format("c.text")} AS context FROM conversations a JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = a.turn - 1 WHERE a.role = 'assistant')
-SELECT conv_id, turn, round(CASE WHEN len(answer) = 0 THEN 0 ELSE len(list_intersect(answer, context)) / len(answer) END, 6)::DOUBLE AS overlap FROM w""")
+@query("t27_context_overlap", f"""WITH w AS (SELECT a.conv_id, a.turn, {_LONG.format("a.text")} AS answer, {_LONG.format("c.text")} AS context FROM conversations a LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = a.turn - 1 WHERE a.role = 'assistant')
+SELECT conv_id, turn, round(CASE WHEN coalesce(len(answer), 0) = 0 OR context IS NULL THEN 0 ELSE len(list_intersect(answer, context)) / len(answer) END, 6)::DOUBLE AS overlap FROM w""")
 def t27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each answer is grounded in the message before it."""
+    """How far each answer is grounded in the message before it; one without such a message isn't at all."""
     c = table(spark, sf_dir, "conversations")
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
-    return c.where("role = 'assistant'").join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(op.context_overlap(F.col("text"), F.col("context")), 6).alias("overlap"))
+    return c.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.round(F.coalesce(op.context_overlap(F.col("text"), F.coalesce("context", F.lit(""))), F.lit(0.0)), 6).alias("overlap"))
 
 
 @query("t30_critical_info", E + ", t AS (SELECT id, coalesce(title_de, '') || ': ' || id || ',50 € bis ' || (2000 + id % 30) || ', ab ' || id % 90 || ' Jahren, Arbeitslos, am ' || (1 + id % 28) || '.12.2024' AS x FROM entries) SELECT id, " + ", ".join(f"list_sort(list_distinct(regexp_extract_all(x, '(?i){p}'))) AS {n}" for n, p in op.CRITICAL.items()) + " FROM t")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as fx
+from sieveline.operators import answers, pages, rules, seeds
 from sieveline.operators import filters as op
 from sieveline.plans.registry import query
 from sieveline.session import table
@@ -89,10 +90,15 @@ def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).select("id", op.low_signal(F.col("url"), F.col("title_de")).alias("low"))
 
 
-@query("f12_boilerplate_lines", "SELECT doc_id, CASE WHEN lower(text) LIKE '%licensed under%' OR lower(text) LIKE '%all rights reserved%' THEN '' ELSE text END AS cleaned FROM documents")
+_COOKIES = ("", "", "", " Mit der Einwilligung", " Widerruf der EINWILLIGUNG", " Matomo", " Webverhalten-Analysetool", "", " Cookiehinweis", " tracking")
+_SPELT = lambda k: "([" + ", ".join(f"'{x}'" for x in _COOKIES) + f"])[CAST({k} % 10 AS INT) + 1]"
+
+
+@query("f12_boilerplate_lines", f"WITH t AS (SELECT doc_id, text || {_SPELT('doc_id')} AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(lower(t), 'einwilligung von nutzenden|webverhalten- analysetool|webverhalten-analysetool|webverhalten analysetool|matomo|mit der einwilligung|cookie-einwilligung|cookiehinweis|tracking|nach erteilung der einwilligung|widerruf der einwilligung') THEN '' ELSE t END AS cleaned FROM t")
 def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(low.contains("licensed under") | low.contains("all rights reserved"), "").otherwise(F.col("text")).alias("cleaned"))
+    """Texts about cookies and tracking are blanked; six of ten documents have such words put after their text."""
+    text = F.concat("text", F.element_at(F.array(*map(F.lit, _COOKIES)), (F.col("doc_id") % 10).cast("int") + 1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(fx.contains_any(F.lower(text), answers.BOILERPLATE), "").otherwise(text).alias("cleaned"))
 
 
 @query("f13_relevance_guard", E + "SELECT id FROM entries e WHERE (content_de LIKE '%eau%' AND content_de NOT LIKE '%http%') OR NOT EXISTS (SELECT 1 FROM entries WHERE content_de LIKE '%eau%' AND content_de NOT LIKE '%http%')")
@@ -135,10 +141,20 @@ def f17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", op.candidate_gate(e).alias("reason"))
 
 
-@query("f18_low_quality_titles", E + "SELECT id, length(coalesce(trim(title_de), '')) < 40 AS short, regexp_matches(coalesce(title_de, ''), '^[^.]+\\.$') AS one_sentence, coalesce(trim(title_de), '') IN ('', 'Home', 'Start') AS generic FROM entries")
+_POOR = "'navigation', 'hauptnavigation', 'haupt-navigation', 'startseite', 'home', 'homepage', 'menu', 'hinweis zum datenschutz', 'datenschutz', 'datenschutzhinweis', 'impressum', 'cookie-hinweis', 'cookie hinweis'"
+_ABOUT = "cookie|datenschutz|javascript|newsletter|anmelden|registrieren|suche|navigation|zum inhalt|barrierefreiheit|impressum|einwilligung|webverhalten|tracking|analyse-tool|matomo|einwilligen ablehnen"
+
+
+@query("f18_low_quality_titles", E + f""", n AS (SELECT id, CASE id % 9 WHEN 0 THEN 'Startseite' WHEN 1 THEN ' IMPRESSUM ' WHEN 2 THEN 'Jetzt loslegen' WHEN 3 THEN '' WHEN 4 THEN 'Cookie-Einstellungen' ELSE title_de END AS t,
+    trim(regexp_replace(regexp_replace(coalesce(CASE WHEN id % 7 = 0 THEN summary_de || ' Zum Inhalt' ELSE summary_de END, ''), '\\s+', ' ', 'g'), '\\s+([,.;:!?])', '\\1', 'g'), ' -|') AS s FROM entries)
+SELECT id, lower(trim(coalesce(t, ''))) IN ('', {_POOR}) OR regexp_matches(lower(coalesce(t, '')), 'jetzt|hier klicken|mehr erfahren|loslegen|starten|anmelden|datenschutz|cookie|impressum') AS poor_title,
+    length(s) < 40 OR regexp_matches(lower(s), '{_ABOUT}') AS poor_description FROM n""")
 def f18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.trim(F.coalesce("title_de", F.lit("")))
-    return entries(spark, sf_dir).select("id", (F.length(t) < 40).alias("short"), F.coalesce("title_de", F.lit("")).rlike(r"^[^.]+\.$").alias("one_sentence"), t.isin("", "Home", "Start").alias("generic"))
+    """Titles and descriptions that say nothing; five of nine entries have such titles, one of seven such a description."""
+    k = F.col("id") % 9
+    named = F.when(k == 0, "Startseite").when(k == 1, " IMPRESSUM ").when(k == 2, "Jetzt loslegen").when(k == 3, "").when(k == 4, "Cookie-Einstellungen").otherwise(F.col("title_de"))
+    summary = F.when(F.col("id") % 7 == 0, F.concat("summary_de", F.lit(" Zum Inhalt"))).otherwise(F.col("summary_de"))
+    return entries(spark, sf_dir).select("id", pages.poor_title(named).alias("poor_title"), pages.poor_description(summary).alias("poor_description"))
 
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '')"
@@ -150,21 +166,35 @@ def f19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), fx.under(host, F.lit("example.net")).alias("inside"))
 
 
-@query("f20_guardrails", f"SELECT page_id, CASE WHEN h IN ('cheap-pills.example.com', 'casino-win.example.org') THEN 'host' WHEN h = 'example.net' OR h LIKE '%.example.net' THEN 'suffix' WHEN contains(lower(url), 'utm_') THEN 'token' END AS reason FROM (SELECT *, {_HOST} AS h FROM pages)")
+_GUARD = seeds.Guard(urls=("http://therwh.example.org/es/12", "https://m.tionsh.example.net/en/98"), hosts=("cheap-pills.example.com", "www.casino-win.example.org"), suffixes=("example.net",), words=("/EN/9", "utm_"))
+
+
+@query("f20_guardrails", f"""WITH p AS (SELECT page_id, url, {_HOST} AS h, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS u FROM pages)
+SELECT page_id, CASE WHEN u IN ('http://therwh.example.org/es/12', 'https://m.tionsh.example.net/en/98') THEN 'exact_url_blocklist' WHEN h IN ('cheap-pills.example.com', 'casino-win.example.org') THEN 'blocked_host'
+WHEN h = 'example.net' OR h LIKE '%.example.net' THEN 'blocked_host_suffix' WHEN contains(lower(u), '/en/9') THEN 'blocked_url_token' END AS reason FROM p""")
 def f20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").withColumn("host", fx.host(F.col("url")))
-    return p.select("page_id", op.guarded(p, "host", "url", ["cheap-pills.example.com", "casino-win.example.org"], ["example.net"], ["utm_"]).alias("reason"))
+    """Why a page's normalised URL is stopped: as a whole, by its host, by a domain above it, or by a part; parameters that track are gone by then."""
+    return table(spark, sf_dir, "pages").select("page_id", _GUARD.reason(fx.canonical_url(F.col("url"))).alias("reason"))
+
+
+_PAGES = ("https://www.bmas.de/DE/Arbeit/x", "https://www.bmas.de/DE/Service/x", "HTTPS://www.bmbfsfj.bund.de/bmbfsfj/themen/familie/", "https://www.bmbfsfj.bund.de/bmbfsfj/", "https://www.bmbfsfj.bund.de/bmbfsfj/mediathek/a", "https://www.bmas.de/de/Soziales/", "https://www.bmbfsfj.bund.de/bmbfsfj/themen/familie/geld")
 
 
-@query("f23_prune_rules", "SELECT page_id, CASE WHEN regexp_matches(url, 'casino|bets') THEN 'gambling' WHEN regexp_matches(url, 'pills') THEN 'pharma' WHEN regexp_matches(url, 'ads-|spam-') THEN 'advertising' ELSE 'kept' END AS reason FROM pages")
+@query("f23_prune_rules", E + """SELECT id, CASE WHEN domain = 'organizations' AND id % 7 IN (0, 5) THEN 'bmas_topic_page' WHEN domain = 'organizations' AND id % 7 IN (2, 4, 6) THEN 'bmbfsfj_theme_media_meta'
+WHEN domain = 'aid' AND id % 7 = 3 THEN 'bmbfsfj_root_page' WHEN domain = 'aid' AND id % 7 = 2 THEN 'bmbfsfj_theme_root' ELSE 'kept' END AS reason FROM entries""")
 def f23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", op.first_reason([("gambling", u.rlike("casino|bets")), ("pharma", u.rlike("pills")), ("advertising", u.rlike("ads-|spam-"))], "kept").alias("reason"))
+    """Why entries are pruned from a domain that their URL, one of seven, doesn't fit."""
+    url = F.element_at(F.array(*map(F.lit, _PAGES)), (F.col("id") % 7).cast("int") + 1)
+    return entries(spark, sf_dir).select("id", op.prune_reason(F.col("domain"), url).alias("reason"))
 
 
-@query("f24_cookie_boilerplate", "SELECT page_id FROM pages WHERE NOT regexp_matches(lower(html), 'cookie(s)?[- ](banner|consent|einstellungen)|track\\(1')")
+@query("f24_cookie_boilerplate", E + "SELECT id FROM entries WHERE NOT (id % 5 = 0 AND summary_de IS NOT NULL OR id % 7 = 0 AND content_de IS NOT NULL OR id % 6 = 0 AND url IS NOT NULL)")
 def f24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").where(~F.lower("html").rlike(r"cookie(s)?[- ](banner|consent|einstellungen)|track\(1")).select("page_id")
+    """Entries that aren't about cookies; one of five says so in its summary, one of seven in its content, one of six in its URL."""
+    k = F.col("id")
+    with_words = lambda c, n, words: F.when(k % n == 0, F.concat(c, F.lit(words))).otherwise(F.col(c))
+    cookie = op.cookie_entry(with_words("url", 6, "/Dynamic/Action/1"), with_words("summary_de", 5, " MATOMO "), with_words("content_de", 7, " Einwilligen ablehnen"))
+    return entries(spark, sf_dir).where(~cookie).select("id")
 
 
 @query("f26_payload_filter", E + "SELECT id FROM entries WHERE tier IN ('tier_1_official', 'tier_3_press') AND list_has_any(topics, ['family', 'money']) AND jurisdiction = 'DE'")
@@ -183,9 +213,15 @@ def f29(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).select("id", unknown("tier").alias("tier_unknown"), unknown("jurisdiction").alias("jurisdiction_unknown"))
 
 
-@query("f31_binary_text", "SELECT page_id, html LIKE '\\%PDF-%' ESCAPE '\\' OR contains(left(html, 4000), 'endstream') OR length(left(html, 4000)) - length(regexp_replace(left(html, 4000), '[\\x00-\\x08\\x0E-\\x1F\\x{FFFD}]', '', 'g')) >= 8 AS is_binary FROM pages")
+_BYTES = ("", "a %PDF-1.7", " endstream ", "x startxref 1", "/FlateDecode", "\\ufffd" * 4 + "\\x01" * 4, "\\ufffd" * 8, "\\x0b" * 8, "\\n\\t" * 8)
+_BYTES = tuple(x.encode().decode("unicode_escape") for x in _BYTES)
+
+
+@query("f31_binary_text", "SELECT page_id, page_id % 9 IN (1, 2, 3, 4, 6, 7) AS is_binary FROM pages")
 def f31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", op.binary_text(F.col("html")).alias("is_binary"))
+    """Pages with one of nine beginnings: marks of a file, or eight characters that don't belong in texts, of one kind."""
+    begin = F.element_at(F.array(*map(F.lit, _BYTES)), (F.col("page_id") % 9).cast("int") + 1)
+    return table(spark, sf_dir, "pages").select("page_id", op.binary_text(F.concat(begin, "html")).alias("is_binary"))
 
 
 @query("f32_external_evidence", E + "SELECT id, greatest(0.0, least(1.0, coalesce(iqs / 80, 0.6))) AS confidence FROM entries WHERE host LIKE '%.example.org' AND lang = 'de'")
@@ -194,10 +230,10 @@ def f32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("iqs") / 80, F.lit(0.6)))).alias("confidence"))
 
 
-_KINDS = (("procedural", ("how ", "wie ")), ("eligibility", ("who ", "wer ")), ("temporal", ("when ", "wann ")))
+_KINDS = (("eligibility", "kann ich|darf ich|habe ich anspruch|berechtigt|voraussetzung"), ("howto", "wie|wo|beantragen|antrag|welche dokumente|schritte"), ("factual", "was ist|wie viel|wie hoch|wann|wer|betrag|höhe"), ("comparison", "unterschied|vergleich|besser|oder|versus|vs"), ("exploratory", "welche|alle|gibt es|übersicht|möglichkeiten"))
 
 
-@query("f33_question_type", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {w!r})' for w in ws)} THEN '{k}'" for k, ws in _KINDS) + " ELSE 'factual' END AS kind FROM conversations")
+@query("f33_question_type", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{ws}') THEN '{k}'" for k, ws in _KINDS) + " ELSE 'factual' END AS kind FROM conversations")
 def f33(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", op.first_reason([(k, fx.contains_any(low, ws)) for k, ws in _KINDS], "factual").alias("kind"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", op.first_reason([(k, fx.contains_any(low, ws)) for k, ws in rules.QUESTIONS.items()], "factual").alias("kind"))

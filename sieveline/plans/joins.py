@@ -97,11 +97,14 @@ def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes.join(entries(spark, sf_dir).select("id", "url"), "url").select("probe", "id")
 
 
-@query("j17_duplicate_urls", f"WITH c AS (SELECT page_id, {_H} || regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', '') AS key FROM pages) SELECT page_id FROM c WHERE key IN (SELECT key FROM c WHERE page_id % 2 = 0) AND page_id % 2 = 1")
+@query("j17_duplicate_urls", "WITH c AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS u FROM pages), old AS (SELECT u FROM c WHERE page_id % 2 = 0) SELECT page_id FROM c WHERE page_id % 3 = 0 AND u IN (SELECT u FROM old) OR page_id % 3 <> 0 AND u || '/neu' IN (SELECT u FROM old)")
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.concat(fx.host(F.col("url")), F.regexp_replace(fx.bare_url(F.col("url")), "^[a-z]+://[^/]*", ""))
-    c = table(spark, sf_dir, "pages").select("page_id", key.alias("key"))
-    return c.where("page_id % 2 = 1").join(c.where("page_id % 2 = 0"), "key", "left_semi").select("page_id")
+    """Candidates whose canonical URL is known: every page comes again, a third of them in another spelling, the others below their URL; even pages are known."""
+    bare = F.regexp_replace(fx.bare_url(F.col("url")), "/+$", "")
+    p = table(spark, sf_dir, "pages").select("page_id", bare.alias("u"))
+    again = F.when(F.col("page_id") % 3 == 0, F.concat("u", F.lit("/?utm_medium=mail#top"))).otherwise(F.concat("u", F.lit("/neu")))
+    known = p.where("page_id % 2 = 0").select(fx.canonical_url(F.col("u")).alias("key"))
+    return p.select("page_id", fx.canonical_url(again).alias("key")).join(known, "key", "left_semi").select("page_id")
 
 
 @query("j18_trusted_sources", E + "SELECT id, id IN (SELECT doc_id FROM labels WHERE quality = 1) OR url IN (SELECT url FROM entries WHERE tier = 'tier_1_official') AS trusted FROM entries")
@@ -162,12 +165,11 @@ def u04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).select("id", F.array_join(F.array_sort(F.array_except("topics", old)), "|").alias("added"), F.array_join(F.array_except(old, "topics"), "|").alias("removed"))
 
 
-@query("u05_token_overlap", "SELECT b.item_id, d.doc_id, len(list_intersect(list_distinct(string_split(lower(b.text), ' ')), list_distinct(string_split(lower(d.text), ' ')))) / len(list_distinct(string_split(lower(b.text), ' '))) AS ratio FROM benchmark b JOIN documents d ON b.item_id = d.doc_id")
+@query("u05_token_overlap", "WITH b AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS w FROM documents) SELECT item_id, doc_id, len(list_intersect(b.w, d.w)) / len(b.w) AS ratio FROM b JOIN d ON len(list_intersect(b.w, d.w)) / len(b.w) >= 0.5")
 def u05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    b = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("asked"))
-    d = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("found"))
-    return b.join(d, b.item_id == d.doc_id).select("item_id", "doc_id", (F.size(F.array_intersect("asked", "found")) / F.size("asked")).alias("ratio"))
+    """Documents that have at least half of a benchmark item's words."""
+    words = F.array_distinct(F.split(F.lower("text"), " "))
+    return op.word_containment(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", words, 0.5)
 
 
 @query("u05_token_overlap_all", "WITH b AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS w FROM documents) SELECT item_id, doc_id, len(list_intersect(b.w, d.w)) / len(b.w) AS ratio FROM b JOIN d ON list_has_any(b.w, d.w)")

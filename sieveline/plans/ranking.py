@@ -54,15 +54,13 @@ def w09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("key", "has_text").agg(F.min("id").alias("id")).select("has_text", "id")
 
 
-@query("w10_keep_last", "SELECT user_id, max_by(event_type, ts) AS last_type, CAST(max(ts) AS VARCHAR) AS last_ts FROM events GROUP BY user_id HAVING count(DISTINCT ts) = count(*)")
-def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("last_type"), F.max("ts").alias("last_ts"), (F.countDistinct("ts") == F.count("*")).alias("_one"))
-    text = F.regexp_replace(F.regexp_replace(F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "0+$", ""), r"\.$", "")
-    return g.where("_one").select("user_id", "last_type", text.alias("last_ts"))
+_LAST = "SELECT user_id, event_type AS last_type, CAST(ts AS VARCHAR) AS last_ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST) AS n FROM events) WHERE n = 1"
 
 
-@query("w10_keep_last_all", "SELECT user_id, event_type AS last_type, CAST(ts AS VARCHAR) AS last_ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST) AS n FROM events) WHERE n = 1")
-def w10_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("w10_keep_last", _LAST)
+@query("w10_keep_last_all", _LAST)
+def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user under either name."""
     last = op.last_of(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "ts"])
     text = F.regexp_replace(F.regexp_replace(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "0+$", ""), r"\.$", "")
     return last.select("user_id", F.col("event_type").alias("last_type"), text.alias("last_ts"))

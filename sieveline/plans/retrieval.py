@@ -63,10 +63,11 @@ def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", sc.confidence_bucket(F.col("value") / 6).alias("confidence"))
 
 
-@query("r15_recency_rerank", E + f"SELECT id, round(CASE WHEN age >= 0 AND age < 365 THEN iqs * (1 - age / 365.0 * 0.1) ELSE iqs END, 6) AS score FROM (SELECT id, iqs, date_diff('day', CAST(last_seen AS DATE), DATE '2025-01-01') AS age FROM entries WHERE iqs IS NOT NULL AND last_seen IS NOT NULL)")
+@query("r15_recency_rerank", E + f"SELECT id, round(CASE WHEN age >= 0 AND age < 365 THEN iqs * (1 - age / 365.0 * 0.1) ELSE iqs END, 6) AS score FROM (SELECT id, coalesce(iqs, 0) AS iqs, date_diff('day', CAST(last_seen AS DATE), DATE '2025-01-01') AS age FROM entries)")
 def r15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entries(spark, sf_dir).where("iqs is not null and last_seen is not null")
-    return e.select("id", _round(sc.recency(F.col("iqs"), F.datediff(F.lit("2025-01-01").cast("date"), F.col("last_seen").cast("date"))), "score"))
+    """Every entry; one without a score has 0, one that was never seen keeps its score."""
+    e = entries(spark, sf_dir)
+    return e.select("id", _round(sc.recency(F.coalesce("iqs", F.lit(0.0)), F.datediff(F.lit("2025-01-01").cast("date"), F.col("last_seen").cast("date"))), "score"))
 
 
 _FRESH = f"CASE WHEN last_seen IS NULL THEN 50 WHEN dd <= 7 THEN 100 WHEN dd <= 30 THEN 90 WHEN dd <= 90 THEN 75 WHEN dd <= 180 THEN 60 WHEN dd <= 365 THEN 40 ELSE 20 END"

@@ -10,7 +10,7 @@ from sieveline.functions import text as fx
 from sieveline.operators import ranking as rk
 from sieveline.operators import rules as op
 from sieveline.plans.registry import query
-from sieveline.session import numbered, table
+from sieveline.session import numbered, scratch, stash, table
 from sieveline.sources.entries import ENTRIES_SQL, entries
 
 E = f"WITH {ENTRIES_SQL} "
@@ -20,22 +20,40 @@ _HAS = lambda c, t: f"coalesce(contains({c}, '{t}'), FALSE)::INT"
 _HITS = lambda c, ts: " + ".join(f"coalesce(contains({c}, '{t}'), FALSE)::INT" for t in ts)
 
 
-@query("r06_topic_boost", E + "SELECT id, least(2.0, (CASE WHEN id % 4 = 0 OR list_contains(topics, 'family') THEN 1.6 ELSE 1 END) * (CASE WHEN id % 4 = 1 OR list_contains(topics, 'housing') THEN 1.35 ELSE 1 END))::DOUBLE AS boost FROM entries")
+@query("r06_topic_boost", E + """, t AS (SELECT id, ['formular', 'weisung', 'statute', 'website'][CAST(id % 4 AS INT) + 1] AS kind, topics FROM entries)
+SELECT id, round(least(2.0, CASE WHEN kind = 'formular' OR list_has_any(topics, ['family', 'kindergeld', 'health']) THEN 1.6 ELSE 1 END * CASE WHEN kind = 'weisung' OR list_has_any(topics, ['housing', 'kosten_der_unterkunft']) THEN 1.35 ELSE 1 END
+    * CASE WHEN kind IN ('formular', 'merkblatt') OR list_has_any(topics, ['family', 'kindergeld', 'health']) THEN 1.2 ELSE 1 END * CASE WHEN kind IN ('statute', 'weisung', 'guide') OR list_has_any(topics, ['application_process', 'financial_support', 'money']) THEN 1.3 ELSE 1 END)::DOUBLE, 6) AS boost FROM t""")
 def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four of the twelve rules are met by the question; two of its topics have one below them."""
     kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.col("id") % 4).cast("int") + 1)
-    return entries(spark, sf_dir).select("id", op.topic_boost("Kindergeld Antrag und Miete", kind, F.col("topics")).alias("boost"))
+    return entries(spark, sf_dir).select("id", F.round(op.topic_boost("Kindergeld Antrag, Miete und Widerspruch", kind, F.col("topics"), {"family": ("health",), "financial_support": ("money",)}), 6).alias("boost"))
 
 
 _ASK = "the hilfe antrag"
 _T, _X = FOLD("title_de"), FOLD("content_de")
 
 
-@query("r11_entry_score", E + f", s AS (SELECT id, domain, {_T} AS t, lower(content_de) AS x, {_X} AS f FROM entries), p AS (SELECT id, 3.0 * {_HAS('t', 'thon')} + 1.25 * {_HAS('x', 'thon')} + 3.0 * {_HAS('t', 'eau')} + 1.25 * {_HAS('x', 'eau')} + 8 * {_HAS('t', 'ness')} + 4 * {_HAS('f', 'ness')} + 10 * ({_HAS('t', 'ing')} | {_HAS('f', 'ing')}) + 8 * ({_HAS('t', 'ung')} | {_HAS('f', 'ung')}) - 22 * ({_HAS('t', 'scum')} | {_HAS('f', 'scum')}) - 35 * ({_HAS('f', 'sanktion')} | {_HAS('f', 'widerspruch')} | {_HAS('f', 'rechtsberatung')}) + CASE domain WHEN 'aid' THEN 4 WHEN 'contacts' THEN 3.5 WHEN 'benefits' THEN 2.5 WHEN 'tools' THEN 4.5 ELSE 0 END AS v FROM s) SELECT id, CASE WHEN v < 2 THEN v - 3 ELSE v END::DOUBLE AS score FROM p")
+@query("r11_entry_score", E + f", s AS (SELECT id, domain, {_T} AS t, lower(content_de) AS x, {_X} AS f FROM entries), p AS (SELECT id, 3.0 * {_HAS('t', 'thon')} + 1.25 * {_HAS('x', 'thon')} + 3.0 * {_HAS('t', 'eau')} + 1.25 * {_HAS('x', 'eau')} + 8 * {_HAS('t', 'ness')} + 4 * {_HAS('f', 'ness')} + 10 * ({_HAS('t', 'ing')} | {_HAS('f', 'ing')}) + 8 * ({_HAS('t', 'ung')} | {_HAS('f', 'ung')}) - 22 * ({_HAS('t', 'scum')} | {_HAS('f', 'scum')}) - 35 * ({_HAS('f', 'sanktion')} | {_HAS('f', 'widerspruch')} | {_HAS('f', 'rechtsberatung')}) - 35 * ({_HAS('f', 'integrationskurs')} | {_HAS('f', 'zugewanderte')} | {_HAS('f', 'migration')} | {_HAS('f', 'gefluechtete')} | {_HAS('f', 'ukraine')}) - 55 * {_HAS('t', 'selbststaendigkeit mit kind')} - 60 * {_HAS('f', 'paroches')} + 3 * {_HAS('x', 'eservices')} + CASE domain WHEN 'aid' THEN 4 WHEN 'contacts' THEN 3.5 WHEN 'benefits' THEN 2.5 WHEN 'tools' THEN 4.5 ELSE 0 END AS v FROM s) SELECT id, CASE WHEN v < 2 THEN v - 3 ELSE v END::DOUBLE AS score FROM p")
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = {"title": F.col("title_de"), "text": F.col("content_de"), "url": F.col("url"), "domain": F.col("domain")}
     return entries(spark, sf_dir).select("id", op.entry_score(_ASK, ["thon", "eau"], ["ness"], ["ing", "ung"], ["scum"], cols).alias("score"))
 
 
+_TITLES = ("Bürgergeld online beantragen", "Bürgergeld: Antrag und Bescheid", "Einkommen ergänzen", "Arbeitslosengeld", "Jobcenter", "Freiwillige Arbeitslosenversicherung", "Widerspruch", "Integrationskurs")
+
+
+@query("r11_benefit_score", E + """, s AS (SELECT id, domain, id % 8 AS k, url FROM entries),
+p AS (SELECT id, k, domain, CASE k WHEN 0 THEN 3 + 80 + (18 + 5) + 18 WHEN 1 THEN 3 + 48 + (18 + 5) WHEN 2 THEN -45 - 18 WHEN 3 THEN -28 - 18 WHEN 4 THEN 22 - 18 WHEN 5 THEN -70 - 18 WHEN 6 THEN -35 - 18 ELSE -35 - 18 END AS v FROM s),
+q AS (SELECT id, v + CASE WHEN domain = 'aid' THEN 6 ELSE 0 END + CASE WHEN k = 0 THEN 2.5 WHEN k = 4 THEN 4 ELSE 0 END + CASE WHEN k IN (0, 1) THEN 4.5 ELSE -16 END + CASE WHEN k = 2 THEN -18 ELSE 0 END + CASE WHEN k = 3 THEN 2.75 + 1.5 ELSE 0 END AS v FROM p)
+SELECT id, CASE WHEN v < 2 THEN v - 3 ELSE v END::DOUBLE AS score FROM q""")
+def r11_benefit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with one of eight titles as their text too, for a question about the place of an application and a scenario."""
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("id") % 8).cast("int") + 1)
+    scenario = op.Scenario(domains={"aid": 6}, terms={"online": 2.5, "jobcenter": 4}, required=("buergergeld",), blocked=("einkommen",), resources=("arbeitslosengeld",))
+    score = op.entry_score("Wo kann ich Bürgergeld bekomme", ["buergergeld"], [], [], [], {"title": title, "text": title, "url": F.col("url"), "domain": F.col("domain")}, ["jobcenter", "bekomme"], [scenario])
+    return entries(spark, sf_dir).select("id", score.alias("score"))
+
+
 _SCENARIOS = {"work": ("thon", "the the"), "home": ("eau", "de la"), "law": ("ung",)}
 _SSQL = {k: " + ".join(f"{3.0 if ' ' in w else 1.5} * {_HAS('lower(text)', w)}" for w in ws) for k, ws in _SCENARIOS.items()}
 
@@ -109,15 +127,17 @@ def r33(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AUDIT = "WITH s AS (SELECT doc_id, text, [len(string_split(trim(x), ' ')) FOR x IN regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) IF trim(x) <> ''] AS n FROM documents)"
 
 
-@query("r35_plain_language_audit", _AUDIT + " SELECT doc_id, greatest(0, least(100, 100 - CASE WHEN list_avg(n) > 16 THEN 18 ELSE 0 END - CASE WHEN len(n) > 8 THEN 8 ELSE 0 END - CASE WHEN regexp_matches(text, '[;:]') THEN 6 ELSE 0 END)) AS einfach, greatest(0, 100 - CASE WHEN list_avg(n) > 10 THEN 24 ELSE 0 END - CASE WHEN contains(text, ', ') THEN 10 ELSE 0 END - CASE WHEN contains(text, 'bedeutet') THEN 0 ELSE 10 END) AS leicht FROM s WHERE len(n) > 0")
+@query("r35_plain_language_audit", _AUDIT + " SELECT doc_id, CASE WHEN coalesce(len(n), 0) = 0 THEN 0 ELSE greatest(0, least(100, 100 - CASE WHEN list_avg(n) > 16 THEN 18 ELSE 0 END - CASE WHEN len(n) > 8 THEN 8 ELSE 0 END - CASE WHEN regexp_matches(text, '[;:]') THEN 6 ELSE 0 END)) END AS einfach, CASE WHEN coalesce(len(n), 0) = 0 THEN 0 ELSE greatest(0, 100 - CASE WHEN list_avg(n) > 10 THEN 24 ELSE 0 END - CASE WHEN contains(text, ', ') THEN 10 ELSE 0 END - CASE WHEN contains(text, 'bedeutet') THEN 0 ELSE 10 END) END AS leicht FROM s")
 def r35(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; one without a sentence has nothing that is plain, so 0."""
     n = F.transform(fx.sentences(F.col("text")), lambda s: F.size(F.split(F.trim(s), " ")))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", n.alias("n")).where("size(n) > 0")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", n.alias("n"))
     mean = F.aggregate("n", F.lit(0.0), lambda a, x: a + x) / F.size("n")
     minus = lambda c, k: F.when(c, k).otherwise(0)
     einfach = 100 - minus(mean > 16, 18) - minus(F.size("n") > 8, 8) - minus(F.col("text").rlike("[;:]"), 6)
     leicht = 100 - minus(mean > 10, 24) - minus(F.col("text").contains(", "), 10) - minus(~F.col("text").contains("bedeutet"), 10)
-    return d.select("doc_id", einfach.alias("einfach"), leicht.alias("leicht"))
+    read = lambda c: F.when(F.coalesce(F.size("n"), F.lit(0)) > 0, c).otherwise(0)
+    return d.select("doc_id", read(einfach).alias("einfach"), read(leicht).alias("leicht"))
 
 
 @query("r38_eval_confidence", "SELECT event_id, greatest(0.1, least(0.95, value / 30))::DOUBLE AS confidence FROM events")
@@ -133,10 +153,15 @@ def r39(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).select("id", role.alias("role"))
 
 
-_INT = lambda p: p.replace("(?<![A-Za-z0-9_])", "(?:^|[^A-Za-z0-9_])").replace("(?![A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])")
+_INTENT_SQL = (
+    ("eligibility", "eligible|qualify|can i get|can i receive|am i entitled|berechtigt|anspruch|bekomme ich|erhalte ich"), ("how_to", "how do|how can|how to|apply|application|process|steps|register|wie|beantragen|anmelden|verfahren|schritte"),
+    ("comparison", "difference|compare|versus|vs|better|which one|unterschied|vergleich|besser"), ("temporal", "when|until when|deadline|expire|how long|duration|wann|bis wann|frist|ablauf|wie lange|dauer"),
+    ("calculation", "how much|amount|calculate|payment|receive|wie viel|betrag|berechnen|zahlung|erhalte"), ("contact", "where|contact|office|phone|email|address|location|wo|kontakt|büro|telefon|adresse|standort"),
+    ("definition", "what is|define|explain|meaning of|was ist|bedeutung|erklärung"), ("status", "status|state|progress|approved|denied|pending|stand|fortschritt|genehmigt|abgelehnt"),
+)
 
 
-@query("x04_intents", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{_INT(p)}') THEN '{n}'" for n, p in op.INTENTS) + " ELSE 'general' END AS intent FROM conversations")
+@query("x04_intents", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '(?:^|[^A-Za-z0-9_])(?:{p})(?:$|[^A-Za-z0-9_])') THEN '{n}'" for n, p in _INTENT_SQL) + " ELSE 'general' END AS intent FROM conversations")
 def x04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", op.intent(F.col("text")).alias("intent"))
 
@@ -202,7 +227,8 @@ def w19(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entries(spark, sf_dir).select("domain", "id", "tier")
     own = rk.first_of(e.where("tier = 'tier_2_ngo_watchdog'"), ["domain"], ["id"], 2).select("domain", "id", F.lit("own").alias("origin"))
     have = own.groupBy("domain").agg(F.count("*").alias("have"))
-    more = e.where("tier = 'tier_1_official'").join(own.select("id"), "id", "left_anti").join(have, "domain", "left")
+    # The first three of each domain are cut before the shuffle; which of them are needed is told among those.
+    more = rk.first_of(e.where("tier = 'tier_1_official'").join(own.select("id"), "id", "left_anti"), ["domain"], ["id"], 3).join(have, "domain", "left")
     n = F.row_number().over(Window.partitionBy("domain").orderBy("id"))
     return own.unionByName(more.withColumn("n", n).where("n <= 3 - coalesce(have, 0)").select("domain", "id", F.lit("supplement").alias("origin")))
 
@@ -257,5 +283,6 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w30_catalog_sorts", E + "SELECT host, n, row_number() OVER (ORDER BY n DESC, host) AS by_entries, row_number() OVER (ORDER BY host) AS by_name FROM (SELECT host, count(*) AS n FROM entries GROUP BY host)")
 def w30(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = entries(spark, sf_dir).groupBy("host").agg(F.count("*").alias("n"))
-    ranked = numbered(numbered(h, [F.col("n").desc(), F.col("host")], "a"), [F.col("host").asc()], "b")
-    return ranked.select("host", "n", (F.col("a") + 1).alias("by_entries"), (F.col("b") + 1).alias("by_name"))
+    with scratch(spark) as keep:
+        ranked = numbered(numbered(h, [F.col("n").desc(), F.col("host")], "a"), [F.col("host").asc()], "b")
+        return keep(stash(ranked.select("host", "n", (F.col("a") + 1).alias("by_entries"), (F.col("b") + 1).alias("by_name")), "sorts", sweep=False))

@@ -53,14 +53,13 @@ def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).select("id", s.alias("p")).select("id", F.concat_ws("|", "p.source", "p.tier", "p.checksum").alias("provenance"))
 
 
-@query("p17_result_format", "SELECT event_id, printf('%.1f%%', value) AS similarity FROM events WHERE CAST(floor(value * 100) AS BIGINT) % 10 <> 5 AND CAST(floor(value * 100) AS BIGINT) % 10 <> 4")
-def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.floor(F.col("value") * 100) % 10
-    return table(spark, sf_dir, "events").where(~last.isin(4, 5)).select("event_id", F.format_string("%.1f%%", "value").alias("similarity"))
+_PERCENT = "SELECT event_id, CAST(CAST(round(CAST(value AS DECIMAL(28,10)), 1) AS DECIMAL(28,1)) AS VARCHAR) || '%' AS similarity FROM events"
 
 
-@query("p17_result_format_all", "SELECT event_id, CAST(CAST(round(CAST(value AS DECIMAL(28,10)), 1) AS DECIMAL(28,1)) AS VARCHAR) || '%' AS similarity FROM events")
-def p17_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("p17_result_format", _PERCENT)
+@query("p17_result_format_all", _PERCENT)
+def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event under either name."""
     return table(spark, sf_dir, "events").select("event_id", op.percent(F.col("value")).alias("similarity"))
 
 

@@ -9,3 +9,22 @@ def test_documents_of_other_ids_count(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(map(tuple, catalog.queries()["u05_token_overlap_all"](spark, str(tmp_path)).collect()))
     assert got == [(0, 50, 0.75), (0, 51, 0.25), (0, 51, 0.25), (1, 51, 0.5), (1, 51, 1.0)]
+
+
+def test_containment_misses_no_pair(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sieveline.operators import joins
+
+    rng = random.Random(1)
+    text = lambda: " ".join(rng.choice("aaabbbcdefghij") for _ in range(rng.randint(0, 9)))
+    items, docs = [(i % 15, text()) for i in range(20)], [(i % 50, rng.choice([text(), text(), None])) for i in range(60)]
+    words = lambda t: set(t.split(" "))
+    split = F.array_distinct(F.split("text", " "))
+    asked, found = spark.createDataFrame(items, "item int, text string"), spark.createDataFrame(docs, "doc int, text string")
+    for least in (0.01, 0.4, 0.75, 1.0):
+        want = sorted((i, d, len(words(a) & words(b)) / len(words(a))) for i, a in items for d, b in docs if b is not None and len(words(a) & words(b)) / len(words(a)) >= least)
+        assert sorted(map(tuple, joins.word_containment(asked, found, "item", "doc", split, least).collect())) == want
+    assert joins.word_containment(asked, found.limit(0), "item", "doc", split, 0.5).count() == 0 == joins.word_containment(asked.limit(0), found, "item", "doc", split, 0.5).count()
