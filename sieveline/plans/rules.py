@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sieveline.functions import text as fx
+from sieveline.operators import crawl, topics
 from sieveline.operators import ranking as rk
 from sieveline.operators import rules as op
 from sieveline.plans.registry import query
@@ -94,11 +95,70 @@ def r21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).select("id", (share(has("title_de"), has("title_en"), has("summary_de"), has("content_de")) * 100).alias("presence"))
 
 
-@query("r22_discovery_score", "WITH s AS (SELECT page_id, url, CASE WHEN contains(url, '.example.org') THEN 48 WHEN contains(url, '.example.net') THEN 26 ELSE 0 END + least(36, 8 * (contains(lower(url), 'th')::INT + contains(lower(url), 'tion')::INT)) - CASE WHEN contains(url, '?') THEN 6 ELSE 0 END AS score FROM pages) SELECT page_id, score FROM s WHERE score >= 20")
+_TOPICS = (
+    topics.Topic("money", "Geld", ("aid", "benefits"), ("th", "/es/", "tion", "blog", "zz"), (topics.Preference("one", "official_rule_source", "high", ("/de/", "/EN/"), ("https://m.tionsh.example.net/en/98",)), topics.Preference("two", "official_contact_source", "critical"), topics.Preference("three", "journalism_source", "low", ("/nowhere/",)))),
+    topics.Topic("work", "Arbeit", ("aid",), ("/en/",)),
+)
+_SOURCES = (("one", "tionsh.example.net", "Eins", "tier_1_official", "authority", ["all"]), ("two", "www.therwh.example.org", "Zwei", "tier_3_press", "press", None), ("three", "example.com", "Drei", "tier_2_ngo_watchdog", "ngo", ["some"]), ("four", "example.net", "Vier", "tier_1_official", "authority", None), ("five", "example.org", "Fünf", "tier_2_ngo_watchdog", "ngo", None))
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_SOURCES, "source_id string, host string, name string, tier string, institution string, groups array<string>")
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in three domains; a few of them below paths that say what they are."""
+    k = F.col("page_id")
+    kind = F.when(k % 11 == 0, "/Lexikon/a").when(k % 11 == 1, "/leichte-sprache").when(k % 11 == 2, "/x/buergertelefon").when(k % 11 == 3, "/presse/1").when(k % 11 == 4, "/eine-studie").otherwise("")
+    whole = F.concat(F.regexp_replace("url", "[?].*$", ""), kind, F.when(F.contains("url", F.lit("?")), F.regexp_extract("url", "[?].*$", 0)).otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", whole.alias("url"), F.element_at(F.array(*map(F.lit, ("aid", "benefits", "tools"))), (k % 3).cast("int") + 1).alias("domain"))
+
+
+_TOPIC_SQL = r"""WITH p AS (
+    SELECT page_id, regexp_replace(url, '[?].*$', '') || CASE page_id % 11 WHEN 0 THEN '/Lexikon/a' WHEN 1 THEN '/leichte-sprache' WHEN 2 THEN '/x/buergertelefon' WHEN 3 THEN '/presse/1' WHEN 4 THEN '/eine-studie' ELSE '' END || regexp_extract(url, '[?].*$') AS url, ['aid', 'benefits', 'tools'][CAST(page_id % 3 AS INT) + 1] AS domain FROM pages),
+u AS (SELECT DISTINCT url, domain, lower(url) AS low, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\.', '') AS host FROM p),
+h AS (SELECT *, host = 'tionsh.example.net' OR host LIKE '%.tionsh.example.net' AS one, host = 'therwh.example.org' OR host LIKE '%.therwh.example.org' AS two, host = 'example.com' OR host LIKE '%.example.com' AS three, host = 'example.net' OR host LIKE '%.example.net' AS four, host = 'example.org' OR host LIKE '%.example.org' AS five FROM u WHERE NOT regexp_matches(low, '/impressum|/datenschutz|/privacy|/cookie|/rss|/aktuelles|/presse|/meta/|/gebaerdensprache')),
+k AS (SELECT *, CASE WHEN contains(low, '/lexikon/') THEN 24 ELSE 0 END + CASE WHEN contains(low, '/leichte-sprache') THEN 22 ELSE 0 END + CASE WHEN contains(low, 'buergertelefon') THEN 18 ELSE 0 END + CASE WHEN contains(low, 'studie') THEN 12 ELSE 0 END - CASE WHEN contains(url, '?') THEN 6 ELSE 0 END AS kind,
+      CASE WHEN one OR four THEN 26 WHEN two THEN 0 WHEN three OR five THEN 18 ELSE 0 END AS tier, CASE WHEN one THEN 'one' WHEN two THEN 'two' WHEN three THEN 'three' WHEN four THEN 'four' WHEN five THEN 'five' ELSE host END AS near FROM h),
+s AS (
+    SELECT 'money' AS topic, domain, url, CASE WHEN two THEN 65 WHEN one THEN 48 + CASE WHEN url = 'https://m.tionsh.example.net/en/98' THEN 50 ELSE 0 END + CASE WHEN contains(low, '/de/') OR contains(low, '/en/') THEN 18 * (contains(low, '/de/')::INT + contains(low, '/en/')::INT) ELSE -8 END
+        WHEN three THEN 20 + CASE WHEN contains(low, '/nowhere/') THEN 18 ELSE -8 END ELSE tier END + least(36, 8 * (contains(low, 'th')::INT + contains(low, '/es/')::INT + contains(low, 'tion')::INT + contains(low, 'blog')::INT + contains(low, 'zz')::INT)) + kind AS score,
+        CASE WHEN two THEN 'official_contact_source' WHEN one THEN 'official_rule_source' WHEN three THEN 'journalism_source' ELSE 'discovered' END AS role, CASE WHEN two THEN 'critical' WHEN one THEN 'high' WHEN three THEN 'low' ELSE 'normal' END AS priority, CASE WHEN two THEN 'two' ELSE near END AS source_id FROM k WHERE domain IN ('aid', 'benefits')
+    UNION ALL SELECT 'work', domain, url, tier + 8 * contains(low, '/en/')::INT + kind, 'discovered', 'normal', near FROM k WHERE domain = 'aid')
+"""
+
+
+@query("r22_discovery_score", _TOPIC_SQL + "SELECT * FROM s WHERE score >= 20")
 def r22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.lower("url")
-    score = F.when(u.contains(".example.org"), 48).when(u.contains(".example.net"), 26).otherwise(0) + F.least(F.lit(36), 8 * op.hits(u, ("th", "tion"))) - F.when(u.contains("?"), 6).otherwise(0)
-    return table(spark, sf_dir, "pages").select("page_id", score.alias("score")).where("score >= 20")
+    """What two topics say of each page's URL in the topics' domains."""
+    return topics.scored_urls(_urls(spark, sf_dir), _TOPICS, _sources(spark)).select("topic", "domain", "url", "score", "role", "priority", "source_id")
+
+
+@query("d23_topic_report", _TOPIC_SQL + """, b AS (SELECT topic, url, max(score) AS score, arg_max(priority, score) AS priority FROM s WHERE score >= 20 GROUP BY topic, url),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, url) AS n FROM b)
+SELECT topic, count(*) AS candidates, list(url ORDER BY n) FILTER (n <= 50) AS top FROM r GROUP BY topic""")
+def d23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each topic's candidates: how many, and the best fifty."""
+    return topics.discovery_report(topics.scored_urls(_urls(spark, sf_dir), _TOPICS, _sources(spark)), 50)
+
+
+@query("d22_seed_manifest", r"""WITH e AS (SELECT DISTINCT ['aid', 'benefits', 'tools'][CAST(page_id % 3 AS INT) + 1] AS domain, regexp_replace(url, '[?].*$', '') AS url FROM pages WHERE page_id % 2 = 0),
+f AS (SELECT DISTINCT 'two' AS source_id, regexp_replace(url, '[?].*$', '') AS url FROM pages WHERE page_id % 5 = 0),
+d AS (SELECT unnest(['aid', 'benefits']) AS domain),
+n AS (SELECT domain, 'one' AS source_id, 'https://m.tionsh.example.net/en/98' AS url, ['official_rule_source'] AS tags, 0 AS j FROM d UNION ALL SELECT domain, 'two', url, ['official_contact_source', 'contact'], 1 FROM f, d),
+g AS (SELECT domain, url, list(source_id ORDER BY j) AS sources, flatten(list(tags ORDER BY j)) AS tags FROM n GROUP BY domain, url)
+SELECT coalesce(e.domain, g.domain) AS domain, coalesce(e.url, g.url) AS url, g.sources[-1] AS source_id, len(g.sources) IS NOT NULL AND e.url IS NULL AS added, coalesce(len(g.sources), 0) - (e.url IS NULL)::INT AS updates,
+    CASE WHEN e.url IS NULL THEN []::VARCHAR[] ELSE ['old'] END || CASE WHEN g.url IS NULL THEN [] WHEN g.domain = 'benefits' THEN ['money', 'financial_support'] ELSE ['money'] END AS topics, coalesce(g.tags, []) AS tags,
+    CASE WHEN list_contains(g.sources, 'one') THEN ['all'] ELSE []::VARCHAR[] END AS groups
+FROM e FULL JOIN g ON g.domain = e.domain AND g.url = e.url""")
+def d22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of half of the pages, after a topic's stated seeds and what a fifth of the pages gave of one of its sources."""
+    bare = F.regexp_replace("url", "[?].*$", "")
+    p = _urls(spark, sf_dir).select("page_id", "domain").join(table(spark, sf_dir, "pages").select("page_id", bare.alias("url")), "page_id")
+    none = F.array().cast("array<string>")
+    old = p.where("page_id % 2 = 0").select("domain", "url", F.lit("Alt").alias("label"), F.array(F.lit("old")).alias("topics"), none.alias("tags"), none.alias("groups"))
+    found = p.where("page_id % 5 = 0").select(F.lit("two").alias("source_id"), "url")
+    return topics.synced_seeds(old, _TOPICS[:1], _sources(spark), found).select("domain", "url", "source_id", "added", "updates", "topics", "tags", "groups")
 
 
 _PARTS = "[x FOR x IN string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), '/') IF x <> '']"
@@ -233,11 +293,13 @@ def w19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(more.withColumn("n", n).where("n <= 3 - coalesce(have, 0)").select("domain", "id", F.lit("supplement").alias("origin")))
 
 
-@query("j08_topic_role_boost", E + "SELECT id, sum(CASE topic WHEN 'family' THEN 1.5 WHEN 'work' THEN 1.2 ELSE 0.3 END)::DOUBLE AS boost FROM (SELECT id, unnest(list_distinct(topics)) AS topic FROM entries) GROUP BY id")
+@query("j08_topic_role_boost", E + """, w AS (SELECT id, CASE source WHEN 'src1' THEN 4.0 + 1.2 * contains(url, '/de/')::INT + 1.2 * contains(url, '/en/')::INT WHEN 'src2' THEN 3.0 + 1.2 * contains(url, '/es/')::INT ELSE 0 END + CASE WHEN host IS NULL THEN 0 ELSE 1.0 END AS b FROM entries)
+SELECT id, round(b, 6)::DOUBLE AS boost FROM w""")
 def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("topic")
-    e = entries(spark, sf_dir).select("id", F.explode(F.array_distinct("topics")).alias("topic"))
-    return e.groupBy("id").agg(F.round(F.sum(F.when(t == "family", 1.5).when(t == "work", 1.2).otherwise(0.3)), 6).alias("boost"))
+    """Boosts by a topic's preferred sources: their hosts come from the registry, one above all others; one isn't registered."""
+    preferred = spark.createDataFrame([("rules", "official_rule_source", ["/DE/", "/en/"]), ("office", "official_contact_source", ["/es/"]), ("press", "journalism_source", None), ("lost", "official_rule_source", None)], "source_id string, role string, patterns array<string>")
+    registry = spark.createDataFrame([("rules", "src1.example.org"), ("office", "src2.example.org"), ("press", "example.org"), ("other", "src3.example.org")], "source_id string, host string")
+    return crawl.role_boost(entries(spark, sf_dir), "id", "host", "url", preferred.join(registry, "source_id").select("host", "role", "patterns"))
 
 
 @query("j23_exact_host_profile", E + ", p(host, name) AS (VALUES ('src1.example.org', 'one'), ('src2.example.org', 'two'), ('example.org', 'top')) SELECT e.id, coalesce(p.name, 'inferred') AS profile FROM entries e LEFT JOIN p ON e.host = p.host")
