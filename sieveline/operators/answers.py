@@ -124,6 +124,19 @@ def best_sentences(content: Column, terms: Column, most: int = 2) -> Column:
     return F.transform(F.slice(F.sort_array(F.filter(F.transform(some, scored), lambda x: x["less"] < 0)), 1, most), lambda x: x["s"])
 
 
+#: How a sentence that matters begins, and words that it has.
+OPENERS = r"^(?i:You (?:can|must|should|need|are)|The |To |If you|When|Important)"
+POINTED = ("eligible", "required", "must", "can apply", "deadline", "amount", "benefit")
+
+
+def key_points(answer: Column, most: int = 5) -> Column:
+    """The sentences of 21 to 199 characters that say most, ``most`` at most: two points for a number, one each for an opener and a word."""
+    some = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), "[.!?]+"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\f\r"))), lambda s: F.length(s).between(21, 199))
+    whether = lambda c, n: F.when(c, n).otherwise(0)
+    scored = F.transform(some, lambda s, i: F.struct((-(whether(s.rlike("[0-9]"), 2) + whether(s.rlike(OPENERS), 1) + whether(contains_any(F.lower(s), POINTED), 1))).alias("less"), i.alias("i"), s.alias("s")))
+    return F.transform(F.slice(F.sort_array(scored), 1, most), lambda x: x["s"])
+
+
 def lead_sentence(summary: Column, content: Column) -> Column:
     """The first sentence of the summary, or of the content, cut at a word after LEAD_MOST characters."""
     text = F.trim(F.regexp_replace(F.coalesce(F.coalesce(F.nullif(F.trim(summary), F.lit("")), content), F.lit("")), r"\s+", " "))

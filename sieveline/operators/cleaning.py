@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import html
+import html.entities
+import json
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -163,6 +166,77 @@ def walked(c: Column, kind: T.DataType, leaf: Callable[[Column], Column], items:
     return c
 
 
+#: Keys whose strings are for people; every other key's are only trimmed.
+TEXT_KEYS = (
+    "title", "summary", "content", "description", "name", "label", "notes", "note", "providerName", "publisherName", "operatorName", "author",
+    "labelDe", "label_de", "labelEn", "label_en", "summaryDe", "summary_de", "descriptionDe", "description_de", "titleDe", "title_de", "easy_de", "de", "en",
+)
+
+
+def unescaped(c: Column) -> Column:
+    """HTML's character references that end with a semicolon, named or by number, as their characters; unknown ones stay.
+
+    The names come from Python's own table as one constant; the text is cut at references and joined again.
+    """
+    names = {n: v for n, v in html.entities.html5.items() if n.endswith(";")}
+    known = F.from_json(F.lit(json.dumps(names)), "map<string, string>")
+    point = lambda digits, base: F.conv(digits, base, 10).cast("long")
+    # What numbers stand for where HTML reads them as another character or none.
+    moved = {int(k): ord(v) for k, v in html._invalid_charrefs.items() if len(v) == 1}
+
+    def character(number: Column) -> Column:
+        mended = F.coalesce(*[F.when(number == k, v) for k, v in moved.items() if k != v], number)
+        fits = mended.between(1, 0x10FFFF) & ~mended.between(0xD800, 0xDFFF)
+        none = mended.isin(*(html._invalid_codepoints - set(html._invalid_charrefs)))
+        return F.when(fits, F.when(none, F.lit("")).otherwise(F.decode(F.unhex(F.lpad(F.hex(mended), 8, "0")), "UTF-32"))).otherwise(F.lit("\ufffd"))
+
+    def piece(p: Column) -> Column:
+        decimal, hexed = F.regexp_extract(p, r"^&#([0-9]{1,9});$", 1), F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]{1,8});$", 1)
+        told = F.when(decimal != "", character(point(decimal, 10))).when(hexed != "", character(point(hexed, 16))).otherwise(F.try_element_at(known, F.substring(p, 2, 100)))
+        return F.when(p.rlike("^&.*;$"), F.coalesce(told, p)).otherwise(p)
+
+    cut = F.split(c, r"(?=&#?[0-9A-Za-z]{1,40};)|(?<=&#?[0-9A-Za-z]{1,40};)")
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(cut, piece), "")).otherwise(c)
+
+
+def clean_text(c: Column, binary: Callable[[Column], Column]) -> Column:
+    """A text for people: mended, unescaped, without controls, one space between words; empty if it is null or a file's bytes (``binary``)."""
+    plain = F.regexp_replace(F.translate(unescaped(reencoded(c)), "\u00a0\ufeff", " "), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
+    return F.when(c.isNull() | binary(c), "").otherwise(F.btrim(F.regexp_replace(plain, r"(?U)\s+", " ")))
+
+
+def cleaned_fields(c: Column, kind: T.DataType, binary: Callable[[Column], Column], key: str | None = None) -> Column:
+    """A value of any type whose strings under ``TEXT_KEYS`` are cleaned and whose others are trimmed; strings without any key are cleaned.
+
+    Lists keep the key they stand under, fields of structs have their own, and so have the values of maps; null stays null.
+    """
+    if isinstance(kind, T.StringType):
+        return F.when(c.isNotNull(), clean_text(c, binary)) if key is None or key in TEXT_KEYS else F.btrim(c, F.lit(" \t\n\r\f\x0b"))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: cleaned_fields(x, kind.elementType, binary, key))
+    if isinstance(kind, T.MapType):
+        text, other = (lambda v, k: cleaned_fields(v, kind.valueType, binary, k)), "url"
+        return F.transform_values(c, lambda k, v: F.when(k.isin(*TEXT_KEYS), text(v, "title")).otherwise(text(v, other)))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[cleaned_fields(c.getField(f.name), f.dataType, binary, f.name).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def iso_times(c: Column, kind: T.DataType) -> Column:
+    """A value of any type with its dates and timestamps as ISO text; a fraction of a second only where there is one."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+    if isinstance(kind, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: iso_times(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: iso_times(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[iso_times(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
 def compacted(c: Column, kind: T.DataType, most: int = 12000, items: int = 100) -> Column:
     """A nested value whose strings have at most ``most`` characters, and a note where more were, and lists at most ``items`` items: the feature."""
     short = lambda x: F.when(F.length(x) <= most, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, most), r"\s+\z", ""), F.lit(SHORTENED)))

@@ -102,6 +102,22 @@ def tool_kind(text: Column) -> Column:
     return F.coalesce(*[F.when(fx.contains_any(F.lower(text), w), kind) for kind, w in TOOLS.items()], F.lit("portal"))
 
 
+#: Words of links by the domain that they belong to; the first domain with one counts.
+LINK_WORDS = {
+    "benefits": ("leistung", "benefit", "kindergeld", "buergergeld", "zuschlag", "geld"),
+    "aid": ("hilfe", "aid", "unterstützung", "support", "beratung"),
+    "tools": ("tool", "rechner", "calculator", "service", "antrag", "formular", "lotse", "jobsuche"),
+    "organizations": ("ministerium", "organisation", "about", "über-uns", "institution"),
+    "contacts": ("kontakt", "contact", "telefon", "helpline", "115", "erreichen"),
+}
+
+
+def link_domain(url: Column, fallback: Column) -> Column:
+    """The domain that a link's words say, else ``fallback`` if it is a domain, else benefits."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    return F.coalesce(*[F.when(fx.contains_any(low, words), d) for d, words in LINK_WORDS.items()], F.when(fallback.isin(*LINK_WORDS), fallback), F.lit("benefits"))
+
+
 def services(host: Column) -> Column:
     """What an organization offers, by its host."""
     listed = lambda names: F.array(*map(F.lit, names))

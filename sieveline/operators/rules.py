@@ -6,12 +6,13 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import contains_any, fold_german
 from sieveline.operators.cleaning import let
-from sieveline.operators.probes import QUESTION_WORDS
+from sieveline.operators.discovery import keyword_matches, scenario_text
+from sieveline.operators.probes import OFFICIAL, ORGANISATIONS, QUESTION_WORDS
 
 
 @dataclass(frozen=True)
@@ -203,6 +204,54 @@ def entry_score(query: str, tokens: list[str], strong: list[str], ordered: list[
     return let(score, lambda x: F.when(x < 2, x - 3).otherwise(x)) if tokens else score
 
 
+#: The scenario that completed training counts against, unless more of it is asked for.
+TRAINED, TRAINING, UPSKILLING = ("ausbildungbeendet", "ausbildungabgeschlossen", "nachausbildung"), ("weiterbildung", "umschulung", "bildungsgutschein", "qualifizierung"), "upskilling"
+
+
+def matched_scenarios(df: DataFrame, text: str, scenarios: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``df`` without the text, a row for each scenario with a keyword in it: three points for each of several words, one and a half for the others."""
+    rows = df.withColumn("_q", scenario_text(F.coalesce(F.col(text), F.lit(""))))
+    compact = F.replace(F.col("_q"), F.lit(" "))
+
+    def score(name: str, keywords: tuple[str, ...]) -> Column:
+        each = [F.when(keyword_matches(F.col("_q"), k), 3.0 if len(k.split()) >= 2 else 1.5).otherwise(0.0) for k in keywords]
+        total = sum(each, F.lit(0.0))
+        drift = F.when(contains_any(compact, TRAINED) & ~contains_any(compact, TRAINING), 8.0).otherwise(0.0) if name == UPSKILLING else F.lit(0.0)
+        return F.when(total > 0, F.struct(F.lit(name).alias("scenario"), (total - drift).alias("score")))
+
+    found = F.array_compact(F.array(*[score(n, ks) for n, ks in scenarios.items()]))
+    kept = [c for c in df.columns if c != text]
+    return rows.select(*kept, F.explode(found).alias("_s")).select(*kept, "_s.scenario", "_s.score")
+
+
+#: Points of a scenario's words in an entry, by list; of its domain, of official tiers and of organisations.
+PACK_WORDS = {"keywords": 3.0, "expansions": 2.25, "documents": 2.0, "information": 1.5, "contacts": 1.5}
+PACK_DOMAIN, PACK_OFFICIAL, PACK_ORGANISATION = 1.0, 0.75, 0.5
+
+
+@dataclass(frozen=True)
+class Pack:
+    """What a scenario's pack of resources looks for."""
+
+    keywords: tuple[str, ...] = ()
+    expansions: tuple[str, ...] = ()
+    documents: tuple[str, ...] = ()
+    information: tuple[str, ...] = ()
+    contacts: tuple[str, ...] = ()
+    domains: tuple[str, ...] = ()
+
+    def score(self, blob: Column, domain: Column, tier: Column, institution: Column) -> Column:
+        """How well an entry (its text in lower case) fits."""
+        whether = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0.0)
+        words = sum((n * hits(blob, getattr(self, name)) for name, n in PACK_WORDS.items()), F.lit(0.0))
+        return words + whether(domain.isin(*self.domains), PACK_DOMAIN) + whether(tier.isin(*OFFICIAL), PACK_OFFICIAL) + whether((F.coalesce(institution, F.lit("")) == "ngo") | F.coalesce(tier, F.lit("")).isin(*ORGANISATIONS), PACK_ORGANISATION)
+
+
+def eval_confidence(score: Column) -> Column:
+    """A score as a share of thirty, a tenth at least and 0.95 at most."""
+    return F.greatest(F.lit(0.1), F.least(F.lit(0.95), score / 30))
+
+
 def topic_boost(query: str, doctype: Column, topics: Column, below: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Product of the factors whose keywords the query has and whose type or topics the chunk has, 2 at most.
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from sieveline.functions import text as fx
 from sieveline.operators import filters as fl
+from sieveline.operators import quality
 from sieveline.operators import ranking as rk
 from sieveline.plans.filters import _GATE
 from sieveline.plans.registry import query
@@ -126,9 +127,18 @@ def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("domain", fl.candidate_gate(e).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("a20_diff_summary", "SELECT p_brand, count(*) FILTER (p_partkey % 3 = 0) AS modified, count(*) FILTER (p_partkey % 3 <> 0) AS unchanged FROM part GROUP BY p_brand")
+@query("a20_diff_summary", """WITH o AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS p_name, p_brand, p_size FROM part WHERE p_partkey % 5 <> 0),
+n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name || '!' ELSE p_name END AS p_name, p_brand, CASE WHEN p_partkey % 4 <> 0 THEN p_size END AS p_size FROM part WHERE p_partkey % 7 <> 0),
+c AS (SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'create' WHEN n.id IS NULL THEN 'delete' ELSE 'update' END AS type,
+    (o.p_name IS NULL AND n.p_name IS NOT NULL)::INT + (o.p_brand IS NULL AND n.p_brand IS NOT NULL)::INT + (o.p_size IS NULL AND n.p_size IS NOT NULL)::INT AS a, coalesce(o.p_name <> n.p_name, FALSE)::INT + coalesce(o.p_brand <> n.p_brand, FALSE)::INT + coalesce(o.p_size <> n.p_size, FALSE)::INT AS m,
+    (o.p_name IS NOT NULL AND n.p_name IS NULL)::INT + (o.p_brand IS NOT NULL AND n.p_brand IS NULL)::INT + (o.p_size IS NOT NULL AND n.p_size IS NULL)::INT AS r, coalesce(o.p_name = n.p_name, FALSE)::INT + coalesce(o.p_brand = n.p_brand, FALSE)::INT + coalesce(o.p_size = n.p_size, FALSE)::INT AS u FROM o FULL JOIN n ON o.id = n.id)
+SELECT id, type, a AS added_count, m AS modified_count, r AS removed_count, u AS unchanged_count, a + m + r AS total_changes FROM c""")
 def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(F.col("p_partkey") % 3 == 0).alias("modified"), F.count_if(F.col("p_partkey") % 3 != 0).alias("unchanged"))
+    """What changed between two versions of every part: names, a size that went, parts that are new or gone."""
+    p, k = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id"), F.col("id")
+    old = p.where(k % 5 != 0).select("id", F.when(k % 11 != 0, F.col("p_name")).alias("p_name"), "p_brand", "p_size")
+    new = p.where(k % 7 != 0).select("id", F.when(k % 3 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("p_name"), "p_brand", F.when(k % 4 != 0, F.col("p_size")).alias("p_size"))
+    return quality.diff_summary(old, new, "id")
 
 
 _COST = "CAST(round(value * CASE event_type WHEN 'purchase' THEN 3.0 WHEN 'signup' THEN 1.5 ELSE 0.5 END / 1000, 6) AS DECIMAL(18, 6))"

@@ -152,12 +152,14 @@ def d07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.canonical_queue(_raw_queue(spark, sf_dir)).select("id", op.queue_errors().alias("errors"))
 
 
-@query("d02_field_mismatches", E + """SELECT id, CASE id % 3 WHEN 0 THEN ['Title -> title', 'target_groups -> targetGroups'] WHEN 1 THEN ['SOURCE_TIER -> sourceTier'] ELSE []::VARCHAR[] END AS mismatches FROM entries""")
+@query("d02_field_mismatches", """WITH s AS (SELECT event_id, replace(props, '"k"', ['"k"', '"Title"', '"target_groups"', '"SOURCE_TIER"', '"url"'][CAST(event_id % 5 AS INT) + 1]) AS p FROM events), f AS (SELECT event_id, json_keys(p) AS ks FROM s),
+m AS (SELECT event_id, unnest(ks) AS f FROM f)
+SELECT f.event_id, coalesce((SELECT list(m.f || ' -> ' || a.n ORDER BY m.f) FROM m JOIN (VALUES ('title'), ('url'), ('targetGroups'), ('sourceTier'), ('K')) a(n) ON lower(replace(a.n, '_', '')) = lower(replace(m.f, '_', '')) AND a.n <> m.f WHERE m.event_id = f.event_id), []) AS mismatches FROM f""")
 def d02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields that are spelt otherwise than the schema spells them."""
-    k = F.col("id") % 3
-    fields = F.when(k == 0, F.array(*map(F.lit, ("Title", "url", "target_groups", "extra")))).when(k == 1, F.array(F.lit("title"), F.lit("SOURCE_TIER"))).otherwise(F.array(F.lit("title"), F.lit("nothing")))
-    return entries(spark, sf_dir).select("id", op.field_mismatches(fields, ("title", "url", "targetGroups", "sourceTier")).alias("mismatches"))
+    """Keys of every event's properties that are spelt otherwise than the schema spells them; one of five names stands in them."""
+    names = F.element_at(F.array(*map(F.lit, ('"k"', '"Title"', '"target_groups"', '"SOURCE_TIER"', '"url"'))), (F.col("event_id") % 5).cast("int") + 1)
+    keys = F.json_object_keys(F.replace(F.col("props"), F.lit('"k"'), names))
+    return table(spark, sf_dir, "events").select("event_id", op.field_mismatches(F.coalesce(keys, F.array().cast("array<string>")), ("title", "url", "targetGroups", "sourceTier", "K")).alias("mismatches"))
 
 
 @query("d03_translation_fields", E + """SELECT id, CASE WHEN title_en IS NULL THEN ['title: Missing required field'] ELSE [] END || ['provenance: Missing required field'] || CASE WHEN summary_en IS NULL THEN []::VARCHAR[] ELSE ['Unknown field ''abstract'''] END AS errors FROM entries""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.operators import filters as fl
+from sieveline.operators import answers
 from sieveline.operators import ranking as op
 from sieveline.plans.registry import query
 from sieveline.session import table
@@ -102,11 +103,14 @@ def w21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("severity", s).orderBy("severity", F.col("value").desc(), "event_id").limit(40).select("event_id", "severity")
 
 
-@query("w22_key_sentences", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), s AS (SELECT *, (length(line) - length(replace(lower(line), 'the', ''))) // 3 * 4 - CAST(0.15 AS DOUBLE) * pos AS score FROM l) SELECT doc_id, pos, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS n FROM s) WHERE n <= 2")
+@query("w22_key_sentences", """WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: length(x) > 20 AND length(x) < 200)) AS s,
+    generate_subscripts(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: length(x) > 20 AND length(x) < 200), 1) AS n FROM documents),
+p AS (SELECT *, CASE WHEN regexp_matches(s, '[0-9]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(s, '^(?i:You (?:can|must|should|need|are)|The |To |If you|When|Important)') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(lower(s), 'eligible|required|must|can apply|deadline|amount|benefit') THEN 1 ELSE 0 END AS p FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, n) AS k FROM p)
+SELECT d.doc_id, coalesce(list(s ORDER BY k) FILTER (k <= 5), []) AS points FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""")
 def w22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    score = F.regexp_count(F.lower("line"), F.lit("the")) * 4 - 0.15 * F.col("pos")
-    return op.first_of(l.withColumn("score", score), ["doc_id"], [F.col("score").desc(), "pos"], 2).select("doc_id", "pos", "score")
+    """The five sentences of each document that say most."""
+    return table(spark, sf_dir, "documents").select("doc_id", answers.key_points(F.col("text")).alias("points"))
 
 
 @query("w24_last_messages", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 8")

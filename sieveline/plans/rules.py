@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sieveline.functions import text as fx
-from sieveline.operators import crawl, topics
+from sieveline.operators import crawl, filters, plain, quality, topics
 from sieveline.operators import ranking as rk
 from sieveline.operators import rules as op
+from sieveline.plans.filters import _GATE
 from sieveline.plans.registry import query
 from sieveline.session import numbered, scratch, stash, table
 from sieveline.sources.entries import ENTRIES_SQL, entries
@@ -59,11 +60,17 @@ _SCENARIOS = {"work": ("thon", "the the"), "home": ("eau", "de la"), "law": ("un
 _SSQL = {k: " + ".join(f"{3.0 if ' ' in w else 1.5} * {_HAS('lower(text)', w)}" for w in ws) for k, ws in _SCENARIOS.items()}
 
 
-@query("r12_scenario_match", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS scenario, ({v})::DOUBLE AS score FROM conversations" for k, v in _SSQL.items()) + ") WHERE score > 0")
+@query("r12_scenario_match", """WITH q AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text || [' Nach-Ausbildung', ' Ausbildung beendet und Umschulung', ' KURZ arbeit', ''][CAST((conv_id + turn) % 4 AS INT) + 1]), '[^\\p{L}\\p{N}]', ' ', 'g'), ' +', ' ', 'g')) AS q FROM conversations),
+m AS (SELECT conv_id, turn, q, replace(q, ' ', '') AS c, string_split(q, ' ') AS w FROM q),
+s AS (SELECT conv_id, turn, 'work' AS scenario, 1.5 * contains(c, 'thon')::INT + 3 * (contains(q, 'the the') OR contains(c, 'thethe') OR list_contains(w, 'the'))::INT + 1.5 * (contains(q, 'kurzarbeit') OR contains(c, 'kurzarbeit'))::INT AS score FROM m
+UNION ALL SELECT conv_id, turn, 'home', 1.5 * contains(c, 'eau')::INT + 3 * (contains(q, 'de la') OR contains(c, 'dela'))::INT FROM m
+UNION ALL SELECT conv_id, turn, 'upskilling', 1.5 * (contains(q, 'ausbildung') OR contains(c, 'ausbildung'))::INT - CASE WHEN contains(c, 'nachausbildung') AND NOT contains(c, 'umschulung') THEN 8 ELSE 0 END FROM m WHERE contains(c, 'ausbildung'))
+SELECT conv_id, turn, scenario, score::DOUBLE AS score FROM s WHERE score <> 0""")
 def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    scores = F.array(*[F.struct(F.lit(k).alias("scenario"), sum((F.when(low.contains(w), 3.0 if " " in w else 1.5).otherwise(0.0) for w in ws), F.lit(0.0)).alias("score")) for k, ws in _SCENARIOS.items()])
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(scores).alias("s")).select("conv_id", "turn", "s.scenario", "s.score").where("score > 0")
+    """Scenarios with a keyword in a message, some in two words or put apart; completed training counts against more of it."""
+    more = F.element_at(F.array(*map(F.lit, (" Nach-Ausbildung", " Ausbildung beendet und Umschulung", " KURZ arbeit", ""))), ((F.col("conv_id") + F.col("turn")) % 4).cast("int") + 1)
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", more).alias("text"))
+    return op.matched_scenarios(said, "text", {"work": ("thon", "the the", "Kurz-Arbeit".replace("-", "").lower()), "home": ("eau", "de la"), "upskilling": ("ausbildung",)})
 
 
 @query("r14_stage_gap", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, scenario) AS n, lead(score) OVER (PARTITION BY conv_id, turn ORDER BY score DESC, scenario) AS next FROM (SELECT * FROM (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS scenario, ({v})::DOUBLE AS score FROM conversations" for k, v in _SSQL.items()) + ") WHERE score > 0)) SELECT conv_id, turn, scenario, coalesce(score - next < 2, FALSE) AS needs_review FROM r WHERE n = 1")
@@ -172,11 +179,16 @@ def r23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", score.cast("long").alias("score"))
 
 
-@query("r24_pack_score", E + f"SELECT id, (3 * ({_HITS('lower(content_de)', ['thon', 'eau'])}) + 2.25 * ({_HITS('lower(content_de)', ['ness'])}) + 1.5 * ({_HITS('lower(content_de)', ['ing'])}) + CASE WHEN domain = 'aid' THEN 1 ELSE 0 END + CASE WHEN tier = 'tier_1_official' THEN 0.75 ELSE 0 END + CASE WHEN tier = 'tier_2_ngo_watchdog' THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM entries")
+_PACK = op.Pack(("thon", "eau"), ("ness", "ough"), ("ung",), ("ing", "ez"), ("kontakt", "ó"), ("aid", "tools"))
+
+
+@query("r24_pack_score", E + f""", b AS (SELECT id, domain, tier, lower(coalesce(title_de, '') || ' ' || coalesce(summary_de, '') || ' ' || coalesce(content_de, '')) AS t FROM entries)
+SELECT id, (3 * ({_HITS('t', ['thon', 'eau'])}) + 2.25 * ({_HITS('t', ['ness', 'ough'])}) + 2 * ({_HITS('t', ['ung'])}) + 1.5 * ({_HITS('t', ['ing', 'ez'])}) + 1.5 * ({_HITS('t', ['kontakt', 'ó'])}) + CASE WHEN domain IN ('aid', 'tools') THEN 1 ELSE 0 END + CASE WHEN tier = 'tier_1_official' THEN 0.75 ELSE 0 END
+    + CASE WHEN id % 9 = 0 OR tier = 'tier_2_ngo_watchdog' THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM b""")
 def r24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.lower("content_de")
-    score = 3 * op.hits(c, ("thon", "eau")) + 2.25 * op.hits(c, ("ness",)) + 1.5 * op.hits(c, ("ing",)) + F.when(F.col("domain") == "aid", 1.0).otherwise(0.0) + F.when(F.col("tier") == "tier_1_official", 0.75).otherwise(0.0) + F.when(F.col("tier") == "tier_2_ngo_watchdog", 0.5).otherwise(0.0)
-    return entries(spark, sf_dir).select("id", score.alias("score"))
+    """How well each entry fits a scenario's pack; one of nine institutions is an organisation."""
+    blob = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title_de", "summary_de", "content_de")]))
+    return entries(spark, sf_dir).select("id", _PACK.score(blob, F.col("domain"), F.col("tier"), F.when(F.col("id") % 9 == 0, "ngo")).alias("score"))
 
 
 @query("r33_answer_confidence", "SELECT conv_id, turn, CASE WHEN contains(l, 'not sure') OR contains(l, 'unclear') OR contains(l, 'don''t know') OR contains(l, 'can''t answer') OR contains(l, 'don''t have enough information') OR h >= 3 OR c = 0 OR n < 100 THEN 'low' WHEN c >= 3 AND h = 0 AND n > 200 THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT conv_id, turn, lower(text) AS l, len(regexp_extract_all(text, '\\[\\d+\\]')) AS c, length(text) AS n, contains(lower(text), 'might')::INT + contains(lower(text), 'may')::INT + contains(lower(text), 'possibly')::INT + contains(lower(text), 'perhaps')::INT + contains(lower(text), 'probably')::INT AS h FROM conversations)")
@@ -200,9 +212,12 @@ def r35(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", read(einfach).alias("einfach"), read(leicht).alias("leicht"))
 
 
-@query("r38_eval_confidence", "SELECT event_id, greatest(0.1, least(0.95, value / 30))::DOUBLE AS confidence FROM events")
+@query("r38_eval_confidence", E + f", s AS (SELECT id, domain, {_T} AS t, lower(content_de) AS x FROM entries), v AS (SELECT id, 3.0 * ({_HITS('t', ['thon', 'eau'])}) + 1.25 * ({_HITS('x', ['thon', 'eau'])}) + CASE domain WHEN 'contacts' THEN 5 ELSE 0 END AS v FROM s) SELECT id, round(greatest(0.1, least(0.95, CASE WHEN v < 2 THEN v - 3 ELSE v END / 30)), 6)::DOUBLE AS confidence FROM v")
 def r38(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.greatest(F.lit(0.1), F.least(F.lit(0.95), F.col("value") / 30)).alias("confidence"))
+    """How sure an evaluation is of each entry for a question: its score as a share of thirty, within bounds."""
+    cols = {"title": F.col("title_de"), "text": F.col("content_de"), "url": F.lit(""), "domain": F.col("domain")}
+    score = op.entry_score("Telefon: Widerspruch gegen Asyl", ["thon", "eau"], [], [], [], cols)
+    return entries(spark, sf_dir).select("id", F.round(op.eval_confidence(score), 6).alias("confidence"))
 
 
 @query("r39_source_role", E + "SELECT id, CASE WHEN domain = 'tools' AND tier = 'tier_1_official' THEN 'trusted_tool' WHEN tier = 'tier_1_official' THEN 'official_info' WHEN list_contains(coalesce(tags, []), 'src3') THEN 'trusted_tool' ELSE 'context_info' END AS role FROM entries")
@@ -241,11 +256,21 @@ def t20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", cut.alias("lead"))
 
 
-@query("t21_easy_german", "SELECT doc_id, md5(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '(^|[^a-zäöüß])(obwohl|während|weil|damit|sodass|indem)([^a-zäöüß])', '\\1.\\3', 'g'), 'beantragen', 'anfragen', 'g')) AS easy_md5 FROM documents")
+_DRAFTS = ("Weil Sie Geld brauchen, können Sie es beantragen, einreichen, oder nicht", "Da ist die Voraussetzung. Sie sind zuständig", "", "Nichts!")
+
+
+@query("t21_easy_german", """WITH t AS (SELECT doc_id, trim(regexp_replace(['Weil Sie Geld brauchen, können Sie es beantragen, einreichen, oder nicht', 'Da ist die Voraussetzung. Sie sind zuständig', '', 'Nichts!'][CAST(doc_id % 4 AS INT) + 1] || ' ' || text, '\\s+', ' ', 'g')) AS t FROM documents),
+s AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) AS n FROM t),
+c AS (SELECT doc_id, n, regexp_replace(regexp_replace(s, '(^|[^\\p{L}\\p{N}_])(?i:obwohl|während|da|weil|damit|sodass|indem)([^\\p{L}\\p{N}_]|$)', '\\1.\\2', 'g'), '(^|[^\\p{L}\\p{N}_])(?i:obwohl|während|da|weil|damit|sodass|indem)([^\\p{L}\\p{N}_]|$)', '\\1.\\2', 'g') AS s FROM s WHERE trim(s) <> ''),
+p AS (SELECT doc_id, n, s, list_filter(list_transform(string_split(s, ','), lambda x: trim(x)), lambda x: x <> '') AS ps FROM c),
+j AS (SELECT doc_id, n, CASE WHEN len(ps) > 2 THEN array_to_string(ps, '. ') ELSE s END AS s FROM p),
+w AS (SELECT doc_id, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(^|[^\\p{L}\\p{N}_])Voraussetzung([^\\p{L}\\p{N}_]|$)', '\\1Bedingung\\2', 'g'), '(^|[^\\p{L}\\p{N}_])beantragen([^\\p{L}\\p{N}_]|$)', '\\1anfragen\\2', 'g'), '(^|[^\\p{L}\\p{N}_])zuständig([^\\p{L}\\p{N}_]|$)', '\\1verantwortlich\\2', 'g'), '(^|[^\\p{L}\\p{N}_])einreichen([^\\p{L}\\p{N}_]|$)', '\\1abgeben\\2', 'g') AS s FROM j),
+a AS (SELECT doc_id, string_agg(CASE WHEN regexp_matches(s, '[.!?]$') THEN s ELSE s || '.' END, ' ' ORDER BY n) AS t FROM w GROUP BY doc_id)
+SELECT d.doc_id, md5(coalesce(CASE WHEN length(t) > 2000 THEN regexp_replace(left(t, 2000), ' [^ ]*$', '') || '...' ELSE t END, '')) AS easy_md5 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id""")
 def t21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.trim(F.regexp_replace("text", r"[\t\n\f\r ]+", " "))
-    t = F.regexp_replace(t, "(^|[^a-zäöüß])(obwohl|während|weil|damit|sodass|indem)([^a-zäöüß])", "$1.$3")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.replace(t, F.lit("beantragen"), F.lit("anfragen"))).alias("easy_md5"))
+    """A draft of every document in short sentences and simpler words; one of four beginnings has what the rules change."""
+    begin = F.element_at(F.array(*map(F.lit, _DRAFTS)), (F.col("doc_id") % 4).cast("int") + 1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(plain.easy_german(F.concat(begin, F.lit(" "), "text"))).alias("easy_md5"))
 
 
 @query("t36_variant_selection", E + "SELECT id, coalesce(CASE WHEN title_easy_de <> '' THEN title_easy_de END, CASE WHEN title_en <> '' THEN title_en END, title_de, '') AS picked, CASE WHEN title_easy_de <> '' THEN 'reviewed' WHEN title_en <> '' THEN 'suggested' ELSE 'fallback' END AS origin FROM entries")
@@ -263,10 +288,19 @@ def st6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ok", last).groupBy("user_id").agg(streak.alias("failures"), (streak >= 3).alias("skip"))
 
 
-@query("d09_plain_language_review", E + "SELECT id, CASE WHEN title_easy_de IS NULL THEN 'none' WHEN id % 2 = 0 THEN 'rejected' ELSE 'approved' END AS review_status, title_easy_de IS NOT NULL AND id % 2 = 1 AS reviewed FROM entries")
+@query("d09_plain_language_review", E + """, r AS (SELECT id, title_easy_de, id % 4 = 0 AS has_old, CASE id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'approve' END AS action, CASE WHEN id % 13 = 0 THEN 'schwer' ELSE 'leicht' END AS mode, CASE WHEN id % 2 = 0 THEN 'eva' ELSE '' END AS who FROM entries),
+e AS (SELECT *, CASE WHEN mode = 'schwer' THEN 'unsupported mode: schwer' WHEN title_easy_de IS NULL AND NOT has_old THEN 'no leicht translation' END AS error FROM r)
+SELECT id, error, CASE WHEN title_easy_de IS NULL THEN NULL WHEN error IS NOT NULL THEN 'open' WHEN action = 'approve' THEN 'approved' ELSE 'rejected' END AS suggested_status, CASE WHEN error IS NULL AND action = 'approve' THEN coalesce(title_easy_de, 'alt') WHEN has_old THEN 'alt' END AS reviewed_text,
+CASE WHEN error IS NULL AND action = 'approve' THEN CASE WHEN who <> '' THEN who WHEN title_easy_de IS NULL THEN 'max' END WHEN has_old THEN 'max' END AS reviewed_by, CASE WHEN error IS NULL AND action = 'approve' THEN '2024-06-01' WHEN has_old THEN '2024-01-01' END AS reviewed_at FROM e""")
 def d09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.col("title_easy_de").isNotNull()
-    return entries(spark, sf_dir).select("id", F.when(~asked, "none").when(F.col("id") % 2 == 0, "rejected").otherwise("approved").alias("review_status"), (asked & (F.col("id") % 2 == 1)).alias("reviewed"))
+    """Reviews of every entry's title in plain language: two of three approve, some of a mode that there isn't; every fourth entry has a reviewed one already."""
+    k, none = F.col("id"), F.lit(None).cast("string")
+    record = lambda text, reviewed, status, by, at: F.struct(text.alias("text"), F.lit(reviewed).alias("reviewed"), F.lit("leicht").alias("variant"), F.lit(status).alias("review_status"), by.alias("reviewed_by"), at.alias("reviewed_at"), at.alias("timestamp"))
+    suggested = F.when(F.col("title_easy_de").isNotNull(), record(F.col("title_easy_de"), False, "open", none, none))
+    reviewed = F.when(k % 4 == 0, record(F.lit("alt"), True, "approved", F.lit("max"), F.lit("2024-01-01")))
+    out = quality.reviewed_translation(suggested, reviewed, F.when(k % 13 == 0, "schwer").otherwise("leicht"), F.when(k % 3 == 1, "reject").otherwise("approve"), F.when(k % 2 == 0, "eva").otherwise(""), F.lit("2024-06-01"))
+    r = entries(spark, sf_dir).select("id", out.alias("r"))
+    return r.select("id", "r.error", F.col("r.suggested.review_status").alias("suggested_status"), F.col("r.reviewed.text").alias("reviewed_text"), "r.reviewed.reviewed_by", "r.reviewed.reviewed_at")
 
 
 @query("d11_metadata_suggestion", E + f"SELECT id, array_to_string(list_filter(['article', 'water'], lambda x: CASE x WHEN 'article' THEN contains(lower(content_de), 'the') ELSE contains(lower(content_de), 'eau') END), ',') AS suggested, least(0.95, 0.35 + 0.08 * ({_HITS('lower(content_de)', ['the', 'eau', 'ung'])}))::DOUBLE AS confidence FROM entries")
@@ -276,10 +310,21 @@ def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).select("id", made.alias("suggested"), F.least(F.lit(0.95), 0.35 + 0.08 * op.hits(c, ("the", "eau", "ung"))).alias("confidence"))
 
 
-@query("d14_promotion", E + ", a AS (SELECT url, max(ais) AS ais FROM entries WHERE status = 'active' AND coalesce(iqs, 0) >= 40 AND coalesce(ais, 0) >= 40 GROUP BY url) SELECT count(*) AS promoted, round(avg(ais), 4) AS avg_ais FROM a")
+@query("d14_promotion", E + f""", c AS (SELECT *, {_GATE} AS reason FROM entries WHERE id % 2 = 0), r AS (SELECT domain, string_agg(reason || ':' || n, ',' ORDER BY reason || ':' || n) AS rejected FROM (SELECT domain, reason, count(*) AS n FROM c WHERE reason <> 'accepted' GROUP BY ALL) GROUP BY domain),
+x AS (SELECT id, domain, CASE WHEN id % 10 = 0 THEN url || '/alt' ELSE url END AS url, title_de, content_de, CASE WHEN id % 3 = 0 THEN iqs ELSE 99 END AS iqs, ais FROM entries WHERE id % 3 <> 2),
+k AS (SELECT domain, lower(url) AS at, iqs, ais FROM x WHERE url IS NOT NULL AND NOT coalesce(length(title_de) > 500, FALSE) AND NOT coalesce(length(trim(content_de)) > 500000, FALSE)),
+n AS (SELECT domain, lower(url) AS at, iqs, ais FROM c WHERE reason = 'accepted' AND url IS NOT NULL),
+b AS (SELECT coalesce(k.domain, n.domain) AS domain, n.at IS NOT NULL AND (k.at IS NULL OR coalesce(n.ais, 0) > coalesce(k.ais, 0) OR coalesce(n.iqs, 0) > coalesce(k.iqs, 0)) AS promoted FROM k FULL JOIN n ON k.domain = n.domain AND k.at = n.at),
+s AS (SELECT domain, count(*) AS existing, count(*) FILTER (url IS NOT NULL AND (coalesce(length(title_de) > 500, FALSE) OR coalesce(length(trim(content_de)) > 500000, FALSE))) AS dropped FROM x GROUP BY domain)
+SELECT s.domain, s.existing, (SELECT count(*) FROM c WHERE c.domain = s.domain) AS candidates, (SELECT count(*) FROM b WHERE b.domain = s.domain AND promoted) AS promoted, (SELECT count(*) FROM b WHERE b.domain = s.domain) AS total_after_merge, s.dropped AS dropped_existing, coalesce(r.rejected, '') AS rejected
+FROM s LEFT JOIN r ON r.domain = s.domain""")
 def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = entries(spark, sf_dir).where("status = 'active' and coalesce(iqs, 0) >= 40 and coalesce(ais, 0) >= 40").groupBy("url").agg(F.max("ais").alias("ais"))
-    return a.agg(F.count("*").alias("promoted"), F.round(F.avg("ais"), 4).alias("avg_ais"))
+    """Half of the entries as candidates for two thirds of them: some under another URL, some with better scores."""
+    e, k = entries(spark, sf_dir), F.col("id")
+    shape = lambda df: df.withColumns({"title": F.col("title_de"), "content": F.col("content_de")})
+    old = e.where(k % 3 != 2).withColumns({"url": F.when(k % 10 == 0, F.concat("url", F.lit("/alt"))).otherwise(F.col("url")), "iqs": F.when(k % 3 == 0, F.col("iqs")).otherwise(99.0)})
+    new = e.where(k % 2 == 0)
+    return quality.promotion(shape(old), shape(new), filters.candidate_gate(new))
 
 
 @query("w19_supplement", E + ", m AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY id) AS n FROM entries WHERE tier = 'tier_2_ngo_watchdog'), x AS (SELECT domain, id, 'own' AS origin FROM m WHERE n <= 2), s AS (SELECT domain, id, 'supplement' AS origin, row_number() OVER (PARTITION BY domain ORDER BY id) AS n FROM entries e WHERE tier = 'tier_1_official' AND id NOT IN (SELECT id FROM x)) SELECT domain, id, origin FROM x UNION ALL SELECT s.domain, s.id, s.origin FROM s WHERE s.n <= 3 - coalesce((SELECT count(*) FROM x WHERE x.domain = s.domain), 0)")
