@@ -60,7 +60,7 @@ _SCENARIOS = {"work": ("thon", "the the"), "home": ("eau", "de la"), "law": ("un
 _SSQL = {k: " + ".join(f"{3.0 if ' ' in w else 1.5} * {_HAS('lower(text)', w)}" for w in ws) for k, ws in _SCENARIOS.items()}
 
 
-@query("r12_scenario_match", """WITH q AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text || [' Nach-Ausbildung', ' Ausbildung beendet und Umschulung', ' KURZ arbeit', ''][CAST((conv_id + turn) % 4 AS INT) + 1]), '[^\\p{L}\\p{N}]', ' ', 'g'), ' +', ' ', 'g')) AS q FROM conversations),
+@query("r12_scenario_match", """WITH q AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(lower(text || [' Nach-Ausbildung', ' Ausbildung beendet und Umschulung', ' KURZ arbeit', ''][CAST((conv_id + turn) % 4 AS INT) + 1]), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^\\p{L}\\p{N}]', ' ', 'g'), ' +', ' ', 'g')) AS q FROM conversations),
 m AS (SELECT conv_id, turn, q, replace(q, ' ', '') AS c, string_split(q, ' ') AS w FROM q),
 s AS (SELECT conv_id, turn, 'work' AS scenario, 1.5 * contains(c, 'thon')::INT + 3 * (contains(q, 'the the') OR contains(c, 'thethe') OR list_contains(w, 'the'))::INT + 1.5 * (contains(q, 'kurzarbeit') OR contains(c, 'kurzarbeit'))::INT AS score FROM m
 UNION ALL SELECT conv_id, turn, 'home', 1.5 * contains(c, 'eau')::INT + 3 * (contains(q, 'de la') OR contains(c, 'dela'))::INT FROM m
@@ -76,7 +76,10 @@ def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r14_stage_gap", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, scenario) AS n, lead(score) OVER (PARTITION BY conv_id, turn ORDER BY score DESC, scenario) AS next FROM (SELECT * FROM (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS scenario, ({v})::DOUBLE AS score FROM conversations" for k, v in _SSQL.items()) + ") WHERE score > 0)) SELECT conv_id, turn, scenario, coalesce(score - next < 2, FALSE) AS needs_review FROM r WHERE n = 1")
 def r14(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id", "turn").orderBy(F.col("score").desc(), "scenario")
-    r = r12(spark, sf_dir).withColumns({"n": F.row_number().over(w), "next": F.lead("score").over(w)})
+    low = F.lower("text")
+    points = [F.struct(F.lit(k).alias("scenario"), sum((F.when(low.contains(x), 3.0 if " " in x else 1.5).otherwise(0.0) for x in words), F.lit(0.0)).alias("score")) for k, words in _SCENARIOS.items()]
+    scored = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array(*points)).alias("s")).select("conv_id", "turn", "s.*").where("score > 0")
+    r = scored.withColumns({"n": F.row_number().over(w), "next": F.lead("score").over(w)})
     return r.where("n = 1").select("conv_id", "turn", "scenario", F.coalesce(F.col("score") - F.col("next") < 2, F.lit(False)).alias("needs_review"))
 
 
