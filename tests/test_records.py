@@ -20,7 +20,7 @@ def test_unescaped(spark):
 
 def test_clean_text(spark):
     values = [" a \n\t b ", "fÃ¼r&nbsp;uns", "x﻿y", "a\x07b\x7fc", "%PDF-1 text", None, "&lt;p&gt;"]
-    assert one(spark, values, cleaning.clean_text(F.col("v"), filters.binary_text)) == ["a b", "für uns", "x y", "a b c", "", "", "<p>"]
+    assert one(spark, values, cleaning.clean_text(F.col("v"), filters.binary_text)) == ["a b", "für uns", "xy", "a b c", "", "", "<p>"]
 
 
 def test_cleaned_fields(spark):
