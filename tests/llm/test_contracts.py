@@ -345,3 +345,45 @@ def test_blocks_of_any_size_find_the_same_links(spark, monkeypatch):
     small = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 3, 0.85).collect()}
     monkeypatch.undo()
     assert small == {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 3, 0.85).collect()}
+
+
+@tables
+def test_fingerprints_by_span(spark, docs):
+    """The query's likeness between neighbours is that of the operator's own fingerprints, and equal texts have equal ones."""
+    got = asked(spark, "op9_fingerprints")
+    by_text = collections.defaultdict(set)
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        by_text[t or ""].add(got[i].fingerprint)
+        edited = got[i].edited_fingerprint
+        if edited == got[i].fingerprint:
+            assert got[i].near_edited == 1.0
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert all(len(f) == 1 for f in by_text.values())
+
+
+@tables
+def test_mix_by_document(spark, docs):
+    """What the mix takes of every document: none more than twice, each source near its target, and the same again in another run."""
+    first, second = asked(spark, "op6_mixing"), asked(spark, "op6_mixing")
+    taken = collections.Counter()
+    sources = dict(zip(docs.doc_id, docs.source, strict=True))
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        size = len(WORD.findall(t or ""))
+        assert first[i].size == size and 0 <= first[i].taken <= 2 * size
+        assert (first[i].taken, first[i].target, first[i].source_size) == (second[i].taken, second[i].target, second[i].source_size)
+        taken[sources[i]] += first[i].taken
+    targets = {sources[i]: r.target for i, r in first.items()}
+    for s, target in targets.items():
+        assert abs(taken[s] - target) <= max(128, 0.02 * target)
+
+
+@tables
+def test_media_features_of_the_query(spark, docs):
+    """Equal texts have equal media and features, and unlike payloads unlike ones."""
+    got = asked(spark, "op4_media")
+    told = {}
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        r = got[i]
+        one = (r.media_bytes, r.media_sha256, r.feature)
+        assert told.setdefault(t or "", one) == one and r.media_bytes > r.payload_bytes
+    assert len({x[1] for x in told.values()}) == len(told)

@@ -26,3 +26,16 @@ def test_stages(spark):
         if name == "pii":
             assert docs.count() == before.count()
     assert docs.where("n_tokens <> size(token_ids)").count() == 0 and docs.count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_run_leaves_its_last_rows_only(spark):
+    cp = pytest.importorskip("corpus_pipeline")
+    pytest.importorskip("public_tokenizers")
+    from sieveline.session import shared_dir
+
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    out = cp.run(spark, SF)
+    assert out.columns == ["doc_id", "source", "lang", "n_tokens", "token_ids"] and out.count() > 0
+    assert len(set(os.listdir(folder)) - before) == 1
