@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.plans import aggregates, answers, crawl, discovery, evidence, filters, joins, pages, plain, probes, quality, ranking, records, retrieval, rules, seeds, shaping, stores, streams, texts  # noqa: F401
+from sieveline.plans import aggregates, answers, crawl, discovery, evidence, filters, joins, packs, pages, plain, probes, quality, ranking, records, retrieval, rules, seeds, shaping, stores, streams, texts  # noqa: F401
 from sieveline.plans.registry import QUERIES, SQL, Query
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.operators.cleaning import let
@@ -146,3 +146,18 @@ def easy_german(text: Column) -> Column:
 
     whole = F.array_join(F.transform(sentences, simple), " ")
     return let(whole, lambda w: F.when(F.length(w) > DRAFT_MOST, F.concat(F.regexp_replace(F.substring(w, 1, DRAFT_MOST), r" [^ ]*$", ""), F.lit("..."))).otherwise(w))
+
+
+def translation_pilot(entries: DataFrame, now: Column, most: int = 100) -> DataFrame:
+    """The first ``most`` entries by domain and id (the feature) with a draft of their text as a translation, and the item that puts it to review.
+
+    entries: id, domain, title, url, content, summary.  outcome is ``translated``, or ``error`` for an entry without any text.
+    """
+    text = F.coalesce(F.nullif(spaced(F.col("content")), F.lit("")), F.nullif(spaced(F.col("summary")), F.lit("")))
+    some = F.col("_text").isNotNull()
+    record = F.struct(
+        F.coalesce("title", F.lit("")).alias("title"), F.coalesce("summary", F.lit("")).alias("summary"), easy_german(F.col("_text")).alias("body"), F.coalesce("url", F.lit("")).alias("source"), now.alias("crawled_at"),
+        F.lit("rule").alias("method"), F.lit(GENERATOR).alias("generator"), now.alias("timestamp"), F.lit(False).alias("reviewed"), F.lit("leicht").alias("variant"), F.lit("suggested").alias("review_status"),
+    )
+    chosen = entries.orderBy("domain", "id").limit(most).withColumn("_text", text)
+    return chosen.select("id", "domain", F.when(some, "translated").otherwise("error").alias("outcome"), F.when(some, record).alias("translation"), F.when(some, "update").alias("action"), F.when(some, "pending").alias("status"), F.when(some, F.array(F.lit("Added translation: de-LEICHT"))).alias("important_changes"))
