@@ -67,7 +67,7 @@ class _Open:
 class _Outline(HTMLParser):
     """Texts are slices of one list of pieces, so a piece of text is kept once however deep it stands."""
 
-    REGIONS = (("main", 1), ("article", 2))
+    HELD = _HELD
 
     def __init__(self, base: str) -> None:
         super().__init__()
@@ -97,23 +97,33 @@ class _Outline(HTMLParser):
             return
         # A block of the content's frame counts as such for itself; a heading asks only what is above it.
         marks, named = given.get("class", "").lower(), given.get("id", "").lower()
-        if tag in _HELD:
+        if tag in self.HELD and not element.quiet:
             element.held = len(self.blocks)
             own = tag in CHROME or any(m in f"{marks} {named}" for m in CHROME_MARKS)
             self.blocks.append([element.node, element.node, element.parent, tag, "", element.inside, element.chrome or own, element.navigation])
         element.chrome = element.chrome or tag in CHROME or any(m in f"{marks} {named}" for m in CHROME_MARKS)
         element.navigation = element.navigation or tag in NAVIGATION or any(m in x for x in (marks, named) for m in NAVIGATION_MARKS)
         element.head = element.head or tag == "head"
-        element.quiet = element.quiet or tag in ("script", "style", "template")
-        for region, bit in (*self.REGIONS, *((((tag, 4),) if given.get("role") == "main" else ()))):
-            if tag == region and not self.has & bit:
-                self.has |= bit
-                element.inside |= bit
+        element.quiet = element.quiet or self.silent(tag, given)
+        if (bit := 0 if element.quiet else self.region(tag, given)) and not self.has & bit:
+            self.has |= bit
+            element.inside |= bit
         element.lead = [k for k, x in enumerate((marks, named)) if not self.seen_lead[k] and any(m in x for m in LEAD_MARKS)]
         for k in element.lead:
             self.seen_lead[k] = True
         self.stack.append(element)
 
+    def silent(self, tag: str, given: dict[str, str]) -> bool:
+        """Whether an element's text is none of the page's."""
+        return tag in ("script", "style", "template")
+
+    def region(self, tag: str, given: dict[str, str]) -> int:
+        """The bit of the container of content that an element is; the lowest that a page has counts."""
+        return {"main": 1, "article": 2}.get(tag, 4 if given.get("role") == "main" else 0)
+
+    def text(self, pieces: list[str]) -> str:
+        return " ".join(" ".join(pieces).split())
+
     def handle_endtag(self, tag: str) -> None:
         if any(e.tag == tag for e in self.stack):
             self._end((tag,), frozenset())
@@ -130,7 +140,7 @@ class _Outline(HTMLParser):
 
     def _done(self, element: _Open) -> None:
         if element.held is not None or element.lead or element.tag == "title":
-            text = " ".join(" ".join(self.pieces[element.begin :]).split())
+            text = self.text(self.pieces[element.begin :])
             if element.held is not None:
                 self.blocks[element.held][4], self.blocks[element.held][1] = text, self.nodes - 1
             for k in element.lead:
@@ -148,13 +158,59 @@ class _Outline(HTMLParser):
             self._done(self.stack.pop())
 
 
+#: What isn't read of a page: elements, classes, an id; its containers by id; and the marks of its lines.
+UNREAD, UNREAD_CLASSES, UNREAD_ID = frozenset(("nav", "footer", "header", "script", "style", "aside")), frozenset(("cookie-banner", "cookie-notice", "skip-nav")), "sidebar"
+CONTAINERS = {"content": 4, "main-content": 8}
+LINE_MARKS = {"h1": "\n# {}\n", "h2": "\n## {}\n", "h3": "\n### {}\n", "h4": "\n### {}\n", "h5": "\n### {}\n", "li": "- {}", "dd": "- {}", "blockquote": "> {}", "p": "{}", "dt": "{}"}
+
+
+class _Reader(_Outline):
+    """What a page says to readers: headings, paragraphs and items of its content, without what stands around it."""
+
+    HELD = frozenset(LINE_MARKS)
+
+    def silent(self, tag: str, given: dict[str, str]) -> bool:
+        return tag in UNREAD or tag == "template" or given.get("aria-hidden") == "true" or given.get("id") == UNREAD_ID or not UNREAD_CLASSES.isdisjoint(given.get("class", "").split())
+
+    def region(self, tag: str, given: dict[str, str]) -> int:
+        return {"main": 1, "article": 2}.get(tag) or CONTAINERS.get(given.get("id", ""), 0)
+
+    def text(self, pieces: list[str]) -> str:
+        return " ".join(pieces)
+
+
+def _whole(source: str) -> str:
+    """A page without a tag that its end cuts off."""
+    tag = source.rfind("<")
+    cut = tag > source.rfind(">") and (source[tag + 1 : tag + 2].isalpha() or source.startswith("</", tag))
+    return source[:tag] if cut else source
+
+
+def _readable(source: str) -> str:
+    page = _Reader("")
+    page.feed(_whole(source))
+    page.close()
+    bit = page.has & -page.has
+    lines = [LINE_MARKS[tag].format(text) for _, _, _, tag, text, inside, _, _ in page.blocks if text and inside & bit == bit]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+
+
+def readable_text(html: Column) -> Column:
+    """The readable text of a page: its content's headings marked by level, its items by dashes; null for null, empty if there is none."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: None if p is None else _readable(p))
+
+    return read(html)
+
+
 def _read(source: str | None, base: str | None) -> dict | None:
     if source is None:
         return None
     page = _Outline(base or "")
-    tag = source.rfind("<")  # a tag that the page's end cuts off is none of its text
-    cut = tag > source.rfind(">") and (source[tag + 1 : tag + 2].isalpha() or source.startswith("</", tag))
-    page.feed(source[:tag] if cut else source)
+    page.feed(_whole(source))
     page.close()
     try:
         canonical = urljoin(page.base, page.canonical) if page.canonical else ""

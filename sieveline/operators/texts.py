@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import html as entities
 import re
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import canonical_url, collapse, dehyphenate, repair
@@ -115,58 +114,23 @@ def chunks(df: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> Dat
     return out.select(F.format_string("%s-c%04d", F.col(key).cast("string"), "chunk_index").alias("chunk_id"), key, "chunk_index", "total_chunks", F.col("_part.heading").alias("section"), F.col("_part.body").alias("text"), F.col("_part.start").alias("char_start"), F.col("_part.end").alias("char_end"), *carry)
 
 
-class _Page(HTMLParser):
-    """Text with # before headings and - before list items; scripts, styles and navigation are left out."""
-
-    SKIP = frozenset(("script", "style", "nav", "header", "footer", "noscript"))
-    BREAK = frozenset(("p", "div", "br", "li", "ul", "ol", "table", "tr", "section", "article", "h1", "h2", "h3", "h4"))
+class _Links(HTMLParser):
+    """The targets of a page's links."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.out: list[str] = []
-        self.links: list[str] = []
-        self.skip = 0
+        self.targets: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in self.SKIP:
-            self.skip += 1
-        if tag in self.BREAK:
-            self.out.append("\n" + ("#" * int(tag[1]) + " " if tag in ("h1", "h2", "h3", "h4") else "- " if tag == "li" else ""))
         if tag == "a" and (target := dict(attrs).get("href")):
-            self.links.append(target)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.SKIP:
-            self.skip = max(0, self.skip - 1)
-        if tag in self.BREAK:
-            self.out.append("\n")
-
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.out.append(data)
+            self.targets.append(target)
 
 
-def _page(source: str) -> _Page:
-    page = _Page()
+def _links(source: str) -> list[str]:
+    page = _Links()
     page.feed(source)
     page.close()
-    return page
-
-
-def _html_text(source: str) -> str:
-    text = entities.unescape("".join(_page(source).out))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(re.sub(r"[ \t]+", " ", x).strip() for x in text.split("\n"))).strip()
-
-
-def html_text(html: Column) -> Column:
-    """The readable text of a page."""
-    ship(SparkSession.active())
-
-    @F.pandas_udf("string")
-    def read(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else _html_text(x))
-
-    return read(html)
+    return page.targets
 
 
 def links(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
@@ -175,7 +139,7 @@ def links(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def targets(pages: pd.Series, bases: pd.Series) -> pd.Series:
-        return pd.Series([[urljoin(b, t) for t in _page(p).links] if p and b else [] for p, b in zip(pages, bases, strict=True)])
+        return pd.Series([[urljoin(b, t) for t in _links(p)] if p and b else [] for p, b in zip(pages, bases, strict=True)])
 
     out = df.select(key, F.explode(targets(F.col(html), F.col(url))).alias("_to")).where(F.col("_to").rlike("^https?://"))
     return out.select(key, canonical_url(F.col("_to")).alias("target")).where("target is not null").distinct()

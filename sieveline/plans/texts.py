@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as fx
-from sieveline.operators import crawl
+from sieveline.operators import crawl, pages
 from sieveline.operators import texts as op
 from sieveline.plans.registry import query
 from sieveline.session import table
@@ -113,12 +113,17 @@ def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.chunks(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
 
 
-@query("s14_html_text")
+@query("s14_html_text", """WITH a AS (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS art FROM pages),
+l AS (SELECT page_id, unnest(string_split(regexp_replace(art, '<h1>|<p>', chr(1), 'g'), chr(1))[2:]) AS part, unnest(range(1, len(string_split(regexp_replace(art, '<h1>|<p>', chr(1), 'g'), chr(1))))) AS i FROM a),
+t AS (SELECT page_id, i, list_filter(list_transform(string_split(regexp_replace(part, '<[^>]*>', chr(1), 'g'), chr(1)), lambda x: trim(replace(replace(x, '&quot;', '"'), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS pieces FROM l),
+x AS (SELECT page_id, i, CASE WHEN i = 1 THEN chr(10) || '# ' || array_to_string(pieces, ' ') || chr(10) ELSE array_to_string(pieces, ' ') END AS line FROM t WHERE len(pieces) > 0)
+SELECT p.page_id, coalesce(trim(regexp_replace(string_agg(line, chr(10) ORDER BY i), '\\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(10)), '') AS text FROM pages p LEFT JOIN x ON x.page_id = p.page_id GROUP BY p.page_id""")
 def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", op.html_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", pages.readable_text(F.col("html")).alias("text"))
 
 
-@query("t17_links")
+@query("t17_links", """WITH l AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://[^/?#]+')) AS origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages)
+SELECT DISTINCT page_id, origin || regexp_replace(replace(link, '&amp;', '&'), '/+$', '') AS target FROM l""")
 def t17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.links(table(spark, sf_dir, "pages"), "page_id", "url", "html")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as fx
-from sieveline.operators import filters, joins, quality, ranking, rules, scoring, shaping, texts, vectors
+from sieveline.operators import filters, joins, pages, quality, ranking, rules, scoring, shaping, texts, vectors
 from sieveline.sources import entries as src
 from sieveline.streaming import windows
 
@@ -148,7 +148,7 @@ def test_chunks_and_normalizing(spark):
 def test_html(spark):
     page = '<html><head><style>x{}</style></head><body><nav>no</nav><h1>T &amp; U</h1><p>a <b>b</b><br>c</p><ul><li><a href="/x?utm_a=1">l</a></li></ul><script>no()</script></body></html>'
     rows = spark.createDataFrame([(1, "https://e.org/d/", page), (2, None, None)], "id int, url string, html string")
-    assert {r.id: r.text for r in rows.select("id", texts.html_text(F.col("html")).alias("text")).collect()} == {1: "# T & U\n\na b\nc\n\n- l", 2: None}
+    assert {r.id: r.text for r in rows.select("id", pages.readable_text(F.col("html")).alias("text")).collect()} == {1: "# T & U\n\na b c\n- l", 2: None}
     assert [(r.id, r.target) for r in texts.links(rows, "id", "url", "html").collect()] == [(1, "https://e.org/x")]
 
 
