@@ -86,3 +86,13 @@ def readability(words_per_sentence: Column) -> tuple[Column, Column]:
     """(level, complexity) by words in a sentence."""
     w = words_per_sentence
     return F.when(w <= 8, "A1").when(w <= 12, "A2").when(w <= 16, "B1").when(w <= 20, "B2").otherwise("C1"), F.when(w <= 12, "simple").when(w <= 20, "moderate").otherwise("complex")
+
+
+#: How much a source's tier weighs.
+TIER_RANK = {"tier_1_law": 4, "tier_1_official": 4, "tier_2_official": 3, "tier_2_ngo_watchdog": 2, "tier_3_ngo": 2, "tier_3_press": 1, "tier_4_academic": 1, "tier_4_other": 0, "tier_5_contextual": 0, "tier_5_partisan_context": 0}
+
+
+def tier_rank(tier: Column) -> Column:
+    """The rank of a tier in any case; -1 for others and null."""
+    t = F.lower(F.trim(F.coalesce(tier, F.lit(""))))
+    return F.coalesce(*[F.when(t == name, rank) for name, rank in TIER_RANK.items()], F.lit(-1))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as fx
-from sieveline.operators import answers, pages, rules, seeds
+from sieveline.operators import answers, discovery, evaluation, pages, rules, seeds
 from sieveline.operators import filters as op
+from sieveline.operators.ranking import first_of
 from sieveline.plans.registry import query
 from sieveline.session import table
 from sieveline.sources.entries import ENTRIES_SQL, entries
@@ -110,12 +111,15 @@ def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANK = "CASE tier WHEN 'tier_1_official' THEN 4 WHEN 'tier_2_ngo_watchdog' THEN 3 WHEN 'tier_4_academic' THEN 2 WHEN 'tier_3_press' THEN 1 ELSE -1 END"
 
 
-@query("f15_evidence_policy", E + f"SELECT domain, count(*) AS seen, count(*) FILTER (tier IS NULL OR tier = 'tier_unknown') AS unclassified, count(*) FILTER (iqs / 100 >= 0.5 AND {_RANK} >= 2) AS kept FROM entries GROUP BY domain")
+@query("f15_evidence_policy", E + """, r AS (SELECT id, domain, CASE tier WHEN 'tier_1_official' THEN 4 WHEN 'tier_2_ngo_watchdog' THEN 2 WHEN 'tier_3_press' THEN 1 WHEN 'tier_4_academic' THEN 1 ELSE -1 END AS rank, coalesce(iqs, 0) / 100 AS c, coalesce(tier, '') = 'tier_1_official' AS official FROM entries),
+d AS (SELECT domain, CASE WHEN rank < 0 THEN 'unclassified' WHEN c < 0.3 THEN 'confidence' WHEN rank < 2 THEN 'tier' WHEN domain <> 'tools' AND NOT official THEN 'unofficial' ELSE 'kept' END AS outcome, domain = 'tools' AS lenient FROM r)
+SELECT domain, outcome, count(*) AS n FROM d GROUP BY ALL""")
 def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("tier")
-    rank = F.when(t == "tier_1_official", 4).when(t == "tier_2_ngo_watchdog", 3).when(t == "tier_4_academic", 2).when(t == "tier_3_press", 1).otherwise(-1)
-    e = entries(spark, sf_dir).withColumns({"rank": rank, "confidence": F.col("iqs") / 100})
-    return e.groupBy("domain").agg(F.count("*").alias("seen"), F.count_if(t.isNull() | (t == "tier_unknown")).alias("unclassified"), F.count_if((F.col("confidence") >= 0.5) & (F.col("rank") >= 2)).alias("kept"))
+    """How many entries of each domain a policy keeps as evidence, and why it drops the others; tools need not be official."""
+    e = entries(spark, sf_dir)
+    of = lambda strict: evaluation.policy_drop(F.col("tier"), discovery.source_role(F.col("tier"), F.col("domain")), F.col("iqs") / 100, 0.3, "tier_3_ngo", strict)
+    outcome = F.coalesce(F.when(F.col("domain") == "tools", of(False)).otherwise(of(True)), F.lit("kept"))
+    return e.groupBy("domain", outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @query("f16_lane_relevance", E + "SELECT id, domain FROM (SELECT id, domain, iqs > 95 AS met, bool_or(coalesce(iqs > 95, FALSE)) OVER (PARTITION BY host) AS got, row_number() OVER (PARTITION BY host ORDER BY id) AS n FROM entries) WHERE met OR (NOT got AND n <= 2)")
@@ -224,10 +228,14 @@ def f31(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", op.binary_text(F.concat(begin, "html")).alias("is_binary"))
 
 
-@query("f32_external_evidence", E + "SELECT id, greatest(0.0, least(1.0, coalesce(iqs / 80, 0.6))) AS confidence FROM entries WHERE host LIKE '%.example.org' AND lang = 'de'")
+@query("f32_external_evidence", E + """, c AS (SELECT id, host, coalesce(nullif(trim(url), ''), 'unknown') AS source, CASE WHEN id % 7 = 0 THEN 0.6 ELSE greatest(0.0, least(1.0, coalesce(iqs / 80 - 0.1, 0.6))) END AS confidence, row_number() OVER (PARTITION BY host ORDER BY id) AS n FROM entries WHERE host LIKE '%.example.org' AND host NOT IN ('src1.example.org', 'src2.example.org'))
+SELECT id, source, round(confidence, 6)::DOUBLE AS confidence FROM c WHERE n <= 12""")
 def f32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entries(spark, sf_dir).where(fx.under(F.col("host"), F.lit("example.org")) & (F.col("lang") == "de"))
-    return e.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("iqs") / 80, F.lit(0.6)))).alias("confidence"))
+    """The first twelve items that every allowed host gives as evidence, with a confidence from 0 to 1; some state none or no number."""
+    allowed = fx.under(F.col("host"), F.lit("example.org")) & ~F.col("host").isin("src1.example.org", "src2.example.org")
+    stated = F.when(F.col("id") % 7 == 0, float("nan")).otherwise(F.col("iqs") / 80 - 0.1)
+    rows = first_of(entries(spark, sf_dir).where(allowed), ["host"], ["id"], evaluation.PAYLOAD_MOST)
+    return rows.select("id", F.coalesce(F.nullif(F.trim("url"), F.lit("")), F.lit("unknown")).alias("source"), F.round(evaluation.external_confidence(stated), 6).alias("confidence"))
 
 
 _KINDS = (("eligibility", "kann ich|darf ich|habe ich anspruch|berechtigt|voraussetzung"), ("howto", "wie|wo|beantragen|antrag|welche dokumente|schritte"), ("factual", "was ist|wie viel|wie hoch|wann|wer|betrag|höhe"), ("comparison", "unterschied|vergleich|besser|oder|versus|vs"), ("exploratory", "welche|alle|gibt es|übersicht|möglichkeiten"))

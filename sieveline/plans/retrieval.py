@@ -89,11 +89,14 @@ def r19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).select("id", sc.freshness(F.col("last_seen"), F.lit("2025-01-01").cast("timestamp")).alias("freshness"))
 
 
-@query("r27_tier_rank", E + "SELECT id, CASE tier WHEN 'tier_1_official' THEN 3 WHEN 'tier_2_ngo_watchdog' THEN 2 WHEN 'tier_4_academic' THEN 1 WHEN 'tier_3_press' THEN 0 ELSE -1 END AS rank, CASE tier WHEN 'tier_1_official' THEN 'official_info' WHEN 'tier_2_ngo_watchdog' THEN 'trusted_tool' ELSE 'context_info' END AS role FROM entries")
+_TIERS = ("tier_1_law", "TIER_1_official ", "tier_2_official", "tier_2_ngo_watchdog", "tier_3_ngo", "tier_3_press", "tier_4_academic", "tier_4_other", "tier_5_contextual", "tier_5_partisan_context", "tier_unknown", None)
+
+
+@query("r27_tier_rank", E + "SELECT id, [4, 4, 3, 2, 2, 1, 1, 0, 0, 0, -1, -1][CAST(id % 12 AS INT) + 1] AS rank FROM entries")
 def r27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = sc.lookup({"tier_1_official": 3, "tier_2_ngo_watchdog": 2, "tier_4_academic": 1, "tier_3_press": 0}, F.coalesce("tier", F.lit("")), -1)
-    role = F.when(F.col("tier") == "tier_1_official", "official_info").when(F.col("tier") == "tier_2_ngo_watchdog", "trusted_tool").otherwise("context_info")
-    return entries(spark, sf_dir).select("id", rank.cast("int").alias("rank"), role.alias("role"))
+    """The rank of one of ten tiers, of one that isn't any, or of none, for every entry."""
+    tier = F.element_at(F.array(*map(F.lit, _TIERS)), (F.col("id") % 12).cast("int") + 1)
+    return entries(spark, sf_dir).select("id", sc.tier_rank(tier).cast("int").alias("rank"))
 
 
 @query("r31_position_confidence", "SELECT conv_id, turn, greatest(0.1, round(1 - 0.15 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1), 2))::DOUBLE AS confidence FROM conversations")
