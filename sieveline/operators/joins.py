@@ -96,3 +96,21 @@ def word_containment(asked: DataFrame, found: DataFrame, item: str, doc: str, wo
         share = F.size(F.array_intersect("_asked", "_found")) / F.size("_asked")
         pairs = met.join(rules(a), "_a").select(F.col("_item").alias(item), F.col("_doc").alias(doc), share.alias("ratio"))
         return keep(stash(pairs.where(F.col("ratio") >= least), "containment", sweep=False))
+
+
+def resolved_source(df: DataFrame, host: str, domain: str, profiles: DataFrame, inferred: Column) -> DataFrame:
+    """``df`` with source_id, tier and how it is known: the registered source of the row's domain whose host is its own or above it, or one inferred from the host.
+
+    profiles: source_id, host, tier, priority, domains.  Official sources come first, then organisations, then high priority, then the
+    shorter host; ids settle ties.  ``inferred`` is the tier that the host itself says, null if it says none.  Rows without either
+    have nulls.  Distinct pairs of host and domain are resolved once, so a host with very many rows is asked for once.
+    """
+    pairs = df.where(F.coalesce(host, F.lit("")) != "").select(F.col(host).alias("_host"), F.col(domain).alias("_domain")).distinct()
+    above = pairs.select("_host", "_domain", F.explode(domains_above(F.col("_host"))).alias("_at"))
+    p = profiles.select(F.col("host").alias("_at"), "source_id", "tier", "priority", F.explode("domains").alias("_domain")).distinct()
+    order = F.struct(F.when(F.col("tier") == "tier_1_official", 0).when(F.col("tier") == "tier_2_ngo_watchdog", 1).otherwise(2).alias("a"), F.when(F.col("priority") == "high", 0).otherwise(1).alias("b"), F.length("_at").alias("c"), F.col("source_id").alias("d"))
+    best = above.join(p, ["_at", "_domain"]).groupBy("_host", "_domain").agg(F.min_by(F.struct("source_id", "tier"), order).alias("_best"))
+    out = df.join(best, (F.col(host) == F.col("_host")) & F.col(domain).eqNullSafe(F.col("_domain")), "left")
+    guess = F.when(F.coalesce(F.col(host), F.lit("")) != "", inferred)
+    known, told = F.col("_best").isNotNull(), guess.isNotNull()
+    return out.select(*df.columns, F.when(known, F.col("_best.source_id")).when(told, F.replace(F.col(host), F.lit("."), F.lit("_"))).alias("source_id"), F.when(known, F.col("_best.tier")).otherwise(guess).alias("source_tier"), F.when(known, "registered").when(told, "inferred").alias("source_status"))

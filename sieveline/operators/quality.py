@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 STATUSES = ("active", "discontinued", "archived", "under_revision")
 
@@ -125,3 +128,15 @@ def promotion(existing: DataFrame, candidates: DataFrame, reason: Column, title_
     merged = both.groupBy("domain").agg(F.count("*").alias("total_after_merge"), F.count_if(F.col("new").isNotNull() & better).alias("promoted"))
     out = sizes.join(counts, "domain", "full").join(merged, "domain", "left").join(rejected, "domain", "left")
     return out.select("domain", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("existing", "candidates", "promoted", "total_after_merge", "dropped_existing")], F.coalesce("rejected", F.lit("")).alias("rejected"))
+
+
+def most_common(df: DataFrame, lists: dict[str, Column], most: int = 15) -> DataFrame:
+    """(kind, value, n, place): the ``most`` most frequent values of each list column, ties in the order of values: the feature."""
+    named = [F.transform(F.coalesce(c, F.array().cast("array<string>")), _named(kind)) for kind, c in lists.items()]
+    counts = df.select(F.explode(F.flatten(F.array(*named))).alias("v")).where("v.value is not null").groupBy("v.kind", "v.value").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("kind").orderBy(F.col("n").desc(), "value")
+    return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).withColumn("place", F.col("place").cast("long"))
+
+
+def _named(kind: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value"))

@@ -121,6 +121,32 @@ def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("iqs"), 2).alias("avg_iqs"), F.round(F.avg("ais"), 2).alias("avg_ais"), F.count_if(F.col("iqs") < 60).alias("low"))
 
 
+@query("a16_distributions", E + """, v AS (SELECT 'host' AS kind, host AS value FROM entries WHERE host IS NOT NULL UNION ALL SELECT 'tier', coalesce(tier, 'tier_unknown') FROM entries UNION ALL SELECT 'topic', unnest(topics) FROM entries UNION ALL SELECT 'tag', unnest(tags) FROM entries),
+n AS (SELECT kind, value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL) SELECT kind, value, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) AS place FROM n QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) <= 15""")
+def a16_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen most frequent hosts, tiers, topics and tags of a crawl's entries."""
+    e = entries(spark, sf_dir)
+    lists = {"host": F.array("host"), "tier": F.array(F.coalesce("tier", F.lit("tier_unknown"))), "topic": F.col("topics"), "tag": F.col("tags")}
+    return quality.most_common(e, lists, 15)
+
+
+@query("a16_low_quality", E + ", l AS (SELECT id, domain, url, iqs, ais, row_number() OVER (PARTITION BY domain ORDER BY id) AS n, count(*) OVER (PARTITION BY domain) AS total FROM entries WHERE iqs < 60 OR ais < 60) SELECT domain, any_value(total) AS low_quality, list(id ORDER BY id) FILTER (n <= 10) AS samples FROM l GROUP BY domain")
+def a16_low_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many entries of each domain have a score below sixty, and the first ten of them."""
+    low = entries(spark, sf_dir).where("iqs < 60 or ais < 60").select("domain", "id")
+    first = rk.first_of(low, ["domain"], ["id"], 10).groupBy(F.col("domain").alias("_domain")).agg(F.array_sort(F.collect_list("id")).alias("samples"))
+    return low.groupBy("domain").agg(F.count("*").alias("low_quality")).join(first, F.col("domain") == F.col("_domain")).select("domain", "low_quality", "samples")
+
+
+@query("a12_audit_dimensions", E + """, v AS (SELECT status, unnest(['domain:' || domain, 'tier:' || coalesce(tier, 'unknown'), 'jurisdiction:' || coalesce(jurisdiction, 'unknown'), 'host:' || coalesce(host, 'unknown')]) AS k FROM entries)
+SELECT split_part(k, ':', 1) AS dimension, substring(k, instr(k, ':') + 1) AS value, count(*) AS n, count(*) FILTER (status = 'active') AS active FROM v GROUP BY k""")
+def a12_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries and active ones by domain, tier, jurisdiction and host, in one pass."""
+    e = entries(spark, sf_dir)
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(c, F.lit("unknown")).alias("value")) for d, c in (("domain", "domain"), ("tier", "tier"), ("jurisdiction", "jurisdiction"), ("host", "host"))])
+    return e.select("status", F.explode(each).alias("v")).groupBy("v.dimension", "v.value").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"))
+
+
 @query("a17_promotion_report", E + f"SELECT domain, reason, count(*) AS n FROM (SELECT domain, {_GATE} AS reason FROM entries e) GROUP BY ALL")
 def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entries(spark, sf_dir)

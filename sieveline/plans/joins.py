@@ -61,6 +61,23 @@ def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.by_suffix(pages, "host", profiles, "profile", order, ["page_id"]).select("page_id", "host", "profile", "tier")
 
 
+_SOURCES = (("high", "example.org", "tier_3_press", "high", ["aid", "tools"]), ("ngo", "tionsh.example.net", "tier_2_ngo_watchdog", "normal", ["aid"]), ("law", "example.net", "tier_1_official", "normal", ["tools"]), ("low", "m.tionsh.example.net", "tier_1_official", "normal", ["aid"]), ("wide", "example.net", "tier_1_official", "normal", ["aid"]))
+
+
+@query("j07_resolved_sources", f"""WITH p AS (SELECT page_id, {_H} AS h, ['aid', 'tools', 'benefits'][CAST(page_id % 3 AS INT) + 1] AS d FROM pages),
+s(source_id, host, tier, a, b, d) AS (VALUES ('high', 'example.org', 'tier_3_press', 2, 0, 'aid'), ('high', 'example.org', 'tier_3_press', 2, 0, 'tools'), ('ngo', 'tionsh.example.net', 'tier_2_ngo_watchdog', 1, 1, 'aid'), ('law', 'example.net', 'tier_1_official', 0, 1, 'tools'), ('low', 'm.tionsh.example.net', 'tier_1_official', 0, 1, 'aid'), ('wide', 'example.net', 'tier_1_official', 0, 1, 'aid')),
+m AS (SELECT p.page_id, s.source_id, s.tier, row_number() OVER (PARTITION BY p.page_id ORDER BY a, b, length(s.host), s.source_id) AS n FROM p JOIN s ON s.d = p.d AND (p.h = s.host OR p.h LIKE '%.' || s.host))
+SELECT p.page_id, CASE WHEN m.source_id IS NOT NULL THEN m.source_id WHEN h LIKE '%example.com' THEN replace(h, '.', '_') END AS source_id, CASE WHEN m.source_id IS NOT NULL THEN m.tier WHEN h LIKE '%example.com' THEN 'tier_2_official' END AS source_tier,
+    CASE WHEN m.source_id IS NOT NULL THEN 'registered' WHEN h LIKE '%example.com' THEN 'inferred' END AS source_status FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.n = 1""")
+def j07_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source of every page in one of three domains: registered for that domain, inferred from its host, or none."""
+    domain = F.element_at(F.array(*map(F.lit, ("aid", "tools", "benefits"))), (F.col("page_id") % 3).cast("int") + 1)
+    p = table(spark, sf_dir, "pages").select("page_id", fx.host(F.col("url")).alias("host"), domain.alias("domain"))
+    profiles = spark.createDataFrame(_SOURCES, "source_id string, host string, tier string, priority string, domains array<string>")
+    inferred = F.when(fx.under(F.col("host"), F.lit("example.com")), "tier_2_official")
+    return op.resolved_source(p, "host", "domain", profiles, inferred).select("page_id", "source_id", "source_tier", "source_status")
+
+
 @query("j09_merge_better", E + ", o AS (SELECT url, iqs, ais FROM entries WHERE id % 3 <> 0), n AS (SELECT url, 100 - iqs AS iqs, 100 - ais AS ais FROM entries WHERE id % 4 <> 0), j AS (SELECT o.url AS ou, n.url AS nu, o.iqs AS oi, o.ais AS oa, n.iqs AS ni, n.ais AS na, o.url IS NULL OR (n.url IS NOT NULL AND (coalesce(n.ais, 0) > coalesce(o.ais, 0) OR coalesce(n.iqs, 0) > coalesce(o.iqs, 0))) AS b FROM o FULL JOIN n ON o.url = n.url) SELECT coalesce(ou, nu) AS url, CASE WHEN b THEN ni ELSE oi END AS iqs, CASE WHEN b THEN na ELSE oa END AS ais, CASE WHEN ou IS NULL THEN 'added' WHEN b THEN 'replaced' ELSE 'kept' END AS outcome FROM j")
 def j09(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entries(spark, sf_dir)

@@ -54,3 +54,17 @@ def test_policy_and_tiers(spark):
     assert [r[0] for r in df.select(scoring.tier_rank(F.col("t"))).collect()] == [4, -1, -1, 1, 2, 3, 0] and len(scoring.TIER_RANK) == 10
     values = [None, float("nan"), float("inf"), -1.0, 0.25, 7.0]
     assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(evaluation.external_confidence(F.col("v"))).collect()] == [0.6, 0.6, 0.6, 0.0, 0.25, 1.0]
+
+
+def test_resolved_sources_and_frequencies(spark):
+    from sieveline.operators import joins, quality
+
+    profiles = spark.createDataFrame([("a", "x.de", "tier_3_press", "high", ["d", "e"]), ("b", "x.de", "tier_3_press", "normal", ["d"]), ("c", "s.x.de", "tier_1_official", "normal", ["d"]), ("w", "y.de", "tier_1_official", "normal", ["e"])], "source_id string, host string, tier string, priority string, domains array<string>")
+    rows = [(1, "x.de", "d"), (2, "t.s.x.de", "d"), (3, "t.s.x.de", "e"), (4, "y.de", "d"), (5, "", "d"), (6, None, "d"), (7, "x.de", None), (8, "notx.de", "d"), (1, "x.de", "d")]
+    out = joins.resolved_source(spark.createDataFrame(rows, "id int, host string, domain string"), "host", "domain", profiles, F.when(F.col("host") == "y.de", "tier_2_official")).collect()
+    assert len(out) == len(rows) and {r.id: (r.source_id, r.source_tier, r.source_status) for r in out} == {
+        1: ("a", "tier_3_press", "registered"), 2: ("c", "tier_1_official", "registered"), 3: ("a", "tier_3_press", "registered"), 4: ("y_de", "tier_2_official", "inferred"), 5: (None,) * 3, 6: (None,) * 3, 7: (None,) * 3, 8: (None,) * 3,
+    }
+    df = spark.createDataFrame([(["a", "b", None], "x"), (None, "y"), (["b", "c"], None)], "l array<string>, s string")
+    got = sorted(map(tuple, quality.most_common(df, {"l": F.col("l"), "s": F.array("s")}, 2).collect()))
+    assert got == [("l", "a", 1, 2), ("l", "b", 2, 1), ("s", "x", 1, 1), ("s", "y", 1, 2)]
