@@ -34,7 +34,7 @@ GLOSSARY = (
 PHRASES = (("Sie oder Mitglieder Ihrer Familie", "Sie oder Ihre Familie"), ("Sie oder Mitglieder Ihrer Bedarfsgemeinschaft", "Sie oder Ihre Familie"), ("keine Krankheit oder Behinderung hindert Sie daran", "keine Krankheit oder Behinderung hält Sie davon ab"), ("Voraussetzungen", "Bedingungen"), ("beantragen", "anfragen oder beantragen"))
 SENTENCES, LINES, DEFINITIONS = {"einfach": 6, "leicht": 5}, 14, {"einfach": 2, "leicht": 4}
 #: Names of the records, who made them, and how many lines their summary has.
-GENERATOR = "systemfehler-plain-language-v1"
+GENERATOR = "sieveline-plain-language-v1"
 REVIEWED, SUGGESTED = {"einfach": "de-EINFACH", "leicht": "de-LEICHT"}, {"einfach": "de-EINFACH-SUGGESTED", "leicht": "de-LEICHT-SUGGESTED"}
 SUMMARY = {"einfach": 2, "leicht": 4}
 #: The frame of an answer to read.
