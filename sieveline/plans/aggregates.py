@@ -13,6 +13,7 @@ from sieveline.operators import ranking as rk
 from sieveline.plans.filters import _GATE
 from sieveline.plans.registry import query
 from sieveline.session import table
+from sieveline.sources import reports
 from sieveline.sources.entries import DOMAINS, ENTRIES_SQL, entries
 
 E = f"WITH {ENTRIES_SQL} "
@@ -259,3 +260,22 @@ def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a13_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = entries(spark, sf_dir).groupBy("domain", "host").agg(F.count("*").alias("n"))
     return rk.first_of(n, ["domain"], [F.col("n").desc(), "host"], 3)
+
+
+@query("s26_markdown_report", E + """, t AS (SELECT domain, count(*) AS entries, count(*) FILTER (status = 'active') AS active, round(avg(iqs), 2) AS iqs FROM entries GROUP BY domain)
+SELECT 0 AS n, '## Entries' AS line UNION ALL SELECT 1, '' UNION ALL SELECT 2, '| domain | entries | active | note |' UNION ALL SELECT 3, '| --- | --- | --- | --- |'
+UNION ALL SELECT 3 + row_number() OVER (ORDER BY entries DESC, domain), '| ' || domain || ' | ' || entries || ' | ' || active || ' | ' || CASE WHEN domain = 'aid' THEN '' ELSE 'a\\|b c' END || ' |' FROM t""")
+def s26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries by domain as the lines of a Markdown report."""
+    t = entries(spark, sf_dir).groupBy("domain").agg(F.count("*").alias("entries"), F.count_if(F.col("status") == "active").alias("active"))
+    return reports.markdown(t.withColumn("note", F.when(F.col("domain") != "aid", "a|b\n c")), "Entries", [F.col("entries").desc(), F.col("domain")])
+
+
+@query("s26_json_report", E + """, t AS (SELECT domain, count(*) FILTER (coalesce(iqs, 100) < 5) AS low FROM entries GROUP BY domain)
+SELECT count(*) AS rows, count(*) FILTER (low > 0) AS failed, count(*) FILTER (low > 0) = 0 AS passed, coalesce(string_agg(domain, ',' ORDER BY domain) FILTER (low > 0), '') AS failures FROM t""")
+def s26_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report that a build reads: domains with entries of a very low score fail; read again."""
+    t = entries(spark, sf_dir).groupBy("domain").agg(F.count_if(F.coalesce("iqs", F.lit(100.0)) < 5).alias("low"))
+    r = F.from_json("report", "rows long, failed long, passed boolean, failures array<string>")
+    told = reports.summary(t, "quality", F.col("low") > 0).select(r.alias("r")).select("r.*")
+    return told.select("rows", "failed", "passed", F.array_join(F.transform("failures", lambda x: F.get_json_object(x, "$.domain")), ",").alias("failures"))

@@ -68,3 +68,21 @@ def test_resolved_sources_and_frequencies(spark):
     df = spark.createDataFrame([(["a", "b", None], "x"), (None, "y"), (["b", "c"], None)], "l array<string>, s string")
     got = sorted(map(tuple, quality.most_common(df, {"l": F.col("l"), "s": F.array("s")}, 2).collect()))
     assert got == [("l", "a", 1, 2), ("l", "b", 2, 1), ("s", "x", 1, 1), ("s", "y", 1, 2)]
+
+
+def test_reports(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from sieveline.sources import reports
+
+    df = spark.createDataFrame([("a|b", 2, None), ("x\n y", 1, "z")], "k string, n int, note string")
+    reports.write_markdown(df, "T", [F.col("n")], f"{tmp_path}/r")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/r").collect()] == ["## T", "", "| k | n | note |", "| --- | --- | --- |", "| x y | 1 | z |", "| a\\|b | 2 |  |"]
+    assert reports.markdown(df.limit(0), "T", [F.col("n")]).count() == 4
+    told = json.loads(reports.summary(df, "q", F.col("n") > 1).first()[0])
+    assert (told["name"], told["rows"], told["failed"], told["passed"], [json.loads(x)["k"] for x in told["failures"]]) == ("q", 2, 1, False, ["a|b"])
+    assert json.loads(reports.summary(df.limit(0), "q", F.col("n") > 1).first()[0])["passed"]
+    with pytest.raises(ValueError):
+        reports.markdown(spark.range(1001), "T", [F.col("id")])
