@@ -114,3 +114,39 @@ def resolved_source(df: DataFrame, host: str, domain: str, profiles: DataFrame,
     guess = F.when(F.coalesce(F.col(host), F.lit("")) != "", inferred)
     known, told = F.col("_best").isNotNull(), guess.isNotNull()
     return out.select(*df.columns, F.when(known, F.col("_best.source_id")).when(told, F.replace(F.col(host), F.lit("."), F.lit("_"))).alias("source_id"), F.when(known, F.col("_best.tier")).otherwise(guess).alias("source_tier"), F.when(known, "registered").when(told, "inferred").alias("source_status"))
+
+
+def with_extension(entries: DataFrame, tables: dict[str, DataFrame], key: str = "id", domain: str = "domain") -> DataFrame:
+    """``entries`` with ``extension``: the row of the table of their domain as JSON without its key, null where there is none.
+
+    Tables have a row for each key and columns of their own; an entry meets only the table of its domain.
+    """
+    rows = None
+    for name, df in tables.items():
+        part = df.select(F.lit(name).alias("_domain"), F.col(key).alias("_key"), F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("extension"))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        return entries.withColumn("extension", F.lit(None).cast("string"))
+    return entries.join(rows, (F.col(domain) == F.col("_domain")) & (F.col(key) == F.col("_key")), "left").drop("_domain", "_key")
+
+
+def upsert_extended(old: DataFrame, tables: dict[str, DataFrame], new: DataFrame, extensions: dict[str, DataFrame], keep: list[str], take: list[str], key: str = "id", domain: str = "domain") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Entries and the extension tables of their domains after an upsert: (entries, tables).
+
+    A new row takes the place of the old one with its key, but for the columns of ``keep``.  Its extension row replaces the one
+    in its domain's table as a whole; an entry that has changed its domain leaves the table of the old one.
+    """
+    entries = upsert(old, new, key, keep, [domain, *take])
+    out = {}
+    for name in tables.keys() | extensions.keys():
+        before, fresh = tables.get(name), extensions.get(name)
+        mine = new.where(F.col(domain) == name).select(key)
+        fresh = None if fresh is None else fresh.join(mine, key, "left_semi")
+        if before is None:
+            out[name] = fresh
+            continue
+        gone = new.where(F.col(domain) != name).select(key)
+        gone = gone if fresh is None else gone.unionByName(fresh.select(key))
+        kept = before.join(gone, key, "left_anti")
+        out[name] = kept if fresh is None else kept.unionByName(fresh)
+    return entries, out

@@ -133,6 +133,29 @@ def grounded_answer(texts: Column, mode: str) -> Column:
     return let(found, lambda f: F.when(F.size(f) > 0, told(f)).otherwise(""))
 
 
+#: What an audit of each level takes off, and for unexplained words in all.
+AUDITS = {"einfach": (("long_sentences", 18), ("long_text", 8), ("colons", 6)), "leicht": (("long_sentences", 24), ("commas", 10), ("nothing_explained", 10))}
+WORDS_MOST, TEXT_MOST, JARGON, JARGON_MOST = {"einfach": 16, "leicht": 10}, 8, 5, 20
+
+
+def audit(text: Column, mode: str) -> Column:
+    """How plain a text is for a level: a score from 0 to 100, and what was found; 0 and ``no_text`` for a blank one."""
+    whole = spaced(text)
+    sentences = parts(text)
+    count = F.size(sentences)
+    words = F.aggregate(sentences, F.lit(0), lambda n, s: n + F.size(F.split(s, r"\s+"))) / F.greatest(count, F.lit(1))
+    holds = {"long_sentences": words > WORDS_MOST[mode], "long_text": count > TEXT_MOST, "colons": whole.rlike("[;:]"), "commas": F.contains(whole, F.lit(", ")), "nothing_explained": ~F.contains(whole, F.lit("bedeutet"))}
+    hard = [F.when(whole.rlike(_word(pattern)) & ~F.contains(whole, F.lit(f"{plain} bedeutet")) & ~F.contains(whole, F.lit(meaning)), F.lit(plain)) for pattern, plain, meaning in GLOSSARY if meaning]
+    points = sum((F.when(holds[name], n).otherwise(0) for name, n in AUDITS[mode]), F.lit(0))
+
+    def told(jargon: Column) -> Column:
+        found = F.concat(F.array_compact(F.array(*[F.when(holds[name], name) for name, _ in AUDITS[mode]])), F.when(F.size(jargon) > 0, F.array(F.concat(F.lit("unexplained: "), F.array_join(jargon, ", ")))).otherwise(F.array().cast("array<string>")))
+        score = F.greatest(F.lit(0), F.lit(100) - points - F.least(F.lit(JARGON_MOST), JARGON * F.size(jargon)))
+        return F.struct(F.when(whole == "", 0).otherwise(score).cast("long").alias("score"), F.when(whole == "", F.array(F.lit("no_text"))).otherwise(found).alias("findings"))
+
+    return let(F.array_compact(F.array(*hard)), told)
+
+
 def easy_german(text: Column) -> Column:
     """A draft in short sentences and simpler words, cut at a word after DRAFT_MOST characters; empty for null and blank texts."""
     sentences = _filled(F.split(spaced(text), r"(?<=[.!?])\s+"))

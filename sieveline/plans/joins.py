@@ -61,6 +61,34 @@ def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.by_suffix(pages, "host", profiles, "profile", order, ["page_id"]).select("page_id", "host", "profile", "tier")
 
 
+def _extensions(e: DataFrame) -> dict[str, DataFrame]:
+    """Extension rows of two domains, each with columns of its own; not all entries have one."""
+    k = F.col("id")
+    return {"benefits": e.where((F.col("domain") == "benefits") & (k % 3 != 0)).select("id", F.concat(k.cast("string"), F.lit(" Monate")).alias("duration")), "tools": e.where(F.col("domain") == "tools").select("id", F.lit("rechner").alias("kind"), (k % 4).alias("level"))}
+
+
+@query("j02_extension_rows", E + "SELECT id, domain, CASE WHEN domain = 'benefits' AND id % 3 <> 0 THEN id || ' Monate' END AS duration, CASE WHEN domain = 'tools' THEN 'rechner' END AS kind FROM entries")
+def j02_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry with the row of its domain's extension table."""
+    e = entries(spark, sf_dir).select("id", "domain")
+    told = op.with_extension(e, _extensions(e))
+    return told.select("id", "domain", F.get_json_object("extension", "$.duration").alias("duration"), F.get_json_object("extension", "$.kind").alias("kind"))
+
+
+@query("s09_upsert_extended", E + """, n AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'tools' ELSE domain END AS domain FROM entries WHERE id % 5 = 0)
+SELECT e.id, coalesce(n.domain, e.domain) AS domain, CASE WHEN n.id IS NULL THEN e.title_de ELSE 'neu' END AS title, e.first_seen,
+    CASE WHEN n.domain = 'benefits' THEN 'neu' WHEN n.id IS NULL AND e.domain = 'benefits' AND e.id % 3 <> 0 THEN e.id || ' Monate' END AS duration, CASE WHEN n.domain = 'tools' THEN 'lotse' WHEN n.id IS NULL AND e.domain = 'tools' THEN 'rechner' END AS kind
+FROM entries e LEFT JOIN n ON n.id = e.id""")
+def s09_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the entries comes again with extension rows, half of those under another domain."""
+    e = entries(spark, sf_dir).select("id", "domain", F.col("title_de").alias("title"), "first_seen")
+    new = e.where("id % 5 = 0").withColumns({"domain": F.when(F.col("id") % 10 == 0, "tools").otherwise(F.col("domain")), "title": F.lit("neu"), "first_seen": F.lit("2030-01-01").cast("timestamp")})
+    fresh = {"benefits": new.select("id", F.lit("neu").alias("duration")), "tools": new.select("id", F.lit("lotse").alias("kind"), F.lit(0).cast("long").alias("level"))}
+    rows, tables = op.upsert_extended(e, _extensions(e), new, fresh, ["first_seen"], ["title"])
+    told = op.with_extension(rows, tables)
+    return told.select("id", "domain", "title", "first_seen", F.get_json_object("extension", "$.duration").alias("duration"), F.get_json_object("extension", "$.kind").alias("kind"))
+
+
 _SOURCES = (("high", "example.org", "tier_3_press", "high", ["aid", "tools"]), ("ngo", "tionsh.example.net", "tier_2_ngo_watchdog", "normal", ["aid"]), ("law", "example.net", "tier_1_official", "normal", ["tools"]), ("low", "m.tionsh.example.net", "tier_1_official", "normal", ["aid"]), ("wide", "example.net", "tier_1_official", "normal", ["aid"]))
 
 

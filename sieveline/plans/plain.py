@@ -30,6 +30,24 @@ def t37(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("id", op.einfach(F.col("title"), F.col("text")).alias("einfach"), op.leicht(F.col("title"), F.col("text")).alias("leicht"))
 
 
+def _audit_sql() -> str:
+    hard = (("bedarfsgemeinschaft", "Familie oder Menschen, die zusammen leben", "Das sind Menschen, die zusammen leben und gemeinsam Geld zum Leben brauchen."), ("hilfebed[üu]rftig", "auf Hilfe angewiesen", "Das bedeutet: Das Geld reicht nicht zum Leben."), ("erwerbsf[äa]hig", "arbeitsfähig", "Das bedeutet: Sie können arbeiten."), ("jobcenter", "Jobcenter", "Das Jobcenter ist die Stelle für Bürgergeld."),
+            ("b[üu]rgergeld", "Bürger-Geld", "Das ist Geld für Menschen mit wenig oder keinem Einkommen."), ("arbeitslosengeld", "Arbeitslosen-Geld", "Das ist Geld für Menschen ohne Arbeit."), ("kinderzuschlag", "Kinder-Zuschlag", "Das ist extra Geld für Familien mit wenig Einkommen."), ("unterhaltsvorschuss", "Unterhalts-Vorschuss", "Das ist Geld für Kinder, wenn Unterhalt fehlt."))
+    lacks = " + ".join(f"(regexp_matches(t, '(?i)(^|[^A-Za-z0-9_]){p}($|[^A-Za-z0-9_])') AND NOT contains(t, '{r} bedeutet') AND NOT contains(t, '{m}'))::INT" for p, r, m in hard)
+    said = ", ".join(f"'{x}'" for x in SENTENCES)
+    return E + f""", x AS (SELECT id, trim(regexp_replace(trim([{said}][CAST(id % 8 AS INT) + 1] || ' ' || coalesce(summary_de, '')), '\\s+', ' ', 'g')) AS t FROM entries),
+p AS (SELECT id, t, list_filter(list_transform(string_split(regexp_replace(t, '([:;.!?])\\s+', '\\1|', 'g'), '|'), lambda y: trim(y)), lambda y: y <> '') AS ps, {lacks} AS j FROM x),
+w AS (SELECT *, list_sum(list_transform(ps, lambda y: len(string_split(y, ' ')))) / len(ps) AS avg FROM p)
+SELECT id, CASE WHEN t = '' THEN 0 ELSE greatest(0, 100 - CASE WHEN avg > 16 THEN 18 ELSE 0 END - CASE WHEN len(ps) > 8 THEN 8 ELSE 0 END - CASE WHEN regexp_matches(t, '[;:]') THEN 6 ELSE 0 END - least(20, 5 * j)) END AS einfach,
+CASE WHEN t = '' THEN 0 ELSE greatest(0, 100 - CASE WHEN avg > 10 THEN 24 ELSE 0 END - CASE WHEN contains(t, ', ') THEN 10 ELSE 0 END - CASE WHEN contains(t, 'bedeutet') THEN 0 ELSE 10 END - least(20, 5 * j)) END AS leicht FROM w"""
+
+
+@query("r35_plain_audit", _audit_sql())
+def r35(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How plain every entry's text is for both levels, hard words that nothing explains included."""
+    return _texts(spark, sf_dir).select("id", *[op.audit(F.col("text"), mode)["score"].alias(mode) for mode in ("einfach", "leicht")])
+
+
 def _translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry's translations before and after they are filled: one of five has a reviewed record, one of three a suggestion, some without a body."""
     k, none = F.col("id"), F.lit(None).cast("string")

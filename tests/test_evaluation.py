@@ -86,3 +86,17 @@ def test_reports(spark, tmp_path):
     assert json.loads(reports.summary(df.limit(0), "q", F.col("n") > 1).first()[0])["passed"]
     with pytest.raises(ValueError):
         reports.markdown(spark.range(1001), "T", [F.col("id")])
+
+
+def test_extension_rows(spark):
+    from sieveline.operators import joins
+
+    old = spark.createDataFrame([(1, "a", "x", 1), (2, "b", "y", 2), (3, "c", "z", 3)], "id int, domain string, title string, seen int")
+    tables = {"a": spark.createDataFrame([(1, "p"), (9, "q")], "id int, v string"), "b": spark.createDataFrame([(2, 5)], "id int, w int")}
+    assert {r.id: r.extension for r in joins.with_extension(old, tables).collect()} == {1: '{"v":"p"}', 2: '{"w":5}', 3: None}
+    new = spark.createDataFrame([(1, "b", "n", 8), (2, "b", None, 8), (4, "a", "m", 8)], "id int, domain string, title string, seen int")
+    fresh = {"a": spark.createDataFrame([(4, "r"), (1, "no")], "id int, v string"), "b": spark.createDataFrame([(1, 7)], "id int, w int")}
+    rows, after = joins.upsert_extended(old, tables, new, fresh, ["seen"], ["title"])
+    assert sorted(map(tuple, rows.select("id", "domain", "title", "seen").collect())) == [(1, "b", "n", 1), (2, "b", "y", 2), (3, "c", "z", 3), (4, "a", "m", 8)]
+    assert sorted(map(tuple, after["a"].collect())) == [(4, "r"), (9, "q")] and sorted(map(tuple, after["b"].collect())) == [(1, 7), (2, 5)]
+    assert joins.with_extension(old, {}).where("extension is not null").count() == 0

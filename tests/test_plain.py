@@ -138,3 +138,10 @@ def test_promotion_and_diffs(spark):
     a, b = [(1, "x", None), (2, "y", 5), (3, "z", 1)], [(1, "x", 7), (2, None, 6), (4, "n", None)]
     got = sorted(map(tuple, quality.diff_summary(spark.createDataFrame(a, "id int, s string, n int"), spark.createDataFrame(b, "id int, s string, n int"), "id").collect()))
     assert got == [(1, "update", 1, 0, 0, 1, 1), (2, "update", 0, 1, 1, 0, 2), (3, "delete", 0, 0, 2, 0, 2), (4, "create", 1, 0, 0, 0, 1)]
+
+
+def test_audit(spark):
+    texts = [None, " ", "Kurz.", "Das Jobcenter zahlt, und zwar: viel.", "Jobcenter bedeutet: Amt.", " ".join(["wort"] * 17) + ".", "Ja. " * 9, "Bürgergeld, Jobcenter, Kinderzuschlag, Arbeitslosengeld, Bedarfsgemeinschaft"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(plain.audit(F.col("t"), "einfach").alias("e"), plain.audit(F.col("t"), "leicht").alias("l")).collect()
+    assert [r.e.score for r in rows] == [0, 0, 100, 89, 94, 82, 92, 80] and [r.l.score for r in rows] == [0, 0, 90, 75, 100, 66, 90, 60]
+    assert rows[0].e.findings == ["no_text"] and rows[2].e.findings == [] and rows[3].e.findings == ["colons", "unexplained: Jobcenter"]
