@@ -6,11 +6,18 @@ to the domains above it and join by equality, so they never compare all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sieveline.session import scratch, stash
+from sieveline.functions.batches import ROWS, expanded, slices
+from sieveline.session import scratch, ship, stash
 
 #: Most rows that a rule table may have to be broadcast.
 RULES = 100_000
@@ -75,26 +82,62 @@ def word_overlap(asked: DataFrame, found: DataFrame, item: str, doc: str, words:
     return hits.select(item, doc, (F.col("_hits") / F.col("_size")).alias("ratio"))
 
 
+def _contained(asked: list[tuple[int, list[str]]], least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of (document, words) to (document, item, ratio) of the pairs that reach ``least``: the items' words are
+    looked up in all texts of a slice at once, and what each text has of each item is counted.
+    """
+    numbers, sizes = np.array([n for n, _ in asked], np.int64), np.array([len(w) for _, w in asked], np.int64)
+    place = {w: i for i, w in enumerate(sorted({w for _, ws in asked for w in ws}))}
+    held = sorted((place[w], i) for i, (_, ws) in enumerate(asked) for w in ws)
+    starts = np.searchsorted(np.array([w for w, _ in held], np.int64), np.arange(len(place) + 1))
+    items = np.array([i for _, i in held], np.int64)
+    rows = max(1, min(ROWS, (1 << 22) // max(len(held), 1)))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(list(place), pa.string())
+        for batch in batches:
+            for part in slices(batch, rows):
+                words = part.column(1)
+                at = pc.fill_null(pc.index_in(words.flatten(), known), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+                where, item = expanded(at[at >= 0], starts, items)
+                hits = np.bincount(row[at >= 0][where] * len(sizes) + item, minlength=len(words) * len(sizes)).reshape(-1, len(sizes))
+                ratio = hits / sizes
+                doc, item = np.nonzero((hits > 0) & (ratio >= least))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(numbers[item]), pa.array(ratio[doc, item])], names=["_doc", "_a", "ratio"])
+
+    return match
+
+
 def word_containment(asked: DataFrame, found: DataFrame, item: str, doc: str, words: Column, least: float) -> DataFrame:
     """(item, doc, ratio) of the pairs in which the document has at least ``least`` (above 0) of the item's distinct words.
 
-    Of n words a document may lack n - ceil(least * n), so it has one of the n - ceil(least * n) + 1 that fewest documents
-    have.  Documents look for those only, and the pairs that this finds are compared in full; so common words make no pairs.
-    Rows that repeat are compared each.  Null and empty texts are in no pair.
+    If the items' words are few (RULES), tasks hold them and count them in each document where it stands; nothing but the
+    result moves.  Else, of n words a document may lack n - ceil(least * n), so it has one of the n - ceil(least * n) + 1 that
+    fewest documents have: documents look for those only, and the pairs that this finds are compared in full, so common
+    words make no pairs.  Rows that repeat are compared each.  Null and empty texts are in no pair.
     """
+    spark = asked.sparkSession
     a = asked.select(F.col(item).alias("_item"), F.monotonically_increasing_id().alias("_a"), words.alias("_asked")).where(F.size("_asked") > 0)
     d = found.select(F.col(doc).alias("_doc"), words.alias("_found")).where("_found is not null")
-    with scratch(asked.sparkSession) as keep:
+    with scratch(spark) as keep:
         a = stash(a, "asked", sweep=False)  # the rows' numbers are settled by being written
+        if a.select(F.explode("_asked")).limit(RULES + 1).count() <= RULES:
+            ship(spark)
+            kind = T.StructType([d.schema["_doc"], T.StructField("_a", T.LongType()), T.StructField("ratio", T.DoubleType())])
+            pairs = d.mapInArrow(_contained([(r[0], r[1]) for r in a.select("_a", "_asked").collect()], least), kind)
+            named = pairs.join(F.broadcast(a.select("_a", "_item")), "_a").select(F.col("_item").alias(item), F.col("_doc").alias(doc), "ratio")
+            return keep(stash(named, "containment", sweep=False))
         each = a.select("_a", F.explode("_asked").alias("_word"), (F.size("_asked") - F.ceil(F.size("_asked") * least) + 1).alias("_some"))
         often = d.select(F.explode("_found").alias("_word")).join(rules(each.select("_word").distinct()), "_word").groupBy("_word").agg(F.count("*").alias("_n"))
         rare = Window.partitionBy("_a").orderBy(F.coalesce("_n", F.lit(0)), "_word")
         prefix = stash(each.join(often, "_word", "left").withColumn("_place", F.row_number().over(rare)).where("_place <= _some").groupBy("_word").agg(F.collect_set("_a").alias("_items")), "prefix", sweep=False)
-        marked = d.withColumn("_d", F.monotonically_increasing_id()).withColumn("_word", F.explode("_found"))
-        # A document meets each item once, however many rare words they share.
-        met = marked.join(rules(prefix), "_word").select("_d", "_doc", "_found", F.explode("_items").alias("_a")).dropDuplicates(["_d", "_a"])
+        # Words don't travel with the candidates: those are a document's items by its id, and rows that share an id try them all.
+        met = d.select("_doc", F.explode("_found").alias("_word")).join(rules(prefix), "_word").select("_doc", F.explode("_items").alias("_a")).distinct()
+        tried = met.groupBy(F.col("_doc").alias("_id")).agg(F.collect_list("_a").alias("_tried"))
         share = F.size(F.array_intersect("_asked", "_found")) / F.size("_asked")
-        pairs = met.join(rules(a), "_a").select(F.col("_item").alias(item), F.col("_doc").alias(doc), share.alias("ratio"))
+        each_pair = d.join(tried, F.col("_doc").eqNullSafe(F.col("_id"))).select("_doc", "_found", F.explode("_tried").alias("_a"))
+        pairs = each_pair.join(rules(a), "_a").select(F.col("_item").alias(item), F.col("_doc").alias(doc), share.alias("ratio"))
         return keep(stash(pairs.where(F.col("ratio") >= least), "containment", sweep=False))
 
 

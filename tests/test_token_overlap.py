@@ -28,3 +28,24 @@ def test_containment_misses_no_pair(spark):
         want = sorted((i, d, len(words(a) & words(b)) / len(words(a))) for i, a in items for d, b in docs if b is not None and len(words(a) & words(b)) / len(words(a)) >= least)
         assert sorted(map(tuple, joins.word_containment(asked, found, "item", "doc", split, least).collect())) == want
     assert joins.word_containment(asked, found.limit(0), "item", "doc", split, 0.5).count() == 0 == joins.word_containment(asked.limit(0), found, "item", "doc", split, 0.5).count()
+
+
+def test_words_stay_where_their_document_is(spark, monkeypatch):
+    """Few items are counted in place: the documents aren't shuffled, and no pair carries a document's words."""
+    from pyspark.sql import functions as F
+
+    from sieveline.operators import joins
+
+    asked = spark.createDataFrame([(1, "a b"), (2, "b c d"), (1, "a b"), (3, "")], "item int, text string")
+    found = spark.createDataFrame([(None, "a x"), (7, "c d a"), (7, "b"), (8, None), (9, "")], "doc int, text string")
+    words = F.array_distinct(F.split("text", " "))
+    plans = []
+    real = joins.stash
+    monkeypatch.setattr(joins, "stash", lambda df, name, **k: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), real(df, name, **k))[1])
+    want = sorted([(1, None, 0.5), (1, None, 0.5), (1, 7, 0.5), (1, 7, 0.5), (1, 7, 0.5), (1, 7, 0.5), (2, 7, 2 / 3), (3, 9, 1.0)], key=str)
+    few = joins.word_containment(asked, found, "item", "doc", words, 0.5)
+    assert sorted(map(tuple, few.collect()), key=str) == want
+    assert not any("Exchange hashpartitioning" in plan for name, plan in plans if name == "containment")
+    monkeypatch.setattr(joins, "RULES", 2)
+    many = joins.word_containment(asked, found, "item", "doc", words, 0.5)
+    assert sorted(map(tuple, many.collect()), key=str) == want
