@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import canonical_url, collapse, dehyphenate, repair
-from sieveline.session import ship
+from sieveline.session import ship, spare
 
 CHUNK, OVERLAP = 900, 140
 
@@ -20,14 +21,22 @@ CHUNK, OVERLAP = 900, 140
 def without_repeated_lines(df: DataFrame, key: str, text: str, times: int = 4, least: int = 4) -> DataFrame:
     """Texts without the lines of more than ``least`` characters that a text has ``times`` times or more; without an
     explode, so a text's lines stay together.
+
+    The sorted lines are a column of their own: an array that a function of its elements also looks into would be made
+    anew for each element.
     """
-    lines = F.split(text, "\n")
-    trimmed = F.transform(lines, F.trim)
-    once = F.sort_array(F.filter(trimmed, lambda x: F.length(x) > least))
-    # In a sorted array a line is there ``times`` times where it stands ``times - 1`` places further on too.
-    often = F.array_distinct(F.filter(F.transform(once, lambda x, i: F.when(F.get(once, i + (times - 1)) == x, x)), lambda x: x.isNotNull()))
-    kept = F.when(F.size(often) > 0, F.array_join(F.filter(lines, lambda x: ~F.array_contains(often, F.trim(x))), "\n")).otherwise(F.col(text))
-    return df.withColumn(text, kept)
+    lines = spare(df.columns, "lines")
+    placed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.trim(x).alias("t"), i.alias("i"), x.alias("x")))
+    at = lambda k: F.get(F.col(lines), k)["t"]
+
+    def often(e: Column, k: Column) -> Column:
+        """In a sorted array a line is there ``times`` times if some stretch of that many around it begins and ends with it."""
+        ends = [(at(k - d) == e["t"]) & (at(k - d + (times - 1)) == e["t"]) for d in range(times)]
+        return (F.length(e["t"]) > least) & reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in ends])
+
+    kept = F.filter(F.transform(lines, lambda e, k: F.when(~often(e, k), F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e.isNotNull())
+    out = df.withColumn(lines, F.sort_array(placed))
+    return out.withColumn(text, F.array_join(F.transform(F.sort_array(kept), lambda e: e["x"]), "\n")).drop(lines)
 
 
 def _unwrap(text: str) -> str:
