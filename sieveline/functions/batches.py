@@ -37,6 +37,7 @@ def each_value(f: Callable, kind: T.DataType, *columns: Column) -> Column:
     @F.arrow_udf(kind)
     def read(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for arrays in batches:
+            arrays = (arrays,) if isinstance(arrays, pa.Array) else arrays  # a single column comes as it is
             whole = pa.RecordBatch.from_arrays(list(arrays), names=[str(i) for i in range(len(arrays))])
             for part in slices(whole):
                 yield pa.array([f(*row) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)], out)

@@ -11,7 +11,9 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sieveline.functions.batches import each_value
 from sieveline.functions.text import canonical_url, collapse, dehyphenate, repair
 from sieveline.session import ship, spare
 
@@ -39,8 +41,10 @@ def without_repeated_lines(df: DataFrame, key: str, text: str, times: int = 4, l
     return out.withColumn(text, F.array_join(F.transform(F.sort_array(kept), lambda e: e["x"]), "\n")).drop(lines)
 
 
-def _unwrap(text: str) -> str:
+def _unwrap(text: str | None) -> str | None:
     """Lines that were broken within a sentence in one piece."""
+    if text is None:
+        return None
     out: list[str] = []
     for line in text.split("\n"):
         last = out[-1].rstrip() if out else ""
@@ -57,15 +61,9 @@ _PAGE_LINES = (r"(?m)^[-–]\s*\d+\s*[-–]\s*$", r"(?mi)^Seite\s+\d+\s+(von\s+\
 
 def normalized(df: DataFrame, key: str, text: str) -> DataFrame:
     """Damaged characters, page numbers, repeated lines, hyphenation, wraps and spaces, in this order."""
-    ship(df.sparkSession)
-
-    @F.pandas_udf("string")
-    def unwrap(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else _unwrap(x))
-
     numbers = F.regexp_replace(F.regexp_replace(repair(F.col(text)), _PAGE_LINES[0], ""), _PAGE_LINES[1], "")
     out = without_repeated_lines(df.withColumn(text, numbers), key, text)
-    return out.withColumn(text, collapse(unwrap(dehyphenate(F.col(text)))))
+    return out.withColumn(text, collapse(each_value(_unwrap, T.StringType(), dehyphenate(F.col(text)))))
 
 
 #: Fixed value: a heading line of one to four #.

@@ -30,3 +30,11 @@ def test_time_grows_with_the_lines(spark):
     begin = time.monotonic()
     assert texts.without_repeated_lines(df, "id", "text").collect()[0].text == "letzte"
     assert time.monotonic() - begin < 20
+
+
+def test_normalized_time_grows_with_the_lines(spark):
+    text = "\n".join(f"Zeile {i % 4000}" for i in range(16_000)) + "\nlang-\nsame Zeile\nund weiter"
+    df = spark.createDataFrame([(1, text), (2, None)], "id int, text string")
+    begin = time.monotonic()
+    assert {r.id: r.text for r in texts.normalized(df, "id", "text").collect()} == {1: "langsame Zeile und weiter", 2: None}
+    assert time.monotonic() - begin < 20
