@@ -10,13 +10,12 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.functions import text as fx
-from sieveline.session import ship
+from sieveline.functions.batches import each_value
 
 #: Marks of UTF-8 that was read as a one-byte encoding.
 DAMAGE = ("Ã", "Â", "â€", "â€“", "â€”", "â€ž", "â€œ", "â€˜", "â€™")
@@ -257,8 +256,10 @@ def _declared(payload: bytes) -> str | None:
     return None
 
 
-def _decoded(payload: bytes, charset: str | None) -> str:
+def _decoded(payload: bytes | None, charset: str | None) -> str | None:
     """By the first attempt that knows its encoding and, where it must, fits the bytes."""
+    if payload is None:
+        return None
     for name, errors in ((charset, "replace"), (_declared(payload), "replace"), ("utf-8", "strict"), ("cp1252", "replace")):
         with contextlib.suppress(LookupError, UnicodeDecodeError):
             if name:
@@ -268,10 +269,4 @@ def _decoded(payload: bytes, charset: str | None) -> str:
 
 def decoded(payload: Column, charset: Column) -> Column:
     """Bytes as text by the header's charset, what the page declares, UTF-8, or cp1252: the first that is known; null for null."""
-    ship(SparkSession.active())
-
-    @F.pandas_udf("string")
-    def read(payloads: pd.Series, charsets: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else _decoded(p, n) for p, n in zip(payloads, charsets, strict=True)], dtype=object)
-
-    return read(payload, charset)
+    return each_value(_decoded, T.StringType(), payload, charset)
