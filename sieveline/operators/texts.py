@@ -108,16 +108,18 @@ def _pieces(body: str) -> Iterator[tuple[int, str]]:
         yield start, held
 
 
-def chunks(df: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
-    """One row for each chunk: its id, place, number of chunks, heading, text, and the characters of the document it covers; ``carry`` are columns of the document that go with it."""
-    ship(df.sparkSession)
+_CUT = T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("body", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
 
-    @F.pandas_udf("array<struct<heading: string, body: string, start: int, end: int>>")
-    def cut(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: [{"heading": h, "body": p if not h or p.startswith(h) else f"{h}\n{p}", "start": s + a, "end": s + a + len(p)} for h, s, b in _sections(x or "") for a, p in _pieces(b) if p.strip()])
+def _cut(text: str | None) -> list[dict]:
+    return [{"heading": h, "body": p if not h or p.startswith(h) else f"{h}\n{p}", "start": s + a, "end": s + a + len(p)} for h, s, b in _sections(text or "") for a, p in _pieces(b) if p.strip()]
 
-    parts = df.select(key, *carry, cut(F.col(text)).alias("_parts"))
-    out = parts.select(key, *carry, F.size("_parts").alias("total_chunks"), F.posexplode("_parts").alias("chunk_index", "_part"))
+
+def chunks(df: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each chunk: its id, place, number of chunks, heading, text, and the characters of the document it covers; ``carry`` are columns of the document that go with it."""
+    parts = df.select(key, *carry, each_value(_cut, _CUT, F.col(text)).alias("_parts"))
+    # The outer form: for the other, the plan asks for lists with items first, and would cut each document twice.
+    out = parts.select(key, *carry, F.size("_parts").alias("total_chunks"), F.posexplode_outer("_parts").alias("chunk_index", "_part")).where("chunk_index is not null")
     return out.select(F.format_string("%s-c%04d", F.col(key).cast("string"), "chunk_index").alias("chunk_id"), key, "chunk_index", "total_chunks", F.col("_part.heading").alias("section"), F.col("_part.body").alias("text"), F.col("_part.start").alias("char_start"), F.col("_part.end").alias("char_end"), *carry)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from sieveline.functions import batches
-from sieveline.operators import cleaning, pages
+from sieveline.operators import cleaning, pages, texts
 
 
 def test_slices_are_bounded_and_whole():
@@ -20,6 +20,7 @@ def test_slices_are_bounded_and_whole():
 READ = {
     "outline": lambda d: d.select(pages.outline(F.col("t"), F.col("t"))),
     "decoded": lambda d: d.select(cleaning.decoded(F.encode("t", "UTF-8"), F.col("t"))),
+    "chunks": lambda d: texts.chunks(d, "k", "t"),
 }
 
 
