@@ -21,6 +21,7 @@ READ = {
     "outline": lambda d: d.select(pages.outline(F.col("t"), F.col("t"))),
     "decoded": lambda d: d.select(cleaning.decoded(F.encode("t", "UTF-8"), F.col("t"))),
     "chunks": lambda d: texts.chunks(d, "k", "t"),
+    "provenance": lambda d: texts.chunks(d, "k", "t", ["c"]).select("chunk_id", "c", "chunk_index"),
 }
 
 
