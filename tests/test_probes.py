@@ -39,3 +39,15 @@ def test_found(tables, monkeypatch, few):
 def test_entries_are_scored_where_they_stand(tables):
     plan = scored(tables)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_coverage_moves_counts_only(tables):
+    asked = tables[0].where("probe is not null").dropDuplicates(["probe"])
+    hits = scored((asked, *tables[1:]))
+    out = probes.coverage(asked, "probe", F.col("tokens"), hits)
+    held = {r.probe: set(r.tokens) for r in asked.collect()}
+    texts = [[(c or "").lower() for c in r[1:]] for r in tables[1].collect()]
+    want = {p: sum(any(t in c for t in ts for c in e) for e in texts) for p, ts in held.items()}
+    assert {r.probe: r.n_entries for r in out.collect()} == want
+    counted = hits.groupBy("probe").count()._jdf.queryExecution().executedPlan().toString()
+    assert counted.count("Exchange hashpartitioning") == 1  # of partial counts
