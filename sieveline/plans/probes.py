@@ -24,7 +24,7 @@ SELECT a.item_id, len(tokens) AS n_tokens, coalesce(n, 0) AS n_entries, n IS NOT
 def d28(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many active entries of four domains have one of the first twelve tokens of each benchmark question."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", op.tokens(F.col("text"), 12).alias("tokens"))
-    e = entries(spark, sf_dir).where((F.col("status") == "active") & F.col("domain").isin(*_DOMAINS))
+    e = entries(spark, sf_dir, scored=False).where((F.col("status") == "active") & F.col("domain").isin(*_DOMAINS))
     hits = op.found(asked, "item_id", F.col("tokens"), e, "id", {"title": (F.col("title_de"), 1), "text": (F.col("content_de"), 1)})
     return op.coverage(asked, "item_id", F.col("tokens"), hits)
 
@@ -41,6 +41,6 @@ SELECT scenario, docs, contacts, ngos, greatest(5 - len(docs), 0) AS missing_doc
 def d16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the first four tokens of each benchmark question find; ten scenarios have a tenth of the questions each."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 10).alias("scenario"), op.tokens(F.col("text"), 4).alias("tokens"))
-    e = entries(spark, sf_dir).where("status = 'active'")
+    e = entries(spark, sf_dir, scored=False).where("status = 'active'")
     hits = op.found(asked, "item_id", F.col("tokens"), e, "id", {"title": (F.col("title_de"), 3), "text": (F.col("content_de"), 1.25)})
     return op.scenario_coverage(asked, "scenario", "item_id", hits, e, "id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.operators.joins import rules
 from sieveline.session import table
 
 DOMAINS = ("benefits", "aid", "tools", "organizations", "contacts")
@@ -64,11 +65,19 @@ def _pick(values: tuple[str, ...], k: F.Column) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), k.cast("int") + 1)
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` and ``labels`` as entries: lines of the text are title, summary and content."""
-    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+def entries(spark: SparkSession, sf_dir: str, scored: bool = True) -> DataFrame:
+    """``documents`` and ``labels`` as entries: lines of the text are title, summary and content.
+
+    Without ``scored`` they have neither iqs nor ais, and texts stay where they are: of the labels only those count that
+    give a document more than one row, and they are broadcast if they are few (RULES).
+    """
+    d, labels, k = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("doc_id")
     lines = F.split("text", "\n")
-    rows = d.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    if scored:
+        rows = d.join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left")
+    else:
+        again = rules(labels.groupBy("doc_id").agg(F.count("*").cast("int").alias("_n")).where("_n > 1"))
+        rows = d.join(again, "doc_id", "left").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("_n", F.lit(1)))))
     return rows.select(
         k.alias("id"),
         _pick(DOMAINS, k % 5).alias("domain"),
@@ -83,8 +92,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 == 0, "archived").when(k % 10 == 1, "under_revision").when(k % 10 == 2, "discontinued").otherwise("active").alias("status"),
         F.when(k % 6 < 5, _pick(TIERS, k % 6)).alias("tier"),
         F.when(k % 3 == 0, "DE").when(k % 3 == 1, "EU").alias("jurisdiction"),
-        F.when(F.col("quality").isNotNull(), (k * 37 % 101).cast("double")).alias("iqs"),
-        F.when(F.col("quality").isNotNull(), (k * 53 % 101).cast("double")).alias("ais"),
+        *[F.when(F.col("quality").isNotNull(), (k * by % 101).cast("double")).alias(n) for n, by in (("iqs", 37), ("ais", 53)) if scored],
         F.expr("timestamp'2023-01-01' + make_interval(0, 0, 0, cast(doc_id % 365 as int))").alias("first_seen"),
         F.when(k % 9 != 0, F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id * 17 % 500 as int))")).alias("last_seen"),
         F.array(_pick(TOPICS, k % 5), _pick(TOPICS, k % 3)).alias("topics"),

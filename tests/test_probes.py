@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline import catalog
 from sieveline.operators import probes
 
 
@@ -51,3 +52,29 @@ def test_coverage_moves_counts_only(tables):
     assert {r.probe: r.n_entries for r in out.collect()} == want
     counted = hits.groupBy("probe").count()._jdf.queryExecution().executedPlan().toString()
     assert counted.count("Exchange hashpartitioning") == 1  # of partial counts
+
+
+def test_coverage_leaves_texts_where_they_stand(spark, tmp_path):
+    """Labels too large to broadcast move no text, and those that repeat a document give it rows as the SQL does."""
+    rows = [(k, f"Antrag {k}\nWohnung und Familie" if k % 3 else "Arbeit", "de", "amt") for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, 1, 0) for k in range(0, 60, 2)] + [(k, None, 0) for k in (3, 3, 4, 8, 8, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    asked = [(1, "Wo ist der Antrag?"), (2, "familie wohnung"), (3, "nichts davon"), (4, None)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = catalog.queries()["d28_probe_coverage"](spark, str(tmp_path))
+        got, plan = out.collect(), out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    con = pytest.importorskip("duckdb").connect()
+    for name in ("documents", "labels", "benchmark"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["d28_probe_coverage"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and [r[2] for r in sorted(want)][:2] != [0, 0]
+    # One exchange is of the final join's questions; those of texts and labels would be by doc_id.
+    texts = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    assert not [line for line in plan.splitlines() if "SortMergeJoin [doc_id" in line], plan
+    assert len(texts) <= 2, texts  # of the labels' own count, in the final and the initial plan
