@@ -123,6 +123,18 @@ def chunks(df: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> Dat
     return out.select(F.format_string("%s-c%04d", F.col(key).cast("string"), "chunk_index").alias("chunk_id"), key, "chunk_index", "total_chunks", F.col("_part.heading").alias("section"), F.col("_part.body").alias("text"), F.col("_part.start").alias("char_start"), F.col("_part.end").alias("char_end"), *carry)
 
 
+def _count(text: str | None) -> int:
+    return sum(bool(p.strip()) for _, _, b in _sections(text or "") for _, p in _pieces(b))
+
+
+def chunk_places(df: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
+    """The ids and places that ``chunks`` gives, with the document's ``carry``; only a number for each document leaves Python."""
+    parts = df.select(key, *carry, each_value(_count, T.IntegerType(), F.col(text)).alias("_n"))
+    # The outer form here too, for the same reason.
+    out = parts.select(key, *carry, F.posexplode_outer(F.array_repeat(F.lit(True), F.col("_n"))).alias("chunk_index", "_one")).where("chunk_index is not null")
+    return out.select(F.format_string("%s-c%04d", F.col(key).cast("string"), "chunk_index").alias("chunk_id"), key, "chunk_index", *carry)
+
+
 class _Links(HTMLParser):
     """The targets of a page's links."""
 

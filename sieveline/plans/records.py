@@ -133,4 +133,4 @@ def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j13_chunk_provenance")
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with the provenance of their document; held against a join in tests/test_records.py."""
-    return texts.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", ["source", "lang"]).select("chunk_id", "doc_id", "source", "lang", "chunk_index")
+    return texts.chunk_places(table(spark, sf_dir, "documents"), "doc_id", "text", ["source", "lang"]).select("chunk_id", "doc_id", "source", "lang", "chunk_index")

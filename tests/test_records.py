@@ -6,6 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from sieveline import catalog
 from sieveline.operators import cleaning, filters, records, texts
 
 
@@ -90,3 +91,18 @@ def test_chunks_carry_columns(spark):
     carried, plain = texts.chunks(df, "doc_id", "text", ["source", "lang"]), texts.chunks(df, "doc_id", "text")
     joined = plain.join(df.drop("text"), "doc_id").select(carried.columns)
     assert sorted(map(str, carried.collect())) == sorted(map(str, joined.collect())) and carried.count() >= 3
+
+
+def test_provenance_takes_only_numbers_from_python(spark, tmp_path):
+    odd = [None, "", " \n\n ", "# A\n\n## B\n", "# A\nx\n\n" + "y " * 900, "z" * 5000, "ä\n\n" * 700, "#### d\n" + "w" * 1199 + "\n\n \n\nq", "kurz"]
+    df = spark.createDataFrame([(k, t, f"s{k}", "de") for k, t in enumerate(odd)], "doc_id long, text string, source string, lang string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.queries()["j13_chunk_provenance"](spark, str(tmp_path))
+    want = texts.chunks(df, "doc_id", "text", ["source", "lang"]).select(out.columns)
+    assert out.dtypes == want.dtypes and sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.count() > 9
+    node, kinds = out._jdf.queryExecution().optimizedPlan(), []
+    while node.children().size():
+        if node.nodeName() == "ArrowEvalPython":
+            kinds.append(node.resultAttrs().apply(0).dataType().simpleString())
+        node = node.children().apply(0)
+    assert kinds == ["int"]
